@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, warc
+from . import minhash, mixing, warc
 from .shared import fresh_path, read, unkeyed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(unkeyed().alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    same = unkeyed("component").eqNullSafe(unkeyed())
+    return rows.select(unkeyed().alias("doc_id"), F.col("n").alias("n_shingles"), unkeyed("component").alias("component_id"), same.alias("kept"))
+
+
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "archives")
     warc.write_archives(read(spark, sf_dir, "pages"), path)
@@ -29,6 +36,7 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op5_mix_sources": op5_mix_sources,
+    "op6_near_duplicates": op6_near_duplicates,
     "op9_warc_revisits": op9_warc_revisits,
 }
 

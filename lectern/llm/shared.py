@@ -53,6 +53,19 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     )
 
 
+#: Rows of a side that ``matched`` may broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 400_000
+
+
+def matched(rows: DataFrame, small: DataFrame, how: str = "inner", most: int = BROADCAST_ROWS, weight: str = "1") -> DataFrame:
+    """Join on ``_d`` and ``_k`` with a stored table, broadcast only if its counted size allows it.
+
+    ``weight`` is what a row of ``small`` counts as, for rows that hold arrays.
+    """
+    size = small.agg(F.coalesce(F.sum(F.expr(weight).cast("long")), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(small) if size <= most else small, ["_d", "_k"], how)
+
+
 def unkeyed(d: str = "_d"):
     """The doc_id that ``keyed`` put in ``_d``."""
     return F.when(F.col(d) != F.lit(-(2**63)), F.col(d))
