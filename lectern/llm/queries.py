@@ -11,12 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, warc
+from . import minhash, mixing, packing, warc
 from .shared import fresh_path, read, unkeyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(read(spark, sf_dir, "documents"))
     return rows.select(unkeyed().alias("doc_id"), "size", "source_size", "target", "taken")
@@ -35,6 +39,7 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_best_two_fit": op2_best_two_fit,
     "op5_mix_sources": op5_mix_sources,
     "op6_near_duplicates": op6_near_duplicates,
     "op9_warc_revisits": op9_warc_revisits,
