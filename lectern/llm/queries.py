@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, substrings, warc
+from . import minhash, mixing, packing, quality, substrings, warc
 from .shared import fresh_path, read, unkeyed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(unkeyed().alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(read(spark, sf_dir, "documents"))
     return rows.select(unkeyed().alias("doc_id"), "size", "source_size", "target", "taken")
@@ -46,6 +50,7 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_best_two_fit": op2_best_two_fit,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op5_mix_sources": op5_mix_sources,
     "op6_near_duplicates": op6_near_duplicates,
     "op9_warc_revisits": op9_warc_revisits,

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _rng = np.random.default_rng(7_045_113)
 #: A random odd number for each byte value.
@@ -23,9 +24,9 @@ _POWERS = np.full(_WRAP, _MULTIPLIER, np.uint64)
 _POWERS[0] = 1
 _POWERS = np.cumprod(_POWERS, dtype=np.uint64)
 #: Texts are hashed in pieces of about so many bytes, cut at blanks.
-PIECE = 1 << 22
-#: Rows handled at once in a worker, so that an Arrow batch of long texts doesn't multiply in memory.
-ROWS = 256
+PIECE = 1 << 21
+#: Rows and bytes of text handled at once in a worker (one text at least), so that a batch doesn't multiply in memory.
+ROWS = 512
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -106,10 +107,20 @@ def first_minimum(values: np.ndarray, length: int) -> np.ndarray:
     return lower(place[:n], place[length - size : length - size + n])
 
 
-def texts(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list[bytes], ...]]:
-    """Up to ROWS rows at a time: the texts as UTF-8 (a null text as empty), then the named columns."""
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], pa.RecordBatch]]:
+    """The texts as UTF-8 (a null text as empty) of some rows, and these rows."""
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
-            text = [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
-            yield text, *(part.column(x).to_pylist() for x in names)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = int(sizes[at - 1]) if at else 0
+            n = min(max(int(np.searchsorted(sizes, before + PIECE, side="right")) - at, 1), ROWS)
+            part = batch.slice(at, n)
+            yield [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()], part
+            at += n
+
+
+def texts(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
+    """The texts of some rows as UTF-8, then the named columns."""
+    for text, part in slices(batches):
+        yield text, *(part.column(x).to_pylist() for x in names)
