@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, quality, substrings, warc
+from . import minhash, mixing, packing, quality, substrings, toxicity, warc
 from .shared import fresh_path, read, unkeyed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,13 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved_revisits(warc.read_archives(spark, path))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    scorer = toxicity.train(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    rows = toxicity.scores(docs, scorer)
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op2_best_two_fit": op2_best_two_fit,
     "op3_substring_dedup": op3_substring_dedup,
@@ -54,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op5_mix_sources": op5_mix_sources,
     "op6_near_duplicates": op6_near_duplicates,
     "op9_warc_revisits": op9_warc_revisits,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
