@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, quality, substrings, toxicity, warc
+from . import minhash, mixing, packing, quality, secrets, substrings, toxicity, warc
 from .shared import fresh_path, read, unkeyed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(unkeyed().alias("doc_id"), F.col("n").alias("n_shingles"), unkeyed("component").alias("component_id"), same.alias("kept"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "archives")
     warc.write_archives(read(spark, sf_dir, "pages"), path)
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_mix_sources": op5_mix_sources,
     "op6_near_duplicates": op6_near_duplicates,
+    "op8_secret_scan": op8_secret_scan,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_toxicity": op10_toxicity,
 }
