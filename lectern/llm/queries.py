@@ -11,12 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, quality, secrets, substrings, toxicity, warc
+from . import boilerplate, minhash, mixing, packing, quality, secrets, substrings, toxicity, warc
 from .shared import fresh_path, read, unkeyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = boilerplate.deduplicated(read(spark, sf_dir, "documents"))
+    text = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return rows.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), text.alias("kept_sha256"))
+
+
 def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"))
 
@@ -59,6 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_best_two_fit": op2_best_two_fit,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
@@ -70,6 +77,17 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": """
+        WITH s AS (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents),
+        l AS (SELECT doc_id, source, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM s),
+        b AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare FROM l),
+        k AS (SELECT bare, min({'d': doc_id, 'a': pos}) AS one FROM b WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 10),
+        m AS (SELECT b.*, k.one IS NOT NULL AND k.one <> {'d': b.doc_id, 'a': b.pos} AS gone FROM b LEFT JOIN k USING (bare)),
+        t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+                     coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.n_removed, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN t USING (doc_id)
+    """,
     "op9_warc_revisits": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s FROM p),

@@ -40,6 +40,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_keys(docs: DataFrame) -> DataFrame:
+    """``_d`` and ``_k`` as in ``keyed``, ``text``, and ``_row``: the whole row, so that no column name can clash."""
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"),
+        F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("_k"),
+        "text",
+        F.struct("*").alias("_row"),
+    )
+
+
 def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     """``_d`` (doc_id; null as the least long), ``_k`` (hash of id and text), ``text`` and what else is named.
 
