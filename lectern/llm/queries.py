@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, minhash, mixing, packing, quality, secrets, substrings, toxicity, warc
+from . import boilerplate, minhash, mixing, nearest, packing, quality, secrets, substrings, toxicity, warc
 from .shared import fresh_path, read, unkeyed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(unkeyed().alias("doc_id"), F.col("n").alias("n_shingles"), unkeyed("component").alias("component_id"), same.alias("kept"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_mix_sources": op5_mix_sources,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_secret_scan": op8_secret_scan,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_toxicity": op10_toxicity,
