@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of ``lectern.plans`` that hold QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("chunks",)
 
 
 def queries() -> dict[str, Query]:
