@@ -79,16 +79,20 @@ def numbered_title_ok(title: Column) -> Column:
     return ok
 
 
-def heading(line: Column, numbered: bool = True) -> Column:
-    """The section label of a heading line, null for any other line."""
-    raw = stripped(F.coalesce(line, F.lit("")))
-    plain = F.when(raw != "", canonical_section(raw))
-    if not numbered:
-        return plain
-    title = stripped(F.regexp_extract(raw, NUMBERED, 2))
-    generic = F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), r"(?U)\s+", " "), _EDGE, ""))
-    several = F.size(F.split(generic, " ")) >= 2
-    return F.coalesce(plain, F.when((title != "") & numbered_title_ok(title), F.coalesce(canonical_section(title), F.when(several, F.substring(generic, 1, 80)))))
+def with_headings(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Adds plain and full: the section label of a heading line without and with numbered headings, null for other lines.
+
+    Each part that several rules read is a column of its own, so that it is computed once a row.
+    """
+    rows = lines.withColumn("_raw", stripped(F.coalesce(F.col(line), F.lit(""))))
+    rows = rows.withColumns({"plain": F.when(F.length("_raw").between(1, 80), canonical_section(F.col("_raw"))), "_title": stripped(F.regexp_extract("_raw", NUMBERED, 2))})
+    rows = rows.withColumn("_title", F.when(F.length("_title").between(3, 50), F.col("_title")))
+    rows = rows.withColumn("_ok", F.col("_title").isNotNull() & numbered_title_ok(F.col("_title")))
+    generic = F.trim(F.regexp_replace(F.regexp_replace(F.lower("_title"), r"(?U)\s+", " "), _EDGE, ""))
+    rows = rows.withColumn("_generic", F.when(F.col("_ok"), generic))
+    several = F.size(F.split("_generic", " ")) >= 2
+    full = F.coalesce("plain", F.when(F.col("_ok"), F.coalesce(canonical_section(F.col("_title")), F.when(several, F.substring("_generic", 1, 80)))))
+    return rows.withColumn("full", full).drop("_raw", "_title", "_ok", "_generic")
 
 
 def clean_page(text: Column) -> Column:
@@ -124,7 +128,7 @@ def section_runs(lines: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("paper_id").orderBy("page", "pos")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    marked = lines.withColumns({"full": heading(F.col("line")), "plain": heading(F.col("line"), numbered=False)})
+    marked = with_headings(lines)
     in_references = F.coalesce(F.max(F.coalesce(F.col("full") == "references", F.lit(False))).over(before), F.lit(False))
     marked = marked.withColumn("h", F.when(in_references, F.col("plain")).otherwise(F.col("full")))
     marked = marked.withColumns({"seg": F.count("h").over(order), "section": F.coalesce(F.last("h", ignorenulls=True).over(order), F.lit("front_matter"))})
@@ -147,17 +151,25 @@ def cut_fixed(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP)
     return kept.select(name.alias("chunk_id"), "paper_id", "source", "page", "chunk_index", "text")
 
 
-def _windows(pieces: Column, size: int, overlap: int, least: int) -> Column:
-    """Chunks of a run's pieces: (text, page_start, page_end); ends with the window that reaches the end."""
-    kept = F.filter(F.transform(pieces, lambda p: F.struct(p["page"].alias("page"), stripped(p["text"]).alias("text"))), lambda p: p["text"] != "")
-    whole = F.array_join(F.transform(kept, lambda p: p["text"]), "\n")
-    begins = F.transform(kept, lambda p, i: F.struct((F.aggregate(F.slice(kept, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x["text"]) + 1)).alias("at"), p["page"].alias("page")))
-    total, step = F.length(whole), size - overlap
+def _windows(runs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """The runs with i, text, page_start, page_end of each window of their pieces; ends with the one that reaches the end."""
+    trimmed = F.transform("pieces", lambda p: F.struct(p["page"].alias("page"), stripped(p["text"]).alias("text")))
+    rows = runs.withColumn("_kept", F.filter(trimmed, lambda p: p["text"] != "")).drop("pieces").filter(F.size("_kept") > 0)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,page:int>>").alias("all"))
+    begins = F.aggregate(
+        "_kept",
+        start,
+        lambda n, p: F.struct((n["at"] + F.length(p["text"]) + 1).alias("at"), F.concat(n["all"], F.array(F.struct(n["at"].alias("at"), p["page"].cast("int").alias("page")))).alias("all")),
+        lambda n: n["all"],
+    )
+    rows = rows.withColumns({"_whole": F.array_join(F.col("_kept.text"), "\n"), "_begins": begins}).drop("_kept")
+    total, step = F.length("_whole"), size - overlap
     n = F.when(total > size, F.ceil((total - size) / step) + 1).otherwise(1)
-    starts = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: (i * step).cast("int"))
-    page = lambda at: F.element_at(F.filter(begins, lambda b: b["at"] <= at), -1)["page"]
-    chunk = lambda s: F.struct(stripped(F.substring(whole, s + 1, F.lit(size))).alias("text"), page(s).alias("page_start"), page(F.least(s + size, total) - 1).alias("page_end"))
-    return F.when(total > 0, F.filter(F.transform(starts, chunk), lambda c: F.length(c["text"]) >= least))
+    rows = rows.withColumn("_s", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: (i * step).cast("int"))))
+    page = lambda at: F.element_at(F.filter("_begins", lambda b: b["at"] <= at), -1)["page"]
+    last = F.least(F.col("_s") + size, F.length("_whole")) - 1
+    rows = rows.withColumns({"text": stripped(F.substring(F.col("_whole"), F.col("_s") + 1, F.lit(size))), "page_start": page(F.col("_s")), "page_end": page(last)})
+    return rows.drop("_whole", "_begins")
 
 
 def cut_sections(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, least: int = MIN_CHUNK) -> DataFrame:
@@ -174,10 +186,8 @@ def cut_sections(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLA
     fallback = fallback.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("page", F.lit(0).alias("pos"), "text"))).alias("pieces"))
     fallback = fallback.join(only_front.filter("plain"), "paper_id").select("paper_id", F.lit(1).cast("long").alias("run"), F.lit("body").alias("section"), "pieces", F.lit("fallback_fixed").alias("chunking_mode"))
     aware = runs.join(only_front.filter("not plain"), "paper_id").select("paper_id", "run", "section", "pieces", F.lit("section_aware").alias("chunking_mode"))
-    cut = aware.unionByName(fallback).withColumn("chunks", _windows(F.col("pieces"), size, overlap, least))
-    rows = cut.select("paper_id", "run", "section", "chunking_mode", F.posexplode("chunks").alias("i", "c"))
-    index = F.row_number().over(Window.partitionBy("paper_id").orderBy("run", "i")) - 1
-    rows = rows.select("paper_id", "section", "chunking_mode", index.alias("chunk_index"), "c.*")
+    rows = _windows(aware.unionByName(fallback), size, overlap).filter(F.length("text") >= least)
+    rows = rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy("paper_id").orderBy("run", "_s")) - 1)
     name = F.concat("paper_id", F.lit("__"), slug(F.col("section")), F.lit("__p"), "page_start", F.lit("-"), "page_end", F.lit("__i"), "chunk_index")
     return rows.select(name.alias("chunk_id"), "paper_id", "section", "page_start", "page_end", "chunk_index", "text", "chunking_mode")
 

@@ -106,7 +106,7 @@ _SECTIONS = f"{A.HEADED_PAGES_SQL}, {_CLEANED}, {_RUNNING}, {_CLEAN_LINES}, {_HE
 @query(f"WITH {A.HEADED_PAGES_SQL}, {_CLEANED}, lines_in AS (SELECT paper_id, page, unnest(string_split(text, chr(10))) AS line FROM cl), {_HEADING} SELECT label, count(*) AS n, count(DISTINCT paper_id) AS n_papers FROM hd WHERE label IS NOT NULL GROUP BY label")
 def heading_detect(spark: SparkSession, d: str) -> DataFrame:
     rows = A.headed_pages(spark, d).select("paper_id", F.explode(F.split(K.clean_page(F.col("text")), "\n")).alias("line"))
-    return rows.select("paper_id", K.heading(F.col("line")).alias("label")).filter("label is not null").groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("paper_id").alias("n_papers"))
+    return K.with_headings(rows).select("paper_id", F.col("full").alias("label")).filter("label is not null").groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("paper_id").alias("n_papers"))
 
 
 @query(f"WITH {_SECTIONS} SELECT paper_id, run, section, count(*) AS n_pieces, min(page) AS page_start, max(page) AS page_end, string_agg(text, chr(10) ORDER BY page, pos) AS text FROM pr GROUP BY 1, 2, 3")
