@@ -64,7 +64,7 @@ def removed_lines(docs: DataFrame, least: int = LEAST_SITES) -> DataFrame:
 def deduplicated(docs: DataFrame, least: int = LEAST_SITES) -> DataFrame:
     """The rows of ``docs`` with their texts as left; added: _n_lines, _n_removed. n_chars, where present, follows."""
     gone = stored(removed_lines(docs, least), "removed")
-    rows = matched(with_keys(docs), gone, "left", weight="3 + size(gone)")
+    rows = matched(with_keys(docs), gone, "left")
     lines = F.split("text", "\n", -1)
     left = F.filter(lines, lambda _, i: ~F.array_contains(F.col("gone"), i))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))

@@ -103,7 +103,7 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     whole = found.join(blocks.filter("n > 1").select("a", "c"), ["a", "c"], "left_semi").select("_d", "_k", "at")
     edge = blocks.join(several, "a").select("one._d", "one._k", "one.at", "a")
     spots = stored(edge.groupBy("_d", "_k").agg(F.collect_list(F.struct("at", "a")).alias("spots")), "spots")
-    rows = stored(_windows(matched(keyed(docs), spots, weight="3 + size(spots)"), length), "windows")
+    rows = stored(_windows(matched(keyed(docs), spots), length), "windows")
     # rows of docs that are equal would count a window twice: (a, h) counts distinct places
     again = rows.groupBy("a", "h").agg(F.min(F.struct("_d", "_k", "at")).alias("x"), F.max(F.struct("_d", "_k", "at")).alias("y"))
     single = rows.join(again.filter("x <> y").select("a", "h"), ["a", "h"], "left_semi").select("_d", "_k", F.shiftleft("at", 20).alias("at"))
@@ -140,4 +140,4 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_t
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in _OUT.split(", ")])
 
     spans = stored(duplicate_spans(docs, length, gram), "spans")
-    return matched(keyed(docs), spans, "left", weight="3 + size(spans)").mapInArrow(cut, _OUT)
+    return matched(keyed(docs), spans, "left").mapInArrow(cut, _OUT)
