@@ -50,7 +50,7 @@ DENSE = f"""
 dq AS (SELECT vec_id // 20 AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
 dd AS (SELECT query_id, vec_id AS id, round(list_sum(list_transform(range(1, len(qv) + 1), lambda i: (qv[i]::DOUBLE - embedding[i]::DOUBLE) * (qv[i]::DOUBLE - embedding[i]::DOUBLE))), 9) AS distance FROM dq, embeddings),
 dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS rank FROM dd),
-dense AS (SELECT * FROM dr WHERE rank < {R.DENSE_K})
+dense AS MATERIALIZED (SELECT * FROM dr WHERE rank < {R.DENSE_K})
 """
 _TOKENS = "list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 2)"
 INDEX = f"""
@@ -65,7 +65,7 @@ qx AS (SELECT query_id, len(ts) AS n, unnest(ts) AS token FROM qi),
 qw AS (SELECT token, query_id, count(*) / n AS qw FROM qx GROUP BY token, query_id, n),
 ss AS (SELECT query_id, id, round(sum(weight * qw), 9) AS sparse_score FROM idx JOIN qw USING (token) GROUP BY 1, 2),
 sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sparse_score DESC, id) - 1 AS rank FROM ss WHERE sparse_score > 0),
-sparse AS (SELECT * FROM sr WHERE rank < {R.SPARSE_K})
+sparse AS MATERIALIZED (SELECT * FROM sr WHERE rank < {R.SPARSE_K})
 """
 FUSED = f"""
 {DENSE}, {SPARSE},
@@ -73,32 +73,33 @@ fj AS (SELECT query_id, id, d.distance, d.rank AS dense_rank, s.sparse_score, s.
 fs AS (SELECT *, round(coalesce(1 / (dense_rank + {R.RRF_K + 1}), 0) + coalesce(1 / (sparse_rank + {R.RRF_K + 1}), 0), 12) AS rrf_score FROM fj),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST, id) - 1 AS rank FROM fs),
 fused AS (SELECT * FROM fr WHERE rank < {R.FUSION_K}),
-inherited AS (SELECT * REPLACE (coalesce(distance, min(distance) OVER (PARTITION BY query_id)) AS distance) FROM fused),
+inherited AS MATERIALIZED (SELECT * REPLACE (coalesce(distance, min(distance) OVER (PARTITION BY query_id)) AS distance) FROM fused),
 {CHUNKS},
-hits AS (SELECT i.*, source, page, chunk_index, text FROM inherited i JOIN chunks USING (id))
+hits AS MATERIALIZED (SELECT i.*, source, page, chunk_index, text FROM inherited i JOIN chunks USING (id))
 """
 _FOLD = r"replace(lower(regexp_replace(text, '\s+', '', 'g')), 'ß', 'ss')"
 _GRAMS = "CASE WHEN length(s) > 3 THEN list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) WHEN length(s) > 0 THEN [s] ELSE [] END"
 DIVERSE = f"""
 {FUSED},
-hn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pos FROM hits),
-hg AS (SELECT query_id, id, source, chunk_index, {_GRAMS} AS g FROM (SELECT *, {_FOLD} AS s FROM hn)),
+hn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pos FROM hits),
+hg AS MATERIALIZED (SELECT query_id, id, source, chunk_index, {_GRAMS} AS g FROM (SELECT *, {_FOLD} AS s FROM hn)),
 dup AS (SELECT a.query_id, a.id AS a, b.id AS b FROM hg a JOIN hg b ON a.query_id = b.query_id AND a.id <> b.id AND a.source = b.source AND abs(a.chunk_index - b.chunk_index) <= 1
         WHERE len(list_intersect(a.g, b.g)) / greatest(len(list_distinct(list_concat(a.g, b.g))), 1) >= 0.9),
-dl AS (SELECT query_id, a, list(b) AS bs FROM dup GROUP BY 1, 2),
+dl AS MATERIALIZED (SELECT query_id, a, list(b) AS bs FROM dup GROUP BY 1, 2),
+hh AS MATERIALIZED (SELECT hn.query_id, hn.pos, hn.id, hn.source, coalesce(bs, []) AS bs FROM hn LEFT JOIN dl ON dl.query_id = hn.query_id AND dl.a = hn.id),
 st AS (SELECT query_id, 0::BIGINT AS pos, []::BIGINT[] AS sel, []::VARCHAR[] AS src FROM (SELECT DISTINCT query_id FROM hn)
        UNION ALL
        SELECT st.query_id, h.pos, CASE WHEN ok THEN list_append(sel, h.id) ELSE sel END, CASE WHEN ok THEN list_append(src, h.source) ELSE src END
-       FROM st JOIN (SELECT hn.query_id, hn.pos, hn.id, hn.source, coalesce(bs, []) AS bs FROM hn LEFT JOIN dl ON dl.query_id = hn.query_id AND dl.a = hn.id) h ON h.query_id = st.query_id AND h.pos = st.pos + 1,
+       FROM st JOIN hh h ON h.query_id = st.query_id AND h.pos = st.pos + 1,
        LATERAL (SELECT len(sel) < {R.TOP_K} AND len(list_filter(src, lambda x: x = h.source)) < {R.MAX_PER_SOURCE} AND NOT list_has_any(sel, h.bs) AS ok)),
 fin AS (SELECT query_id, sel FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos DESC) AS r FROM st) WHERE r = 1),
-diverse AS (SELECT query_id, unnest(range(len(sel))) AS rank, unnest(sel) AS id FROM fin)
+diverse AS MATERIALIZED (SELECT query_id, unnest(range(len(sel))) AS rank, unnest(sel) AS id FROM fin)
 """
 _EST = "greatest(1, ceil((length({0}) - length(regexp_replace({0}, '[\\x00-\\x7F]', '', 'g'))) / 4 + length(regexp_replace({0}, '[\\x00-\\x7F]', '', 'g')) / 1.5))::BIGINT"
 _BLOCK = "'source=' || source || ' page=' || page || ' chunk=' || chunk_index || chr(10) || text"
 BUDGETED = f"""
 {DIVERSE},
-bt AS (SELECT d.*, source, page, chunk_index, text, {_EST.format(f"({_BLOCK})")} AS n_tokens FROM diverse d JOIN chunks USING (id)),
+bt AS MATERIALIZED (SELECT d.*, source, page, chunk_index, text, {_EST.format(f"({_BLOCK})")} AS n_tokens FROM diverse d JOIN chunks USING (id)),
 bs AS (SELECT query_id, -1::BIGINT AS pos, 0::BIGINT AS used, []::BIGINT[] AS sel FROM (SELECT DISTINCT query_id FROM bt)
        UNION ALL
        SELECT bs.query_id, b.rank, CASE WHEN len(sel) = 0 OR used + n_tokens <= {R.TOKEN_BUDGET} THEN used + n_tokens ELSE used END,
