@@ -93,6 +93,46 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.n_removed, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
         FROM documents d LEFT JOIN t USING (doc_id)
     """,
+    "op3_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        p AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, ws FROM w),
+        h AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS h FROM p),
+        d AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM h WHERE h IN (SELECT h FROM d)),
+        l AS (SELECT doc_id, list(j) AS js FROM g GROUP BY doc_id),
+        e AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS x FROM w),
+        k AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY e.j) AS kept FROM e ANTI JOIN g ON g.doc_id = e.doc_id AND g.j = e.j GROUP BY e.doc_id)
+        SELECT w.doc_id, len(ws) AS n_words, coalesce(len(js), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN l USING (doc_id) LEFT JOIN k USING (doc_id)
+    """,
+    "op5_mix_sources": r"""
+        WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        b AS (SELECT source, sum(size) AS n FROM s GROUP BY source),
+        w AS (SELECT *, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM b),
+        o AS (SELECT *, coalesce(sum(3 * n) OVER q, 0) AS caps, coalesce(sum(weight) OVER q, 0) AS before, sum(n) OVER () AS total, sum(weight) OVER () AS weights FROM w
+              WINDOW q AS (ORDER BY 3 * n / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        v AS (SELECT *, (total - caps)::DOUBLE / (weights - before)::DOUBLE AS level FROM o),
+        c AS (SELECT level FROM v WHERE weight * level <= 3 * n ORDER BY before LIMIT 1),
+        t AS (SELECT source, n, coalesce(least((3 * n)::DOUBLE, weight * (SELECT level FROM c)), 0) AS target FROM v),
+        r AS (SELECT doc_id, s.source, size, n, target, floor(target + 0.5)::BIGINT AS budget,
+                     coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(doc_id || '|mix-1'), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+              FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, n::BIGINT AS source_size, target,
+               (CASE WHEN n > 0 THEN budget // n ELSE 0 END * size + greatest(0, least(budget - CASE WHEN n > 0 THEN budget // n ELSE 0 END * n - start, size)))::BIGINT AS taken FROM r
+    """,
+    "op6_near_duplicates": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(ws) > 1 THEN list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) ELSE ws END AS g FROM w),
+        u AS MATERIALIZED (SELECT min(doc_id) AS id, list_sort(g) AS g FROM s WHERE len(g) > 0 GROUP BY list_sort(g)),
+        e AS MATERIALIZED (SELECT id, len(g) AS n, unnest(g) AS x FROM u),
+        p AS (SELECT a.id AS a, b.id AS b, a.n, b.n AS m, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2, 3, 4),
+        k AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * shared >= 80 * (n + m - shared)),
+        l AS MATERIALIZED (SELECT a, b FROM k UNION SELECT b, a FROM k),
+        r AS (SELECT id, id AS other FROM u UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.other),
+        c AS (SELECT id, min(other) AS root FROM r GROUP BY id),
+        m AS (SELECT s.doc_id, len(s.g) AS n, c.root FROM s LEFT JOIN u ON list_sort(s.g) = u.g LEFT JOIN c ON c.id = u.id)
+        SELECT doc_id, n AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM m
+    """,
     "op9_warc_revisits": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s FROM p),
