@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import text_norm
+from lectern.sources.places import shared_place
 
 NEAR = 0.85
 GRAM, LEAST_STRIDE, MOST_GRAMS = 48, 24, 900
@@ -60,9 +61,7 @@ def near_pairs(docs: DataFrame, least: float = NEAR) -> DataFrame:
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """id, root for the ends of the links (a, b): least labels spread along links and are then followed to their own labels."""
-    spark = links.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints/lectern"))
+    shared_place(links.sparkSession)
     edges = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
     labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")).checkpoint()
     before = None

@@ -253,3 +253,18 @@ def index_freshness(spark, d):
     rows = A.values(spark, _MANIFESTS, "index_name string, built string, live string, n_built int, n_live int")
     status = F.when(F.col("built").isNull(), "missing").when(F.col("built") != F.col("live"), "stale").when(F.col("n_built") != F.col("n_live"), "failed").otherwise("ready")
     return rows.select("index_name", status.alias("status"), (status == "ready").alias("ready"))
+
+
+_PAPERS = [
+    (1, "Smith J., Doe A.", "Contents lists available at ScienceDirect. Abstract: We did it. Keywords: a, b", "x"), (2, "John Smith and Ann Lee", "no heading here", "an accepted manuscript"), (3, "", "A B S T R A C T\nText. 1. Introduction more", "y references z"),
+    (4, None, None, None), (5, "Müller-Lüdenscheidt2, K.", "Postprint at mdpi.com", "z"),
+]
+_PAPER_FACTS = [
+    (1, "smith", "publisher_version", False, "We did it. "), (2, "smith", "accepted_manuscript", False, "no heading here"), (3, "", "unknown", True, "Text. "), (4, "", "unknown", False, ""), (5, "müller-lüdenscheidt", "accepted_manuscript", False, "Postprint at mdpi.com"),
+]
+
+
+@query(f"WITH {A.values_sql('v', _PAPER_FACTS, 'id int, author string, version string, has_references boolean, abstract string')} SELECT * FROM v")
+def title_author_text(spark, d):
+    rows = A.values(spark, _PAPERS, "id int, authors string, first string, whole string")
+    return rows.select("id", T.first_author(F.col("authors")).alias("author"), T.version_type(F.col("first"), F.col("whole")).alias("version"), T.has_references(F.col("whole")).alias("has_references"), T.abstract_of(F.col("first")).alias("abstract"))

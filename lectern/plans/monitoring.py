@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import monitor as W
+from lectern.sources.places import fresh_place
+from lectern.streaming.monitor import watchdog_stream as watchdog_stream_of
 
 from . import adapters as A
 from .registry import registry
@@ -43,6 +45,18 @@ def watchdog_rules(spark, d):
     return W.watchdog(samples(spark, d))
 
 
+@query(f"WITH {_SAMPLES}, {_RULES} SELECT pid, seq, stage, CASE WHEN e1 OR e2 THEN 'error' WHEN w1 OR w2 OR w3 OR w4 THEN 'warning' ELSE 'running' END AS status FROM n5")
+def watchdog_stream(spark, d):
+    """The same samples replayed as a stream; state is kept for each process."""
+    place = fresh_place(spark, "watchdog")
+    rows = samples(spark, d)
+    rows.repartitionByRange(1, "ts", "seq").write.parquet(f"{place}/in")
+    source = spark.readStream.schema(rows.schema).parquet(f"{place}/in")
+    out = watchdog_stream_of(source).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/checkpoint")
+    out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/out")
+
+
 @query("""WITH t AS (SELECT 't' || (conv_id - conv_id % 2) || '-' || turn AS trace_id, conv_id AS seq, length(text) AS total_ms, CASE WHEN turn % 4 = 0 THEN 'error' ELSE 'ok' END AS status FROM conversations),
 f AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS n FROM t) SELECT trace_id, seq, total_ms, status FROM f WHERE n = 1""")
 def trace_dedupe(spark, d):
