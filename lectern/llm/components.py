@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 #: More rounds than any graph of fewer than 2**60 nodes takes.
 MOST_ROUNDS = 60
@@ -38,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select("u", "v").filter("u <> v").distinct(), "links")
     before = None
     for _ in range(MOST_ROUNDS):
-        edges = stored(_small(_large(edges)), "stars")
+        last, edges = edges, stored(_small(_large(edges)), "stars")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select("u", F.col("v").alias("root"))

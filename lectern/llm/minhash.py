@@ -2,14 +2,18 @@
 
 1. Each text's set of two-word shingles becomes its size, a 128-bit fingerprint and its ``k`` least hashes (the sketch).
    Rows with equal sets form a class; only classes are compared.
-2. Inverted lists: two consecutive retained values of a sketch name a list. Two sets of similarity s share no list only
-   if no two consecutive values of their union's sketch lie in both: for s = 0.8 and k = 32 with probability 5e-10, and
-   never for sets of at most k shingles.
-3. A list isn't expanded into pairs. Every member is first compared with one member that the list's own hash picks, then
-   components are formed. Only members of one list that are still in different components are then compared with each
-   other, so large groups of near copies cost a linear number of comparisons and no link between components is lost.
-4. A pair goes on if its union sketch shows at least ``least`` common values (for s = 0.8 fewer come with probability
-   below 1e-9). Full sets of shingle hashes then decide.
+2. Inverted lists: two consecutive retained values of a sketch name a list. Two sets of similarity s share as many lists
+   as their union's sketch has neighbours that lie in both: for s = 0.8 and k = 40 fewer than LEAST_LISTS with
+   probability 1e-9, and never for sets of at most k shingles. A set that shares fewer lists with any others goes no
+   further.
+3. A list isn't expanded into pairs. Every member is first compared with the list's head, the member whose lists are the
+   longest and which therefore is likely the others' origin; then components are formed. Only members of one list that
+   are still in different components are then compared, after prefix filtering: with shingles in one order for all sets,
+   frequent ones last, sets that are similar enough share one among their first, in number what the threshold allows a
+   set to miss. So large groups of near copies, and unrelated texts that share a passage, cost few comparisons, and no
+   link is lost.
+4. A pair goes on if its union sketch shows enough common values (for s = 0.8 fewer come with probability below 1e-9).
+   Full sets of shingle hashes then decide.
 
 Defined cases: null texts and texts without words have no shingles and are linked with nothing; a text of one word has
 that word as its only shingle; repeated rows are in one class; a null doc_id counts as the smallest; an empty table gives
@@ -26,14 +30,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import keyed, matched, stored
-from .words import mix, texts, windows, word_hashes
+from .shared import chosen, discard, keyed, stored
+from .words import mix, slices, texts, windows, word_hashes
 
 SHINGLE = 2
 PERCENT = 80
-SKETCH = 32
+SKETCH = 40
+#: Lists of more than one member that a set needs to go on; two where it has fewer than SMALL shingles.
+LEAST_LISTS = 3
+SMALL = 7
 #: Common values of a union sketch of SKETCH values that a pair needs to be verified.
-LEAST_COMMON = 10
+LEAST_COMMON = 15
+#: How many of the most frequent shingles are known as such and come last, and in how many sets they are counted. The
+#: order is the same for all sets, whatever it is; it matters to speed alone.
+FREQUENT, COUNTED = 1_000_000, 20_000
 _BASE = 0xD6E8FEB86659FD93
 #: Sets of fewer shingles are similar to equal sets alone.
 LEAST_SET = 4
@@ -88,24 +98,66 @@ def _unsigned(a: Column) -> Column:
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, length: int, k: int, percent: int, least: int) -> DataFrame:
-    """u, v of the pairs (u, v) whose full sets are similar enough."""
+    """u, v of the pairs (u, v) whose full sets are similar enough; written."""
     info = classes.select("c", "n", "sketch")
     left = info.select(F.col("c").alias("u"), F.col("n").alias("un"), F.col("sketch").alias("us"))
     right = info.select(F.col("c").alias("v"), F.col("n").alias("vn"), F.col("sketch").alias("vs"))
-    near = pairs.join(left, "u").join(right, "v").filter(100 * F.least("un", "vn") >= percent * F.greatest("un", "vn"))
+    near = pairs.join(left, "u").join(right, "v").filter(_sizes_fit("un", "vn", percent))
     enough = F.least(F.lit(least), F.floor(F.greatest("un", "vn") * least / k))
     near = stored(near.filter(common_in_union(F.col("us"), F.col("vs"), k) >= enough).select("u", "v", "un", "vn"), "near")
     ends = near.select(F.col("u").alias("c")).union(near.select(F.col("v").alias("c"))).distinct()
     ends = stored(ends.join(classes.select("c", "_d", "_k"), "c"), "ends")
-    sets = stored(_sets(matched(keyed(docs), ends), length).dropDuplicates(["c"]), "sets")
+    sets = stored(_sets(chosen(keyed(docs), ends), length), "sets")
     both = F.size(F.array_intersect("um", "vm"))
-    return (
+    found = (
         near.join(sets.select(F.col("c").alias("u"), F.col("members").alias("um")), "u")
         .join(sets.select(F.col("c").alias("v"), F.col("members").alias("vm")), "v")
         .filter(100 * both >= percent * (F.col("un") + F.col("vn") - both))
         .select("u", "v")
         .distinct()
     )
+    found = stored(found, "links")
+    discard(near, ends, sets)
+    return found
+
+
+def _sizes_fit(a: str, b: str, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _prefix_pairs(members: DataFrame, docs: DataFrame, length: int, percent: int) -> DataFrame:
+    """u, v: of the sets in ``members`` (c, n, root, _d, _k), those in different components that share a shingle of their prefixes.
+
+    Two sets of a and b shingles with similarity percent / 100 share at least o = percent * (a + b) / (100 + percent), so
+    that one of the first a - o + 1 of the one is among the first b - o + 1 of the other.
+    """
+    some = stored(members.orderBy(F.xxhash64("c"), "c").limit(COUNTED), "counted")
+    counts = _sets(chosen(keyed(docs), some), length).select(F.explode("members").alias("x")).groupBy("x").agg(F.count("*").alias("m"))
+    frequent = counts.filter("m > 2").orderBy(F.desc("m"), "x").limit(FREQUENT).toPandas().sort_values("x")
+    known, often = frequent["x"].to_numpy(np.int64), frequent["m"].to_numpy(np.int64)
+    discard(some)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for text, part in slices(batches):
+            owner, place, value = [], [], []
+            for i, t in enumerate(text):
+                x = shingle_set(t, length).view(np.int64)
+                at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
+                weight = np.where(known[at] == x, often[at], 0) if len(known) else np.zeros(len(x), np.int64)
+                x = x[np.lexsort((x, weight))][: len(x) - -(-percent * len(x) // 100) + 1]
+                owner.append(np.full(len(x), i))
+                place.append(np.arange(len(x)))
+                value.append(x)
+            rows = part.select(["c", "n", "root"]).take(pa.array(np.concatenate(owner)))
+            columns = [*rows.columns, pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(value), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["c", "n", "root", "place", "x"])
+
+    entries = stored(chosen(keyed(docs), members).mapInArrow(first, "c binary, n long, root binary, place int, x long"), "prefixes")
+    least = f"ceil({percent} * (a.n + b.n) / {100 + percent}.0)"
+    shorter = entries.filter(F.expr(f"place <= n - ceil(2 * {percent} * n / {100 + percent}.0)")).alias("b")
+    size = f"(a.n > b.n or (a.n = b.n and a.c > b.c)) and 100 * b.n >= {percent} * a.n"
+    found = entries.alias("a").join(shorter, F.expr(f"a.x = b.x and a.root <> b.root and {size} and a.place <= a.n - {least} and b.place <= b.n - {least}"))
+    return found.select(F.least("a.c", "b.c").alias("u"), F.greatest("a.c", "b.c").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH, least: int = LEAST_COMMON) -> DataFrame:
@@ -115,25 +167,33 @@ def near_duplicates(docs: DataFrame, length: int = SHINGLE, percent: int = PERCE
         F.min(F.struct("_d", "_k")).alias("_row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
     classes = stored(classes.select("c", "_row._d", "_row._k", "n", "sketch"), "classes")
-    # which sets can be similar without being equal follows from the threshold: one of n shingles and one of n + 1
     keys = F.transform(F.sequence(F.lit(1), F.size("sketch") - 1), lambda i: F.xxhash64(F.element_at("sketch", i), F.element_at("sketch", i + 1)))
     lists = classes.filter(F.col("n") >= LEAST_SET).select(F.explode(keys).alias("key"), "c", "n")
-    heads = lists.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("c", "key"), F.col("c"), F.col("n"))).alias("head"))
-    heads = stored(heads.filter("m > 1").select("key", F.col("head.c").alias("head"), F.col("head.n").alias("hn")), "heads")
-    shared = stored(lists.join(heads, "key"), "lists")
+    sizes = stored(lists.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
+    every = stored(lists.join(sizes, "key"), "lists")
+    ranks = every.groupBy("c").agg(F.count("*").alias("lists"), F.sum(F.log2("m")).alias("rank"))
+    kept = every.join(ranks, "c").filter(F.col("lists") >= F.when(F.col("n") < SMALL, 2).otherwise(LEAST_LISTS))
+    kept = stored(kept.select("key", "c", "n", "rank"), "kept-lists")
+    discard(sizes, every)
+    heads = kept.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("rank", "c", "n")).alias("head")).filter("m > 1")
+    heads = heads.select("key", "m", F.col("head.c").alias("head"), F.col("head.n").alias("hn"))
+    shared = stored(kept.select("key", "c", "n").join(heads, "key"), "shared")
+    discard(kept)
     ordered = [F.least("c", "head").alias("u"), F.greatest("c", "head").alias("v")]
-    fits = 100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")
-    pairs = shared.filter((F.col("c") != F.col("head")) & fits).select(*ordered).distinct()
-    links = stored(_linked(pairs, classes, docs, length, k, percent, least), "links1")
+    pairs = stored(shared.filter((F.col("c") != F.col("head")) & _sizes_fit("n", "hn", percent)).select(*ordered).distinct(), "pairs")
+    links = _linked(pairs, classes, docs, length, k, percent, least)
     roots = components(links)
     # the rest: members of one list that are in different components yet
-    placed = shared.join(roots.withColumnRenamed("u", "c"), "c", "left").select("key", "c", "n", F.coalesce("root", "c").alias("root"))
+    placed = shared.join(roots.withColumnRenamed("u", "c"), "c", "left").select("key", "m", "c", "n", F.coalesce("root", "c").alias("root"))
+    placed = stored(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    placed = stored(placed.join(mixed, "key"), "mixed")
-    x, y = placed.alias("x"), placed.alias("y")
-    rest = x.join(y, F.expr(f"x.key = y.key and x.c < y.c and x.root <> y.root and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-    rest = rest.select(F.col("x.c").alias("u"), F.col("y.c").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    more = stored(_linked(rest, classes, docs, length, k, percent, least), "links2")
+    mixed = stored(placed.join(mixed, "key"), "mixed")
+    discard(shared, placed)
+    members = stored(mixed.select("c", "n", "root").distinct().join(classes.select("c", "_d", "_k"), "c"), "members")
+    rest = _prefix_pairs(members, docs, length, percent)
+    rest = stored(rest.distinct().join(pairs, ["u", "v"], "left_anti"), "rest")
+    discard(mixed, members, pairs)
+    more = _linked(rest, classes, docs, length, k, percent, least)
     if not more.isEmpty():
         roots = components(links.union(more))
     named = classes.join(roots.withColumnRenamed("u", "c"), "c", "left").select("c", F.coalesce("root", "c").alias("root"), "_d")

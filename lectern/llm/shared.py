@@ -32,7 +32,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once all that was made of them is written too."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -63,17 +72,18 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-#: Rows of a side that ``matched`` may broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 400_000
+#: Ids that ``chosen`` may broadcast; beyond, both sides are shuffled.
+BROADCAST_IDS = 400_000
 
 
-def matched(rows: DataFrame, small: DataFrame, how: str = "inner", most: int = BROADCAST_ROWS, weight: str = "1") -> DataFrame:
-    """Join on ``_d`` and ``_k`` with a stored table, broadcast only if its counted size allows it.
+def matched(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on ``_d`` and ``_k``; a stored ``other`` is broadcast only if its files are under the session's threshold."""
+    return rows.join(other, ["_d", "_k"], how)
 
-    ``weight`` is what a row of ``small`` counts as, for rows that hold arrays.
-    """
-    size = small.agg(F.coalesce(F.sum(F.expr(weight).cast("long")), F.lit(0))).first()[0]
-    return rows.join(F.broadcast(small) if size <= most else small, ["_d", "_k"], how)
+
+def chosen(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with the ``_d`` and ``_k`` of ``ids``, a stored table of a few numbers a row, broadcast if it's counted as small."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["_d", "_k"])
 
 
 def unkeyed(d: str = "_d"):

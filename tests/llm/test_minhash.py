@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -39,3 +40,17 @@ def test_equals_all_pairs(request, name):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     found = sorted((r._d, r.n, r.component) for r in minhash.near_duplicates(docs).collect())
     assert found == brute(rows)
+
+
+def test_large_group_of_near_copies(spark):
+    """Many copies that are similar to some others only, so that heads alone don't connect them."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(80), rng.choice([1, 3, 5, 7])):
+            words[at] = f"x{rng.randrange(60)}"
+        rows.append((i, " ".join(words)))
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r._d, r.n, r.component) for r in found) == brute(rows)
