@@ -12,6 +12,7 @@ and a payload all of whose ids are null has only responses; an empty table gives
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -95,11 +96,12 @@ def records(resolved: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFram
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
-    """Write deduplicated archives below ``path``, RECORDS_PER_FILE records a file at most."""
+    """Write deduplicated archives below ``path``, gzipped as whole files, RECORDS_PER_FILE records a file at most."""
     (
         records(resolve(pages, min_bytes))
         .write.option("lineSep", CRLF)
         .option("maxRecordsPerFile", RECORDS_PER_FILE)
+        .option("compression", "gzip")
         .text(path)
     )
 
@@ -129,7 +131,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         for batch in batches:
             for data in batch["content"]:
                 out = []
-                for r in parse(bytes(data)):
+                data = bytes(data)
+                for r in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     full = r["WARC-Type"] != "revisit"
                     body = r["block"][re.search(rb"\r\n\r\n", r["block"]).end() :]
                     out.append(
