@@ -8,7 +8,7 @@
    further.
 3. A list isn't expanded into pairs. Every member is first compared with the list's head, the member whose lists are the
    longest and which therefore is likely the others' origin; then components are formed. Only members of one list that
-   are still in different components are then compared, after prefix filtering: with shingles in one order for all sets,
+   are still in different components are then compared, in lists beyond LONG_LIST after prefix filtering: with shingles in one order for all sets,
    frequent ones last, sets that are similar enough share one among their first, in number what the threshold allows a
    set to miss. So large groups of near copies, and unrelated texts that share a passage, cost few comparisons, and no
    link is lost.
@@ -41,9 +41,11 @@ LEAST_LISTS = 3
 SMALL = 7
 #: Common values of a union sketch of SKETCH values that a pair needs to be verified.
 LEAST_COMMON = 15
+#: Members of a list beyond which its pairs are found by prefix filtering, not all made.
+LONG_LIST = 12
 #: How many of the most frequent shingles are known as such and come last, and in how many sets they are counted. The
 #: order is the same for all sets, whatever it is; it matters to speed alone.
-FREQUENT, COUNTED = 1_000_000, 20_000
+FREQUENT, COUNTED = 200_000, 20_000
 _BASE = 0xD6E8FEB86659FD93
 #: Sets of fewer shingles are similar to equal sets alone.
 LEAST_SET = 4
@@ -125,6 +127,13 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """u, v: members of one short list (key) in different components whose sizes allow a link."""
+    x, y = lists.alias("x"), lists.alias("y")
+    fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    return x.join(y, F.expr(f"x.key = y.key and x.c < y.c and x.root <> y.root and {fits}")).select(F.col("x.c").alias("u"), F.col("y.c").alias("v"))
+
+
 def _prefix_pairs(members: DataFrame, docs: DataFrame, length: int, percent: int) -> DataFrame:
     """u, v: of the sets in ``members`` (c, n, root, _d, _k), those in different components that share a shingle of their prefixes.
 
@@ -189,8 +198,9 @@ def near_duplicates(docs: DataFrame, length: int = SHINGLE, percent: int = PERCE
     mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
     mixed = stored(placed.join(mixed, "key"), "mixed")
     discard(shared, placed)
-    members = stored(mixed.select("c", "n", "root").distinct().join(classes.select("c", "_d", "_k"), "c"), "members")
-    rest = _prefix_pairs(members, docs, length, percent)
+    long = mixed.filter(F.col("m") > LONG_LIST).select("c", "n", "root").distinct()
+    members = stored(long.join(classes.select("c", "_d", "_k"), "c"), "members")
+    rest = _short_pairs(mixed.filter(F.col("m") <= LONG_LIST), percent).union(_prefix_pairs(members, docs, length, percent))
     rest = stored(rest.distinct().join(pairs, ["u", "v"], "left_anti"), "rest")
     discard(mixed, members, pairs)
     more = _linked(rest, classes, docs, length, k, percent, least)

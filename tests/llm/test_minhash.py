@@ -42,6 +42,12 @@ def test_equals_all_pairs(request, name):
     assert found == brute(rows)
 
 
+def test_prefix_filtering_loses_nothing(documents, monkeypatch):
+    monkeypatch.setattr(minhash, "LONG_LIST", 1)
+    found = sorted((r._d, r.n, r.component) for r in minhash.near_duplicates(documents).collect())
+    assert found == brute([(r.doc_id, r.text) for r in documents.collect()])
+
+
 def test_large_group_of_near_copies(spark):
     """Many copies that are similar to some others only, so that heads alone don't connect them."""
     rng = random.Random(7)
