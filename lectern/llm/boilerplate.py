@@ -39,7 +39,8 @@ def boilerplate(docs: DataFrame, least: int = LEAST_SITES) -> DataFrame:
     """h1, h2, sites and the first occurrence (d, k, at) of each line that is on ``least`` sites or more."""
     lines = _lines(docs)
     # lines of one site can't be boilerplate; this leaves them out before sketches are made
-    spread = lines.groupBy("h1", "h2").agg(F.min("site").alias("low"), F.max("site").alias("high"))
+    site = F.when(F.col("site").isNotNull(), F.xxhash64("site"))
+    spread = lines.groupBy("h1", "h2").agg(F.min(site).alias("low"), F.max(site).alias("high"))
     spread = stored(spread.filter("low <> high").select("h1", "h2"), "spread")
     many = lines.join(spread, ["h1", "h2"])
     sketches = many.groupBy("h1", "h2").agg(
