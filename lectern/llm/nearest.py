@@ -9,8 +9,10 @@ crowded cells (copies of one vector can't be told apart) have several blocks.
 2. It then visits only cells that hold projections within sqrt(q) times that bound, q being the PROBABILITY quantile of
    the chi-square distribution. In a block, rows come in order of projected distance in steps of STEP; each step is
    verified by original distances in double precision, and the search stops as soon as the next projected distance exceeds
-   sqrt(q) times the k-th distance found: every true neighbour is verified with at least that probability.
+   sqrt(q) times the k-th distance found: every true neighbour is verified with at least that probability. Both tests
+   leave room for the rounding of projections, as copies of a query are at distance 0 but their projections only nearly so.
 
+In a block, equal vectors come down to as many rows as can be among the k nearest of any query (``distinct_enough``).
 Queries travel to cells in batches of rows, never all to one place; what returns is k rows for each query and block.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
@@ -98,20 +100,45 @@ class Cells:
         return out
 
     def within(self, point: np.ndarray, radius: float) -> np.ndarray:
-        """Cells that hold a place within ``radius`` of ``point``."""
+        """Cells that hold a place within ``radius`` of ``point``; the radius includes the room for rounding."""
         low, high = np.stack(self.low), np.stack(self.high)
         gap = np.maximum(np.maximum(low - point, point - high), 0)
         return np.flatnonzero((gap**2).sum(axis=1) <= radius**2)
 
 
-def search(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, near: np.ndarray, k: int, limit: float, known: float = np.inf) -> list[tuple[float, int]]:
+def reach(query: np.ndarray, to: np.ndarray, limit: float, bound: float) -> float:
+    """The projected distance up to which a vector within ``bound`` is looked for, with room for the rounding of both projections.
+
+    A sum of n products is off by at most n * eps * |v| * |direction|, and a vector within ``bound`` is no longer than |query| + bound.
+    """
+    return limit**0.5 * bound + 4 * len(query) * np.finfo(float).eps * np.linalg.norm(to) * (2 * np.linalg.norm(query) + bound)
+
+
+def distinct_enough(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that can be among the k nearest of a query: of equal vectors k rows at most of each of the k + 1 least ids.
+
+    All of them are equally far from any query, whose own id may be one of these.
+    """
+    kept, seen = [], {}
+    plain = np.ascontiguousarray(vectors) + 0.0  # -0.0 equals 0.0
+    for at in np.argsort(ids, kind="stable").tolist():
+        of = seen.setdefault(plain[at].tobytes(), {})
+        i = int(ids[at])
+        if i in of or len(of) <= k:
+            of[i] = of.get(i, 0) + 1
+            if of[i] <= k:
+                kept.append(at)
+    return np.array(kept, np.int64)
+
+
+def search(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, near: np.ndarray, to: np.ndarray, k: int, limit: float, known: float = np.inf) -> list[tuple[float, int]]:
     """The k nearest of a block; ``near`` are squared projected distances, ``known`` a bound of the k-th distance."""
     order = np.argsort(near, kind="stable")
     best: list[tuple[float, int]] = []
     bound = known
     for at in range(0, len(order), STEP):
         rows = order[at : at + STEP]
-        if near[rows[0]] > limit * bound**2:
+        if near[rows[0]] > reach(query, to, limit, bound) ** 2:
             break
         rows = rows[ids[rows] != own]
         d = np.sqrt(((vectors[rows] - query) ** 2).sum(axis=1))
@@ -154,12 +181,14 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = NEI
         if not len(asked) or not len(held):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         ids, there = held["vec_id"].to_numpy(), np.stack(held["v"].to_numpy())
+        some = distinct_enough(ids, there, k)
+        ids, there = ids[some], there[some]
         projected = there @ to
         out = []
         for own, v, known in zip(asked["q"].tolist(), asked["qv"], asked["bound"].tolist(), strict=True):
             query = np.asarray(v)
             near = ((projected - query @ to) ** 2).sum(axis=1)
-            out += [(own, i, d) for d, i in search(query, own, ids, there, near, k, CHI_SQUARE, known)]
+            out += [(own, i, d) for d, i in search(query, own, ids, there, near, to, k, CHI_SQUARE, known)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     def ask(targets: DataFrame) -> DataFrame:
@@ -186,7 +215,7 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = NEI
         for b in batches:
             out = []
             for i, v, own, bound in zip(b["vec_id"].tolist(), b["v"], b["cell"].tolist(), b["bound"].tolist(), strict=True):
-                out += [(i, v, c, bound) for c in cells.within(np.asarray(v) @ to, CHI_SQUARE**0.5 * bound).tolist() if c != own]
+                out += [(i, v, c, bound) for c in cells.within(np.asarray(v) @ to, reach(np.asarray(v), to, CHI_SQUARE, bound)).tolist() if c != own]
             yield pd.DataFrame(out, columns=["vec_id", "v", "cell", "bound"])
 
     away = ask(known.select("vec_id", "v", "cell", "bound").mapInPandas(route, "vec_id long, v array<double>, cell long, bound double"))

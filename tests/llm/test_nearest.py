@@ -49,3 +49,35 @@ def test_many_copies(spark):
     table = spark.createDataFrame([(i, [1.0, 1.0, float(i % 7 == 3) * i]) for i in range(3000)], "vec_id long, embedding array<float>")
     got = found(nearest.nearest(table, cell=50, block=100).collect())
     assert [i for _, i in got[0]] == [1, 2, 4, 5, 6, 7, 8, 9, 11, 12]
+
+
+@pytest.mark.parametrize("dimension", [16, 64, 384])
+def test_many_copies_in_one_block(dimension):
+    """More copies of the query than a step holds, their projections apart by rounding."""
+    rng = np.random.default_rng(dimension)
+    ids, vectors = rng.permutation(20_000), rng.normal(size=(20_000, dimension)).astype(np.float32).astype(float)
+    vectors[:3000] = vectors[0]
+    to = nearest.directions(dimension)
+    query, own = vectors[0], int(ids[0])
+    right = sorted(i for i in ids[:3000].tolist() if i != own)[:10]
+    for some in (np.arange(20_000), nearest.distinct_enough(ids, vectors, 10)):
+        near = ((vectors[some] @ to - query @ to) ** 2).sum(axis=1)
+        assert nearest.search(query, own, ids[some], vectors[some], near, to, 10, nearest.CHI_SQUARE) == [(0.0, i) for i in right]
+
+
+def test_copies_across_cells(spark):
+    """Copies of float vectors in blocks of more than a step, also where a cut goes through them."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(4, 32))
+    ids = rng.permutation(4000).tolist()
+    table = spark.createDataFrame([(i, base[n % 4].tolist()) for n, i in enumerate(ids)], "vec_id long, embedding array<float>")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    for cell in (20_000, 100):
+        assert found(nearest.nearest(table, cell=cell).collect()) == brute(rows, lambda i: i % 100 == 0)
+
+
+def test_repeated_ids_among_copies(spark):
+    rows = [(0, [1.0, 2.0])] * 30 + [(1, [1.0, 2.0])] * 30 + [(2, [-0.0, 2.0]), (100, [0.0, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = found(nearest.nearest(table).collect())
+    assert got[0] == [(0.0, 1)] * 10 and got[100][0] == (0.0, 2) and len(got[100]) == 10
