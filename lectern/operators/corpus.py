@@ -11,6 +11,8 @@ from lectern.sources.places import shared_place
 
 NEAR = 0.85
 GRAM, LEAST_STRIDE, MOST_GRAMS = 48, 24, 900
+#: Normal characters of a body that its fingerprint covers.
+FINGERPRINT = 4000
 #: Rules of selection.
 MIN_YEAR, RECENT_YEAR, TRIM_RECENT_YEAR = 1990, 2023, 2020
 PER_AUTHOR, PER_JOURNAL, REVIEW_SHARE, RECENT_SHARE, A_SHARE = 3, 10, 0.25, 0.3, 0.7
@@ -51,7 +53,15 @@ def near_pairs(docs: DataFrame, least: float = NEAR) -> DataFrame:
     Copies are collapsed first, so a gram's list holds different texts only.
     """
     rows = docs.withColumn("_t", text_norm(F.col("text"))).select("doc_id", body_grams(F.col("_t")).alias("grams")).filter("grams is not null")
-    same = rows.groupBy(F.sha2(F.array_join(F.array_sort("grams"), "|"), 256).alias("h")).agg(F.min("doc_id").alias("id"), F.first("grams").alias("grams"))
+    return _near(rows.groupBy(_gram_hash(F.col("grams")).alias("h")).agg(F.min("doc_id").alias("id"), F.first("grams").alias("grams")), least)
+
+
+def _gram_hash(grams: Column) -> Column:
+    return F.sha2(F.array_join(F.array_sort(grams), "|"), 256)
+
+
+def _near(same: DataFrame, least: float) -> DataFrame:
+    """a, b, similarity of the ids of gram sets (id, grams)."""
     each = same.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
     x, y = each.alias("x"), each.alias("y")
     shared = x.join(y, F.expr("x.g = y.g and x.id < y.id")).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("both"))
@@ -77,6 +87,28 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
+def duplicate_roots(docs: DataFrame, least: float = NEAR) -> DataFrame:
+    """doc_id, root for every row: the smallest doc_id that its text is linked to; its own where there's no link.
+
+    Texts of any length with equal fingerprints, texts with equal grams and near pairs are linked. Rows find their root by
+    their text's class; doc_ids only name roots. Texts without letters and digits are linked with nothing.
+    """
+    shared_place(docs.sparkSession)
+    texts = docs.select("doc_id", text_norm(F.col("text")).alias("_t"))
+    print_ = F.when(F.col("_t") != "", F.sha2(F.substring("_t", 1, FINGERPRINT).cast("binary"), 256))
+    rows = texts.select("doc_id", print_.alias("fp"), body_grams(F.col("_t")).alias("grams"))
+    node = F.coalesce(F.concat(F.lit("g"), _gram_hash(F.col("grams"))), F.concat(F.lit("f"), F.col("fp")))
+    of_rows = rows.select("doc_id", "fp", node.alias("node")).checkpoint()
+    near = _near(rows.filter("grams is not null").groupBy(node.alias("id")).agg(F.first("grams").alias("grams")), least).select("a", "b")
+    kinds = of_rows.filter("node is not null").groupBy("fp", "node").agg(F.min("doc_id").alias("first")).checkpoint()
+    alike = kinds.groupBy("fp").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("fp", "a")
+    roots = components(near.union(kinds.join(alike, "fp").filter("a <> node").select("a", F.col("node").alias("b"))))
+    named = kinds.groupBy("node").agg(F.min("first").alias("first")).join(roots.withColumnRenamed("id", "node"), "node", "left")
+    named = named.select("node", F.coalesce("root", "node").alias("class"), "first").checkpoint()
+    least_id = named.groupBy("class").agg(F.min("first").alias("root"))
+    return of_rows.join(named.join(least_id, "class").select("node", "root"), "node", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
+
+
 def citation_score(cited: Column, year: Column) -> Column:
     return F.log10(cited + 1) + F.when(year >= RECENT_YEAR, F.when(cited >= 20, 0.6).otherwise(0.2)).otherwise(0.0)
 

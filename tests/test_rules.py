@@ -141,3 +141,11 @@ def test_quota_respects_caps(spark):
     got = C.quota_selection(spark.createDataFrame(rows, "id long, topic string, author string, journal string, year int, review boolean, level string, score double"), 20).collect()
     assert len(got) == 9  # three authors, three papers each
     assert len({r.id for r in got}) == 9
+
+
+def test_duplicate_roots_of_all_members(spark):
+    """Copies, short copies, texts with equal grams and near copies have one root; documents without a link their own."""
+    long = " ".join(f"word{i}" for i in range(200))
+    rows = [(9, long), (2, long.upper() + "!"), (5, long + " z"), (1, long.replace("word150", "xxxx150")), (4, "Short."), (3, "short"), (8, "other"), (7, ""), (10, None)]
+    got = C.duplicate_roots(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.root) for r in got) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 1), (7, 7), (8, 8), (9, 1), (10, 10)]
