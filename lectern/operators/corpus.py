@@ -6,13 +6,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import text_norm
+from lectern.functions.text import content_tokens, text_norm
 from lectern.sources.places import shared_place
 
 NEAR = 0.85
 GRAM, LEAST_STRIDE, MOST_GRAMS = 48, 24, 900
-#: Normal characters of a body that its fingerprint covers.
+#: Normal characters of a body that its fingerprint covers; title similarities from which a candidate is a suspect and a duplicate.
 FINGERPRINT = 4000
+FLAGGED, CONFIRMED = 0.8, 0.9
 #: Rules of selection.
 MIN_YEAR, RECENT_YEAR, TRIM_RECENT_YEAR = 1990, 2023, 2020
 PER_AUTHOR, PER_JOURNAL, REVIEW_SHARE, RECENT_SHARE, A_SHARE = 3, 10, 0.25, 0.3, 0.7
@@ -109,6 +110,36 @@ def duplicate_roots(docs: DataFrame, least: float = NEAR) -> DataFrame:
     return of_rows.join(named.join(least_id, "class").select("node", "root"), "node", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
 
 
+def best_titles(rows: DataFrame) -> DataFrame:
+    """id, best_id, similarity, flagged, confirmed: of all other titles the one with the largest Jaccard of tokens, then the smallest id.
+
+    Equal token sets are compared once. Two sets that share s tokens meet in s * (s - 1) / 2 pairs of tokens, which gives
+    their Jaccard; where only single tokens are shared the smallest set of a token is the best one.
+    """
+    titles = rows.select("id", F.array_sort(content_tokens(F.col("title"))).alias("tokens"))
+    some = titles.filter(F.size("tokens") > 0)
+    two = some.withColumn("_n", F.row_number().over(Window.partitionBy("tokens").orderBy("id"))).filter("_n <= 2")
+    sets = two.groupBy("tokens").agg(F.min("id").alias("first"), F.max(F.when(F.col("_n") == 2, F.col("id"))).alias("second"))
+    shared_place(rows.sparkSession)
+    sets = sets.withColumn("n", F.size("tokens")).checkpoint()
+    pairs = F.expr("flatten(transform(sequence(1, n - 1), i -> transform(slice(tokens, i + 1, n), y -> concat(element_at(tokens, i), ' ', y))))")
+    each = sets.filter("n > 1").select("first", "n", F.explode(pairs).alias("g"))
+    x, y = each.alias("x"), each.alias("y")
+    met = x.join(y, F.expr("x.g = y.g and x.first < y.first")).groupBy(F.col("x.first").alias("a"), F.col("y.first").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("both"))
+    s = F.round((1 + F.sqrt(1 + 8 * F.col("both"))) / 2).cast("long")
+    met = met.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("p"), (s / (F.col("n") + F.col("m") - s)).alias("similarity"))
+    single = sets.select("first", "n", F.explode("tokens").alias("g"))
+    short = single.withColumn("_n", F.row_number().over(Window.partitionBy("g").orderBy("n", "first"))).filter("_n <= 2").select("g", F.col("first").alias("other"), F.col("n").alias("m"))
+    once = single.join(short, "g").filter("first <> other").select(F.struct(F.col("first").alias("id"), "other").alias("p"), (1 / (F.col("n") + F.col("m") - 1)).alias("similarity"))
+    best = met.union(once).groupBy(F.col("p.id").alias("first")).agg(F.max(F.struct("similarity", (-F.col("p.other")).alias("other"))).alias("best"))
+    found = titles.join(sets.join(best, "first", "left"), "tokens", "left")
+    twin = F.when(F.col("second").isNotNull(), F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")))
+    similarity = F.when(twin.isNotNull(), 1.0).otherwise(F.coalesce("best.similarity", F.lit(0.0)))
+    return found.select(
+        "id", F.coalesce(twin, -F.col("best.other")).alias("best_id"), F.round(similarity, 6).alias("similarity"), (similarity >= FLAGGED).alias("flagged"), (similarity >= CONFIRMED).alias("confirmed")
+    )
+
+
 def citation_score(cited: Column, year: Column) -> Column:
     return F.log10(cited + 1) + F.when(year >= RECENT_YEAR, F.when(cited >= 20, 0.6).otherwise(0.2)).otherwise(0.0)
 

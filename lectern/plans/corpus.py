@@ -146,6 +146,18 @@ def title_match(spark, d):
     return rows.select("id", T.titles_match(x, y).alias("same"), F.round(T.jaccard(T.content_tokens(x), T.content_tokens(y), 0.0), 6).alias("similarity"))
 
 
+_TK = f"list_filter(list_distinct(string_split({_TN}, ' ')), lambda x: x <> '')"
+
+
+@query(f"""WITH {_CAND}, t AS (SELECT id, {_TK} AS k FROM cd),
+s AS (SELECT x.id, y.id AS other, len(list_intersect(x.k, y.k)) / len(list_distinct(list_concat(x.k, y.k))) AS s FROM t x JOIN t y ON x.id <> y.id AND len(list_intersect(x.k, y.k)) > 0),
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS n FROM s)
+SELECT t.id, b.other AS best_id, round(coalesce(b.s, 0), 6) AS similarity, coalesce(b.s, 0) >= {C.FLAGGED} AS flagged, coalesce(b.s, 0) >= {C.CONFIRMED} AS confirmed FROM t LEFT JOIN b ON b.id = t.id AND b.n = 1""")
+def title_best_match(spark, d):
+    """Of all other titles the most similar one, with the two thresholds."""
+    return C.best_titles(candidates(spark, d))
+
+
 _TITLES = [(1, "Occurrence of PFAS in river water"), (2, "Removal of PFAS from wastewater"), (3, "Soil burden of PFAS in water"), (4, "A new catalyst"), (5, "Ozone in drinking water"), (6, "Fate of drugs in sewage treatment plants")]
 _VERDICTS = [(1, ""), (2, "hn_answers_same_question(is a treatment paper)"), (3, "hn_off_topic(soil/epidemiology/non-water)"), (4, "hn_off_topic(not water-related)"), (5, "hn_not_occurrence_type"), (6, "")]
 

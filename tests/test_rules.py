@@ -149,3 +149,16 @@ def test_duplicate_roots_of_all_members(spark):
     rows = [(9, long), (2, long.upper() + "!"), (5, long + " z"), (1, long.replace("word150", "xxxx150")), (4, "Short."), (3, "short"), (8, "other"), (7, ""), (10, None)]
     got = C.duplicate_roots(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.root) for r in got) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 1), (7, 7), (8, 8), (9, 1), (10, 10)]
+
+
+def test_best_titles(spark):
+    """Against all pairs: random titles, copies, a title of one word, one without words."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices("abcdefghijklm", k=rng.choice([1, 2, 4, 5, 9])))) for i in range(120)] + [(120, "A-b c"), (121, "c b a"), (122, "?"), (123, "zz"), (124, "yy xx"), (125, "xx q r"), (126, None)]
+    sets = {i: {w for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()} for i, t in rows}
+    expected = []
+    for i, s in sets.items():
+        best = max(((len(s & o) / len(s | o), -j) for j, o in sets.items() if j != i and s & o), default=(0.0, None))
+        expected.append((i, None if best[1] is None else -best[1], round(best[0], 6), best[0] >= 0.8, best[0] >= 0.9))
+    got = C.best_titles(spark.createDataFrame(rows, "id long, title string")).collect()
+    assert sorted((tuple(r) for r in got), key=lambda r: r[0]) == expected
