@@ -27,13 +27,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays, once."""
-    kept = minhash.near_duplicates(docs).filter("_d = component").groupBy("_d", "n").agg(F.min("_k").alias("_k"))
-    # of rows with this doc_id in one component (repeated rows, or near copies with one id) one stays
-    rows = with_keys(docs).join(kept.select("_d", "_k", "n"), ["_d", "_k"])
-    words = F.col("n") > 0
-    once = rows.filter(words).dropDuplicates(["_d", "_k"])
-    return once.unionByName(rows.filter(~words)).select(*(F.col(f"_row.`{x}`").alias(x) for x in docs.columns))
+    """Of each group of near duplicates the document with the smallest doc_id stays, once; so do all without words."""
+    found = minhash.near_duplicates(docs).filter("n > 0 and _d = component")
+    # groups are told apart by their roots: unrelated texts can share a doc_id, or have none
+    kept = found.groupBy("root").agg(F.min(F.struct("_d", "_k")).alias("_least")).select("_least._d", "_least._k")
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = with_keys(docs.filter(words)).join(kept, ["_d", "_k"]).dropDuplicates(["_d", "_k"])
+    return once.select(*(F.col(f"_row.`{x}`").alias(x) for x in docs.columns)).unionByName(docs.filter(~words))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,7 +170,7 @@ def _prefix_pairs(members: DataFrame, docs: DataFrame, length: int, percent: int
 
 
 def near_duplicates(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH, least: int = LEAST_COMMON) -> DataFrame:
-    """_d, _k, n, component (a ``_d``): one row for each row of ``docs``."""
+    """_d, _k, n, component (a ``_d``) and root (a class, as two components can have one ``_d``; null without words): one row for each row of ``docs``."""
     rows = stored(_sketches(docs, length, k), "sketches")
     classes = rows.filter("n > 0").groupBy("c").agg(
         F.min(F.struct("_d", "_k")).alias("_row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
@@ -209,6 +209,6 @@ def near_duplicates(docs: DataFrame, length: int = SHINGLE, percent: int = PERCE
     named = classes.join(roots.withColumnRenamed("u", "c"), "c", "left").select("c", F.coalesce("root", "c").alias("root"), "_d")
     named = stored(named, "named")
     smallest = named.groupBy("root").agg(F.min("_d").alias("component"))
-    named = named.join(smallest, "root").select("c", "component")
-    out = rows.filter("n > 0").join(named, "c").select("_d", "_k", "n", "component")
-    return out.unionByName(rows.filter("n = 0").select("_d", "_k", "n", F.col("_d").alias("component")))
+    named = named.join(smallest, "root").select("c", "component", "root")
+    out = rows.filter("n > 0").join(named, "c").select("_d", "_k", "n", "component", "root")
+    return out.unionByName(rows.filter("n = 0").select("_d", "_k", "n", F.col("_d").alias("component"), F.lit(None).cast("binary").alias("root")))

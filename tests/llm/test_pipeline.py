@@ -48,6 +48,18 @@ def test_stages(spark, request, name):
     assert Counter(r.doc_id for r in packed.filter("piece = 0").collect()) == Counter(r.doc_id for r in mixed.collect())
 
 
+def test_near_dedup_with_null_and_repeated_ids(spark):
+    """Unrelated texts that share an id, or have none, stay; near copies go whatever their ids; wordless rows stay."""
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (8, text("f")), (8, text("f") + " more"), (9, text("d") + " more")]
+    rows += [(None, text("g")), (None, text("g")), (5, text("a")), (3, None), (3, ""), (3, " "), (3, " "), (None, None)]
+    got = dict(corpus_pipeline.STAGES)["near dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    got = Counter((r.doc_id, r.text) for r in got)
+    of_f = [x for x in got if x[0] == 8]
+    assert len(of_f) == 1 and got.pop(of_f[0]) == 1
+    assert got == Counter([(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (None, text("g")), *rows[11:]])
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     used = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("m"), F.max(F.col("offset") + F.col("length")).alias("end"))
