@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and strings that zstandard can't predict from code, identifiers and their surroundings.
 
 Base findings are patterns (assignments to a name that means a secret, access key ids, long hex runs). Beyond them, every
-string of secret characters within REACH characters behind a sensitive name is a candidate. Its novelty is what it adds
+string of secret characters within REACH characters behind a sensitive name that holds both a digit and a letter is a
+candidate; strings of letters or of digits only, and strings before a name, aren't measured. Its novelty is what it adds
 to the compressed size of the text before it, with a compressor primed with PRIMER, a dictionary of code and identifiers:
 words, paths and names that the surroundings or the dictionary hold add little, keys add nearly all their length. Novel
 candidates are reported where no base finding lies.
