@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.places import spread
+
 HEADINGS = (
     "Abstract", "1. Introduction", "2 Materials and Methods", "3.1 Adsorption experiments", "12. Smith, J. A. et al. 2020", "Results and discussion",
     "4.2) The effect of pH", "CONCLUSIONS:", "References", "5. Therefore we stop", "Acknowledgements",
@@ -17,7 +19,7 @@ RUNNING = "Journal of Lines,  Volume 7"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

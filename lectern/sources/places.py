@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where a local session names no shared folder, as in tests.
 LOCAL = "file:///tmp/checkpoints/lectern"
 
 
 def shared_place(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or LOCAL
+    """``spark.checkpoint.dir``, else the context's checkpoint folder; a local one only in a local session."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("no folder is shared by driver and executors: set spark.checkpoint.dir")
+        found = LOCAL
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -19,3 +24,12 @@ def shared_place(spark: SparkSession) -> str:
 
 def fresh_place(spark: SparkSession, name: str) -> str:
     return f"{shared_place(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt over all cores: a small file of one row group is one task.
+
+    Such a table has fewer splits than the session has cores, so what moves is bounded by them; larger ones stay as they are.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
