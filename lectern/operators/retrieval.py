@@ -7,6 +7,8 @@ Top-k cuts are row_number filters, which Spark turns into partial limits before
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ from lectern.functions.text import collapsed, estimated_tokens, folded, jaccard,
 DENSE_K = SPARSE_K = FUSION_K = 25
 RRF_K = 60
 TOP_K, MAX_PER_SOURCE, TOKEN_BUDGET = 5, 2, 3000
-#: Queries that one block of the dense search compares with a part of the vectors.
-QUERY_BLOCK, VECTOR_PART = 2000, 200_000
+#: Queries that one block of the dense search compares with a part of the vectors, and at once.
+QUERY_BLOCK, VECTOR_PART = 2000, 50_000
+QUERY_STEP = 64
 
 #: Keywords (of the lower-cased query) and what they add to it.
 EXPANSIONS = (
@@ -51,35 +54,64 @@ def _ranked(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda n, x: n + x)
+_FOUND = "query_id long, id long, distance double"
+
+
+def _nearest_of(asked: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest rows of ``held`` for each of ``asked``: candidates by one matrix product, distances then exactly."""
+    ids, there = held["id"].to_numpy(), np.stack(held["vector"].to_numpy()).astype(np.float64)
+    square = (there**2).sum(axis=1)
+    out = []
+    for at in range(0, len(asked), QUERY_STEP):
+        some = asked.iloc[at : at + QUERY_STEP]
+        points = np.stack(some["qv"].to_numpy()).astype(np.float64)
+        near = square + (points**2).sum(axis=1)[:, None] - 2 * points @ there.T
+        last = np.partition(near, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+        # the product is off by rounding only, and all that tie with the last are kept for now
+        room = 1e-9 * (1 + np.abs(last) + square.max())
+        for q, point, row, most in zip(some["query_id"].tolist(), points, near, last + room, strict=True):
+            chosen = np.flatnonzero(row <= most)
+            distance = np.round(((there[chosen] - point) ** 2).sum(axis=1), 9)
+            best = np.lexsort((ids[chosen], distance))[:k]
+            out.append(pd.DataFrame({"query_id": q, "id": ids[chosen][best], "distance": distance[best]}))
+    return pd.concat(out)
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = DENSE_K) -> DataFrame:
     """query_id, id, distance, rank: the k nearest of (id, vector) for each of (query_id, vector), exactly.
 
-    A grid join: blocks of queries by parts of vectors, both hashed by id, so that no cell grows with the tables.
+    A grid: blocks of queries by parts of vectors, both hashed by id, so that no cell grows with the tables. In a cell one
+    matrix product finds the k nearest of the part; only these leave it, for the last cut.
     """
     blocks, parts = (max(1, -(-df.count() // n)) for df, n in ((queries, QUERY_BLOCK), (vectors, VECTOR_PART)))
-    asked = queries.select("query_id", F.col("vector").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"))
-    held = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
-    met = held.join(asked, ["b", "p"]).select("query_id", "id", F.round(squared_distance(F.col("vector"), F.col("qv")), 9).alias("distance"))
+    asked = queries.select("query_id", F.col("vector").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"))
+    held = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
+        return _nearest_of(left, right, k)
+
+    met = asked.groupBy("b", "p").cogroup(held.groupBy("b", "p")).applyInPandas(cell, _FOUND)
     return _ranked(met, [F.col("distance"), F.col("id")], k)
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda x: F.length(x) >= 2)
+    """Runs of two letters or more of the lower-cased text."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]{2,}"), F.lit(0))
 
 
-def weights(rows: DataFrame, key: str) -> DataFrame:
-    """key, token, weight: the default lexical encoder, a token's share of a text's tokens."""
+def weights(rows: DataFrame, key: str, only: DataFrame | None = None) -> DataFrame:
+    """key, token, weight: the default lexical encoder, a token's share of a text's tokens; of the tokens in ``only``, if given."""
     each = rows.select(key, tokens(F.col("text")).alias("ts")).select(key, F.size("ts").alias("n"), F.explode("ts").alias("token"))
+    if only is not None:
+        each = each.join(only.select("token").distinct(), "token", "left_semi")
     return each.groupBy(key, "token", "n").agg((F.count("*") / F.col("n")).alias("weight")).drop("n")
 
 
-def sparse_index(docs: DataFrame) -> DataFrame:
-    """token, id, weight of (id, text)."""
-    return weights(docs, "id").select("token", "id", "weight")
+def sparse_index(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """token, id, weight of (id, text), of the tokens in ``only``, if given."""
+    return weights(docs, "id", only).select("token", "id", "weight")
 
 
 def sparse_search(query_weights: DataFrame, index: DataFrame, k: int = SPARSE_K) -> DataFrame:
@@ -174,13 +206,29 @@ def reranked(hits: DataFrame, score: Column, k: int) -> DataFrame:
     return _ranked(hits.withColumn("rerank_score", score).withColumnRenamed("rank", "input_rank"), [F.desc("rerank_score"), F.col("input_rank")], k)
 
 
-def retrieve(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, mode: str = "hybrid", top_k: int = TOP_K, budget: int = TOKEN_BUDGET) -> DataFrame:
-    """The whole pipeline for (query_id, vector, text) over (id, vector) and chunks (id, source, page, chunk_index, text)."""
-    if mode not in ("dense_only", "hybrid"):
+#: Names of the retrieval modes.
+MODES = ("dense_only", "hybrid_dense_sparse", "hybrid_reranker")
+
+
+def retrieve(
+    queries: DataFrame, vectors: DataFrame, chunks: DataFrame, mode: str = "hybrid_dense_sparse", top_k: int = TOP_K, budget: int = TOKEN_BUDGET,
+    index: DataFrame | None = None, rerank_score: Column | None = None,
+) -> DataFrame:
+    """The whole pipeline for (query_id, vector, text) over (id, vector) and chunks (id, source, page, chunk_index, text).
+
+    ``index``: saved postings of the chunks (``load_index``); without them the queries' tokens of all chunks are indexed.
+    ``rerank_score``, over a hit's columns and its query's text as ``question``, orders the pool in mode hybrid_reranker.
+    """
+    if mode not in MODES:
         raise ValueError(f"unknown retrieval mode: {mode}")
-    dense = dense_search(queries.filter("vector is not null").select("query_id", "vector"), vectors, DENSE_K if mode == "hybrid" else max(4 * top_k, 20))
+    if mode == "hybrid_reranker" and rerank_score is None:
+        raise ValueError("mode hybrid_reranker needs a rerank_score")
+    dense = dense_search(queries.filter("vector is not null").select("query_id", "vector"), vectors, max(4 * top_k, 20) if mode == "dense_only" else DENSE_K)
     if mode == "dense_only":
-        pool = dense
-    else:
-        pool = inherit_distance(rrf(dense, sparse_search(weights(queries, "query_id"), sparse_index(chunks))))
-    return within_budget(diversify(resolved(pool, chunks), top_k), budget)
+        return within_budget(diversify(resolved(dense, chunks), top_k), budget)
+    asked = weights(queries, "query_id")
+    pool = inherit_distance(rrf(dense, sparse_search(asked, sparse_index(chunks, asked) if index is None else index)))
+    found = resolved(pool, chunks)
+    if mode == "hybrid_reranker":
+        found = reranked(found.join(queries.select("query_id", F.col("text").alias("question")), "query_id"), rerank_score, FUSION_K).drop("question")
+    return within_budget(diversify(found, top_k), budget)

@@ -37,7 +37,8 @@ def dense(spark, d, k=R.DENSE_K):
 
 
 def sparse(spark, d):
-    return R.sparse_search(R.weights(text_queries(spark, d), "query_id"), R.sparse_index(chunks(spark, d)))
+    asked = R.weights(text_queries(spark, d), "query_id")
+    return R.sparse_search(asked, R.sparse_index(chunks(spark, d), asked))
 
 
 def hits(spark, d):
@@ -187,11 +188,14 @@ def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
 n AS (SELECT *, lag(g) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM g)
 SELECT doc_id, len(g) AS n_shingles, round(len(list_intersect(g, p)) / greatest(len(list_distinct(list_concat(g, p))), 1), 6) AS similarity FROM n WHERE p IS NOT NULL""")
 def shingle_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Each document against the one before it in its source."""
+    """Each document against the one before it in its source: ids are paired first, and grams then joined to the pairs."""
     from pyspark.sql import Window
 
-    rows = A.read(spark, d, "documents").select("doc_id", "source", T.shingles(F.col("text")).alias("g"))
-    rows = rows.withColumn("p", F.lag("g").over(Window.partitionBy("source").orderBy("doc_id"))).filter("p is not null")
+    docs = A.read(spark, d, "documents").select("doc_id", "source", "text")
+    before = F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
+    pairs = docs.select("doc_id", before.alias("previous")).filter("previous is not null")
+    grams = docs.select("doc_id", T.shingles(F.col("text")).alias("g"))
+    rows = pairs.join(grams, "doc_id").join(grams.select(F.col("doc_id").alias("previous"), F.col("g").alias("p")), "previous")
     return rows.select("doc_id", F.size("g").alias("n_shingles"), F.round(T.jaccard(F.col("g"), F.col("p"), 1.0), 6).alias("similarity"))
 
 
@@ -215,3 +219,18 @@ def rerank_stub(spark: SparkSession, d: str) -> DataFrame:
 def topk_pinned_ties(spark: SparkSession, d: str) -> DataFrame:
     """Over-fetching of the dense-only mode: max(4 k, 20) with ties by id."""
     return dense(spark, d, max(4 * R.TOP_K, 20))
+
+
+@query(f"""WITH RECURSIVE {DENSE}, {SPARSE}, fj AS (SELECT query_id, id, d.distance, d.rank AS dense_rank, s.rank AS sparse_rank FROM dense d FULL JOIN sparse s USING (query_id, id)),
+fs AS (SELECT *, round(coalesce(1 / (dense_rank + {R.RRF_K + 1}), 0) + coalesce(1 / (sparse_rank + {R.RRF_K + 1}), 0), 12) AS rrf_score FROM fj),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST, id) - 1 AS rank FROM fs),
+{CHUNKS}, pool AS (SELECT fr.query_id, fr.id, fr.rank, source, chunk_index, len(list_intersect(list_distinct(q.ts), list_distinct(t.ts))) AS overlap
+  FROM fr JOIN chunks USING (id) JOIN qi q USING (query_id) JOIN ti t ON t.id = fr.id WHERE fr.rank < {R.FUSION_K}),
+counts AS (SELECT query_id, count(*) AS n, max(overlap) AS best FROM pool GROUP BY 1)
+SELECT query_id, n, best FROM counts""")
+def reranker_pool(spark: SparkSession, d: str) -> DataFrame:
+    """What mode hybrid_reranker orders: the fused pool of each query with a text, and its best score."""
+    asked = text_queries(spark, d).select("query_id", F.col("text").alias("question"))
+    rows = R.resolved(R.rrf(dense(spark, d), sparse(spark, d)), chunks(spark, d)).join(asked, "query_id")
+    shared = F.size(F.array_intersect(R.tokens(F.col("question")), R.tokens(F.col("text"))))
+    return R.reranked(rows, shared, R.FUSION_K).groupBy("query_id").agg(F.count("*").alias("n"), F.max("rerank_score").alias("best"))
