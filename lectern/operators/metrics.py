@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import evidence_norm
 
 BAD_BELOW = 4
 #: Error types in the order of reports, and the release gate.
@@ -25,29 +26,12 @@ def rate(condition: Column, of: Column | None = None) -> Column:
     return F.round(F.count_if(condition & of) / F.greatest(F.lit(1), F.count_if(of)), 4)
 
 
-def gold_spans(cases: DataFrame, chunks: DataFrame) -> DataFrame:
-    """case_id, id, n_places: the first chunk (by id) that holds each case's span after normalisation; null where none does.
-
-    ``cases`` (case_id, gold) is an evaluation set, small beside ``chunks``; Spark picks the join side.
-    """
-    wanted = cases.select("case_id", evidence_norm(F.col("gold")).alias("g")).filter("g <> ''")
-    there = chunks.select("id", evidence_norm(F.col("text")).alias("t"))
-    found = there.join(wanted, F.col("t").contains(F.col("g"))).groupBy("case_id").agg(F.min("id").alias("id"), F.count("*").alias("n_places"))
-    return cases.select("case_id").join(found, "case_id", "left")
-
-
 def ranked_gold(gold: DataFrame, hits: DataFrame) -> DataFrame:
     """case_id and the first 1-based rank at which its gold id stands, null if it doesn't."""
     both = gold.join(hits.select(F.col("query_id").alias("case_id"), "id", (F.col("rank") + 1).alias("r")), ["case_id", "id"], "left")
     return both.groupBy("case_id").agg(F.min("r").alias("rank"))
 
 
-def retrieval_summary(ranks: DataFrame) -> DataFrame:
-    hit = lambda k: F.round(F.avg(F.coalesce((F.col("rank") <= k).cast("int"), F.lit(0))), 4)
-    mrr = F.round(F.avg(F.coalesce(F.when(F.col("rank") <= 10, 1 / F.col("rank")), F.lit(0.0))), 4)
-    return ranks.agg(F.count("*").alias("n"), hit(5).alias("recall5"), hit(10).alias("recall10"), mrr.alias("mrr10"))
-
-
 def run_summary(results: DataFrame, threshold: int = BAD_BELOW) -> DataFrame:
     """One row a run over (qid, judge struct or null, error): correctness and evidence_relevance leave zeros out."""
     j = lambda x: F.col(f"judge.{x}")
@@ -63,7 +47,7 @@ def run_summary(results: DataFrame, threshold: int = BAD_BELOW) -> DataFrame:
 
 
 def bad_cases(results: DataFrame, types: DataFrame, threshold: int = BAD_BELOW) -> DataFrame:
-    """error_type, n_bad, qids (sorted): every type has a row."""
+    """error_type, n_bad, qids (sorted): every type has a row, and so has none; a report names each bad case."""
     bad = results.filter(F.col("judge.overall") < threshold).select(F.col("judge.error_type").alias("error_type"), "qid")
     grouped = bad.groupBy("error_type").agg(F.count("*").alias("n_bad"), F.array_join(F.array_sort(F.collect_list("qid")), ",").alias("qids"))
     return types.join(grouped, "error_type", "left").select("error_type", F.coalesce("n_bad", F.lit(0)).alias("n_bad"), F.coalesce("qids", F.lit("")).alias("qids"))
@@ -92,6 +76,14 @@ def attribution() -> Column:
     )
 
 
+def miss_cause(dense: str, sparse: str, hybrid: str) -> Column:
+    """Why a case's span wasn't reached, or how it was rescued; labels accumulate. The labels."""
+    dn, sp, hy = (F.col(x) for x in (dense, sparse, hybrid))
+    return F.array_join(F.array_compact(F.array(
+        F.when(~dn & ~sp, "GOLD_SPAN_NOT_IN_TOP25"), F.when(dn & ~hy, "RRF_RANKING_LOSS"), F.when(~dn & sp & hy, "SPARSE_RESCUED")
+    )), "+")
+
+
 def gate(metrics: DataFrame) -> DataFrame:
     """metric, value, threshold, op, passed, verdict from one row that has the gate's metrics."""
     rows = metrics.select(F.explode(F.array(*(
@@ -107,22 +99,29 @@ def gate(metrics: DataFrame) -> DataFrame:
 def bootstrap(rows: DataFrame, replicates: int = 2000) -> DataFrame:
     """mean, low, high of (id, value): percentile interval of resampled means.
 
-    Each row enters a replicate as often as a Poisson variable of mean 1 says, drawn from a hash of id and replicate: no
-    row has to know the others, so it's one aggregation, the same on every run.
+    A row enters a replicate as often as a Poisson variable of mean 1 says, drawn from the MD5 of id and replicate (the first
+    seven hex digits), so that no row has to know the others: one aggregation, the same on every run and in any engine.
     """
-    u = F.pmod(F.xxhash64("id", "rep", F.lit("boot")), F.lit(1 << 30)).cast("double") / (1 << 30)
-    steps, total, term = [], 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        total += term
-        steps.append((u >= total).cast("int"))
-        term /= k
-    times = sum(steps[1:], steps[0])
+    digits = F.substring(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("rep").cast("string")).cast("binary")), 1, 7)
+    u = F.conv(digits, 16, 10).cast("double") / (1 << 28)
+    times = F.lit(0)
+    for bound in poisson_bounds():
+        times = times + (u >= bound).cast("int")
     reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("times", times)
     means = reps.groupBy("rep").agg((F.sum(F.col("value") * F.col("times")) / F.greatest(F.lit(1), F.sum("times"))).alias("m"))
     ordered = F.array_sort(F.collect_list("m"))
-    return rows.agg(F.avg("value").alias("mean")).crossJoin(
-        means.agg(F.element_at(ordered, int(0.025 * replicates) + 1).alias("low"), F.element_at(ordered, int(0.975 * replicates)).alias("high"))
-    )
+    low, high = (F.round(F.element_at(ordered, int(share * replicates) + 1), 6) for share in (0.025, 0.975))
+    return rows.agg(F.round(F.avg("value"), 6).alias("mean")).crossJoin(means.agg(low.alias("low"), high.alias("high")))
+
+
+def poisson_bounds(most: int = 8) -> list[float]:
+    """The chances that a Poisson variable of mean 1 is at most 0, 1, ... ``most`` - 1."""
+    out, term, total = [], math.exp(-1), 0.0
+    for k in range(1, most + 1):
+        total += term
+        out.append(total)
+        term /= k
+    return out
 
 
 def compared(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries over gold spans, metrics, judgements and gates."""
+"""Queries over judgements, behaviour metrics and intervals."""
 
 from __future__ import annotations
 
@@ -6,95 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import metrics as M
+from lectern.sources import reports as O
 
 from . import adapters as A
-from . import retrieval as R
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
 
-# --- gold spans: benchmark items in documents
-
-_NORM = r"replace(lower(regexp_replace(regexp_replace({0}, '[‐‑‒–—−]', '-', 'g'), '\s+', ' ', 'g')), 'ß', 'ss')"
-_GOLD = f"""bg AS (SELECT item_id AS case_id, {_NORM.format("text")} AS g FROM benchmark),
-dt AS MATERIALIZED (SELECT doc_id AS id, {_NORM.format("text")} AS t FROM documents),
-gf AS (SELECT case_id, min(id) AS id, count(*) AS n_places FROM bg JOIN dt ON contains(t, g) WHERE g <> '' GROUP BY 1),
-gold AS (SELECT case_id, id, n_places FROM bg LEFT JOIN gf USING (case_id))"""
-
-
-def gold(spark: SparkSession, d: str) -> DataFrame:
-    cases = A.read(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("gold"))
-    return M.gold_spans(cases, A.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
-
-
-@query(f"WITH {_GOLD} SELECT * FROM gold")
-def gold_locate(spark, d):
-    return gold(spark, d)
-
-
-@query(f"WITH {_GOLD} SELECT case_id, CASE WHEN id IS NULL THEN 'NO_EVIDENCE' ELSE 'ANSWERABLE' END AS class, CASE WHEN id IS NULL THEN 'refuse' ELSE 'answer' END AS expected, 'd' || id AS gold_paper, CASE WHEN id IS NOT NULL THEN 1 END AS gold_page FROM gold")
-def case_defaults(spark, d):
-    none = F.col("id").isNull()
-    return gold(spark, d).select("case_id", F.when(none, "NO_EVIDENCE").otherwise("ANSWERABLE").alias("class"), F.when(none, "refuse").otherwise("answer").alias("expected"), F.concat(F.lit("d"), "id").alias("gold_paper"), F.when(~none, 1).alias("gold_page"))
-
-
-_RANKS = f"{_GOLD}, {R.SPARSE}, rk AS (SELECT g.case_id, min(s.rank + 1) AS rank FROM gold g LEFT JOIN sparse s ON s.query_id = g.case_id AND s.id = g.id WHERE g.id IS NOT NULL GROUP BY 1)"
-
-
-def ranks(spark, d):
-    return M.ranked_gold(gold(spark, d).filter("id is not null"), R.sparse(spark, d))
-
-
-@query(f"""WITH {_RANKS} SELECT count(*) AS n, round(avg(coalesce((rank <= 5)::INT, 0)), 4) AS recall5, round(avg(coalesce((rank <= 10)::INT, 0)), 4) AS recall10,
-round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END), 4) AS mrr10 FROM rk""")
-def recall_mrr(spark, d):
-    return M.retrieval_summary(ranks(spark, d))
-
-
-@query(f"WITH {_RANKS} SELECT case_id, rank, coalesce(rank <= 5, false) AS hit5, coalesce(rank <= 10, false) AS hit10 FROM rk")
-def hit_at_k(spark, d):
-    return ranks(spark, d).select("case_id", "rank", F.coalesce(F.col("rank") <= 5, F.lit(False)).alias("hit5"), F.coalesce(F.col("rank") <= 10, F.lit(False)).alias("hit10"))
-
-
-@query(f"""WITH {_GOLD}, {R.SPARSE}, ex AS (SELECT case_id, dt.id FROM bg JOIN dt ON contains(t, g)),
-sc AS (SELECT e.case_id, count(*) AS expected, count(s.id) AS matched, min(s.rank + 1) AS first_rank FROM ex e LEFT JOIN sparse s ON s.query_id = e.case_id AND s.id = e.id AND s.rank < 10 GROUP BY 1)
-SELECT b.case_id, coalesce(expected, 0) AS expected, coalesce(matched, 0) AS matched, coalesce(round(matched / expected, 6), 0) AS recall10, first_rank FROM bg b LEFT JOIN sc USING (case_id)""")
-def multi_gold_score(spark, d):
-    from lectern.functions.text import evidence_norm
-
-    cases = A.read(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), evidence_norm(F.col("text")).alias("g"))
-    docs = A.read(spark, d, "documents").select(F.col("doc_id").alias("id"), evidence_norm(F.col("text")).alias("t"))
-    expected = docs.join(cases, F.col("t").contains(F.col("g"))).select("case_id", "id")
-    hits = R.sparse(spark, d).filter("rank < 10").select(F.col("query_id").alias("case_id"), "id", F.col("rank").alias("r"), F.lit(1).alias("hit"))
-    score = expected.join(hits, ["case_id", "id"], "left").groupBy("case_id").agg(F.count("*").alias("expected"), F.count("hit").alias("matched"), (F.min("r") + 1).alias("first_rank"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return cases.select("case_id").join(score, "case_id", "left").select("case_id", zero("expected").alias("expected"), zero("matched").alias("matched"), F.coalesce(F.round(F.col("matched") / F.col("expected"), 6), F.lit(0.0)).alias("recall10"), "first_rank")
-
-
-@query(f"WITH {_GOLD}, c AS (SELECT case_id, id, 1 + id % 3 AS a, 1 + id % 3 + id % 2 AS b, 2 AS gold_page FROM gold) SELECT case_id, coalesce(gold_page BETWEEN a AND b, false) AS page_hit FROM c")
-def page_hit_range(spark, d):
-    """The gold page between the first and last page of the chunk; no hit where there is no chunk."""
-    a = F.col("id") % 3 + 1
-    return gold(spark, d).select("case_id", F.coalesce(F.lit(2).between(a, a + F.col("id") % 2), F.lit(False)).alias("page_hit"))
-
-
-_MISS = f"{_GOLD}, {R.FUSED}, g0 AS (SELECT * FROM gold WHERE id IS NOT NULL), mc AS (SELECT case_id, max((d.id IS NOT NULL)::INT) AS in_dense, max((s.id IS NOT NULL)::INT) AS in_sparse, max((f.id IS NOT NULL)::INT) AS in_hybrid FROM g0 LEFT JOIN dense d ON d.query_id = case_id AND d.id = g0.id LEFT JOIN sparse s ON s.query_id = case_id AND s.id = g0.id LEFT JOIN (SELECT * FROM fused WHERE rank < 10) f ON f.query_id = case_id AND f.id = g0.id GROUP BY 1)"
-
-
-@query(f"""WITH {_MISS} SELECT case_id, concat_ws('+', CASE WHEN in_dense = 0 AND in_sparse = 0 THEN 'GOLD_SPAN_NOT_IN_TOP25' END, CASE WHEN in_dense = 1 AND in_hybrid = 0 THEN 'RRF_RANKING_LOSS' END,
-CASE WHEN in_dense = 0 AND in_sparse = 1 AND in_hybrid = 1 THEN 'SPARSE_RESCUED' END) AS cause FROM mc""")
-def miss_causes(spark, d):
-    g = gold(spark, d).filter("id is not null").select("case_id", "id")
-    dense, sparse = R.dense(spark, d), R.sparse(spark, d)
-    fused = R.R.rrf(dense, sparse).filter("rank < 10")
-    rows = g
-    for name, hits in (("in_dense", dense), ("in_sparse", sparse), ("in_hybrid", fused)):
-        rows = rows.join(hits.select(F.col("query_id").alias("case_id"), "id", F.lit(True).alias(name)), ["case_id", "id"], "left").fillna(False, [name])
-    dn, sp, hy = (F.col(x) for x in ("in_dense", "in_sparse", "in_hybrid"))
-    cause = F.array_join(F.array_compact(F.array(F.when(~dn & ~sp, "GOLD_SPAN_NOT_IN_TOP25"), F.when(dn & ~hy, "RRF_RANKING_LOSS"), F.when(~dn & sp & hy, "SPARSE_RESCUED"))), "+")
-    return rows.select("case_id", cause.alias("cause"))
-
-
 # --- judgements by rule from document ids
 
 _TYPES = (*M.ERROR_TYPES, "none")
@@ -131,12 +49,58 @@ def run_compare(spark, d):
     return M.compared(a, a.filter("doc_id % 5 <> 0").withColumn("score", F.col("score") + F.col("doc_id") % 3))
 
 
-@query(f"WITH {_J} SELECT qid, source, CASE WHEN judged THEN overall::VARCHAR ELSE '' END AS overall, CASE WHEN judged THEN error_type ELSE '' END AS error_type, printf('%.4f', (doc_id % 97)::DOUBLE / 97) AS distance, coalesce(error, '') AS error FROM rs WHERE lower(source) LIKE '%src1%'")
+_SCORED = ", ".join(f"CASE WHEN judged THEN {x}::VARCHAR ELSE '' END AS {x}" for x in O.SCORES)
+
+
+@query(f"""WITH {_J} SELECT qid, '' AS answer_type, source AS question, {_SCORED}, CASE WHEN judged THEN error_type ELSE '' END AS error_type, '' AS reason,
+CASE WHEN doc_id % 3 = 0 THEN '0' ELSE '1' END AS n_retrieved, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS top1_source,
+CASE WHEN doc_id % 3 = 0 THEN '' ELSE printf('%.4f', (doc_id % 97)::DOUBLE / 97) END AS top1_distance, (error IS NOT NULL)::INT::VARCHAR AS has_error FROM rs""")
+def flat_csv(spark, d):
+    return O.flat(detailed(spark, d))
+
+
+def detailed(spark: SparkSession, d: str) -> DataFrame:
+    """Results with their first hit; two of three have one."""
+    i = F.col("doc_id")
+    hit = F.array(F.struct(F.col("source"), ((i % 97).cast("double") / 97).alias("distance")))
+    rows = results(spark, d).withColumn("judge", F.when(F.col("judge").isNotNull(), F.struct("judge.*", F.lit("").alias("reason"))))
+    return rows.select("qid", "doc_id", F.lit("").alias("answer_type"), F.col("source").alias("question"), "judge", F.when(i % 3 != 0, hit).otherwise(F.slice(hit, 1, 0)).alias("retrieved"), "error")
+
+
+@query(f"""WITH {_J} SELECT qid AS id, overall::VARCHAR AS overall FROM rs WHERE judged AND error_type = 'hallucination' AND overall <= 3 AND contains(lower(source), 'src1')""")
 def view_flat_csv(spark, d):
-    """The flat sink's columns: blanks for what isn't judged, four decimals, filtered by a question fragment."""
-    rows = results(spark, d).filter(F.lower("source").contains("src1"))
-    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    return rows.select("qid", "source", blank(F.col("judge.overall")).alias("overall"), blank(F.col("judge.error_type")).alias("error_type"), F.format_string("%.4f", (F.col("doc_id") % 97).cast("double") / 97).alias("distance"), blank(F.col("error")).alias("error"))
+    """A dashboard's view of the flat file."""
+    return O.view(O.flat(detailed(spark, d)), {"qid": "id"}, "hallucination", 3, "SRC1").select("id", "overall")
+
+
+def _bar(x: str) -> str:
+    return f"'| {x} | ' || CASE WHEN {x} < 1 THEN '—' ELSE repeat('█', {x}::INT) || repeat('░', 5 - {x}::INT) || ' ' || {x} END || ' |'"
+
+
+@query(f"""WITH {_J} SELECT qid, '## ' || qid || chr(10) || CASE WHEN judged THEN CASE WHEN overall < 4 THEN '🔴' WHEN overall = 5 THEN '⭐' ELSE '🟢' END || ' overall=' || overall ELSE '' END
+|| chr(10) || '### Question' || chr(10) || source || chr(10) || '### Judge Evaluation' || chr(10) || CASE WHEN judged THEN '| 维度 | 评分 |' || chr(10) || '| --- | --- |' || chr(10)
+|| concat_ws(chr(10), {', '.join(_bar(x) for x in O.SCORES)}) || chr(10) || '- **error_type**: `' || error_type || '`' ELSE '_未评测_' END AS section FROM rs""")
+def markdown_sections(spark, d):
+    return O.result_sections(detailed(spark, d))
+
+
+@query(f"WITH {_J} SELECT qid, overall, error_type FROM rs WHERE judged AND overall < 4 ORDER BY overall, qid")
+def badcase_list(spark, d):
+    return O.bad_list(results(spark, d))
+
+
+@query(f"""WITH {_J}, f AS (SELECT error_type, count(*) FILTER (WHERE overall < 4) AS n_bad, count(*) AS n_all FROM rs WHERE judged GROUP BY 1), t AS (SELECT unnest({A.sql_list(M.ERROR_TYPES)}) AS error_type)
+SELECT error_type, coalesce(n_bad, 0) AS n_bad, coalesce(n_all, 0) AS n_all FROM t LEFT JOIN f USING (error_type) UNION ALL SELECT error_type, 0, n_all FROM f WHERE error_type = 'none'""")
+def error_histogram(spark, d):
+    return O.error_table(results(spark, d))
+
+
+@query(f"""WITH r AS (SELECT source AS run_id, '2026-01-' || lpad((count(*) % 28 + 1)::VARCHAR, 2, '0') AS timestamp, count(*) AS n, max(doc_id) AS top, min(doc_id) AS low FROM documents GROUP BY 1)
+SELECT {A.q(O.INDEX_HEAD)} || chr(10) || string_agg('| ' || concat_ws(' | ', run_id, timestamp, n, top, low) || ' |', chr(10) ORDER BY timestamp DESC, run_id DESC) AS page FROM r""")
+def runs_index(spark, d):
+    rows = A.read(spark, d, "documents").groupBy(F.col("source").alias("run_id")).agg(F.count("*").alias("n"), F.max("doc_id").alias("avg_overall"), F.min("doc_id").alias("n_bad"))
+    stamp = F.concat(F.lit("2026-01-"), F.lpad((F.col("n") % 28 + 1).cast("string"), 2, "0"))
+    return O.runs_index(rows.withColumn("timestamp", stamp))
 
 
 @query(f"""WITH {_J}, jd AS (SELECT CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE qid END AS qid, overall, error_type, 1 AS seq FROM rs WHERE judged UNION ALL SELECT qid, 5, 'none', 2 FROM rs WHERE doc_id % 9 = 0),
@@ -167,7 +131,7 @@ def report_fields(spark, d):
 
 # --- behaviour by rule from labels
 
-_B = """bh AS (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'ANSWERABLE' WHEN quality = 0 AND toxic = 0 THEN 'NO_EVIDENCE' WHEN quality = 1 THEN 'FALSE_PREMISE' ELSE 'AMBIGUOUS' END AS class,
+BEHAVIOUR = """bh AS (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'ANSWERABLE' WHEN quality = 0 AND toxic = 0 THEN 'NO_EVIDENCE' WHEN quality = 1 THEN 'FALSE_PREMISE' ELSE 'AMBIGUOUS' END AS class,
 CASE WHEN quality = 1 AND toxic = 0 THEN 'answer' WHEN quality = 0 AND toxic = 0 THEN 'refuse' WHEN quality = 1 THEN 'correct_premise' ELSE 'clarify' END AS expected,
 CASE WHEN n_chars % 10 < 6 THEN 'answer' WHEN n_chars % 10 < 8 THEN 'refuse' WHEN n_chars % 10 = 8 THEN 'clarify' ELSE 'correct_premise' END AS predicted,
 CASE n_chars % 3 WHEN 0 THEN 'passed' WHEN 1 THEN 'corrected' ELSE 'failed' END AS status, n_chars % 2 AS n_used, n_chars FROM labels JOIN documents USING (doc_id))"""
@@ -189,22 +153,22 @@ def _rate(hit: str, of: str = "true") -> str:
 
 
 _ANS = "predicted IN ('answer', 'partial_answer', 'correct_premise')"
-_METRICS = f"""bm AS (SELECT count(*) AS n, {_rate('predicted = expected')} AS action_accuracy, {_rate('predicted = expected', "class = 'ANSWERABLE'")} AS answerable_accuracy, {_rate('predicted = expected', "class = 'NO_EVIDENCE'")} AS no_evidence_recall,
+METRICS = f"""bm AS (SELECT count(*) AS n, {_rate('predicted = expected')} AS action_accuracy, {_rate('predicted = expected', "class = 'ANSWERABLE'")} AS answerable_accuracy, {_rate('predicted = expected', "class = 'NO_EVIDENCE'")} AS no_evidence_recall,
 {_rate('predicted = expected', "class = 'FALSE_PREMISE'")} AS false_premise_correction, {_rate("class = 'AMBIGUOUS'", "predicted = 'clarify'")} AS clarify_precision, {_rate("predicted = 'clarify'", "class = 'AMBIGUOUS'")} AS clarify_recall,
 {_rate("class = 'NO_EVIDENCE'", "predicted = 'refuse'")} AS refuse_precision, {_rate("predicted = 'refuse'", "class = 'NO_EVIDENCE'")} AS refuse_recall, {_rate("status = 'passed'", _ANS)} AS citation_support, {_rate("status = 'failed' OR n_used = 0", _ANS)} AS unsupported_claim FROM bh)"""
 
 
-@query(f"WITH {_B}, {_METRICS} SELECT * FROM bm")
+@query(f"WITH {BEHAVIOUR}, {METRICS} SELECT * FROM bm")
 def behavior_pr(spark, d):
     return M.behaviour(behaviours(spark, d))
 
 
-@query(f"WITH {_B} SELECT class, predicted, count(*) AS n, {_rate('predicted = expected')} AS accuracy FROM bh GROUP BY 1, 2")
+@query(f"WITH {BEHAVIOUR} SELECT class, predicted, count(*) AS n, {_rate('predicted = expected')} AS accuracy FROM bh GROUP BY 1, 2")
 def citation_rates(spark, d):
     return behaviours(spark, d).groupBy("class", "predicted").agg(F.count("*").alias("n"), M.rate(F.col("predicted") == F.col("expected")).alias("accuracy"))
 
 
-@query(f"""WITH {_B}, att AS (SELECT CASE WHEN predicted = expected AND status <> 'failed' THEN 'OK' WHEN n_chars % 5 = 0 THEN 'RETRIEVAL_MISS' WHEN n_chars % 7 = 0 THEN 'WRONG_EVIDENCE' WHEN predicted <> expected THEN 'ANSWERABILITY_MISCLASSIFICATION' WHEN status = 'failed' THEN 'CITATION_ERROR' ELSE 'GENERATION_ERROR' END AS error,
+@query(f"""WITH {BEHAVIOUR}, att AS (SELECT CASE WHEN predicted = expected AND status <> 'failed' THEN 'OK' WHEN n_chars % 5 = 0 THEN 'RETRIEVAL_MISS' WHEN n_chars % 7 = 0 THEN 'WRONG_EVIDENCE' WHEN predicted <> expected THEN 'ANSWERABILITY_MISCLASSIFICATION' WHEN status = 'failed' THEN 'CITATION_ERROR' ELSE 'GENERATION_ERROR' END AS error,
 class, predicted FROM bh) SELECT error, count(*) AS n, count(*) FILTER (WHERE class = 'NO_EVIDENCE' AND predicted = 'answer') AS answered_but_should_refuse, count(*) FILTER (WHERE class = 'ANSWERABLE' AND predicted = 'refuse') AS refused_but_should_answer FROM att GROUP BY 1""")
 def error_attribution(spark, d):
     n = F.col("n_chars")
@@ -215,27 +179,17 @@ def error_attribution(spark, d):
     )
 
 
-@query(f"""WITH {_B} SELECT doc_id, CASE WHEN n_chars % 5 = 0 AND n_chars % 7 = 0 THEN 'A' WHEN n_chars % 5 = 0 THEN 'B' WHEN n_chars % 7 = 0 THEN 'C' WHEN predicted <> expected THEN 'D' WHEN status = 'failed' THEN 'E' WHEN n_used = 0 THEN 'F' ELSE 'OK' END AS mode FROM bh""")
-def failure_modes(spark, d):
-    n = F.col("n_chars")
-    mode = F.when((n % 5 == 0) & (n % 7 == 0), "A").when(n % 5 == 0, "B").when(n % 7 == 0, "C").when(F.col("predicted") != F.col("expected"), "D").when(F.col("status") == "failed", "E").when(F.col("n_used") == 0, "F").otherwise("OK")
-    return behaviours(spark, d).select("doc_id", mode.alias("mode"))
-
-
-_GATE_ROWS = " UNION ALL ".join(f"SELECT '{m}' AS metric, {m}::DOUBLE AS value, {t}::DOUBLE AS threshold, '{op}' AS op, {m} {op} {t} AS passed FROM gm" for m, t, op in M.GATE)
-
-
-@query(f"""WITH {_RANKS}, {_B}, {_METRICS}, gm AS (SELECT bm.*, r.recall10, r.page_hit10, r.span_hit10 FROM bm, (SELECT round(avg(coalesce((rank <= 10)::INT, 0)), 4) AS recall10, round(avg(coalesce((rank <= 10)::INT, 0)), 4) AS page_hit10, round(avg(coalesce((rank <= 10)::INT, 0)), 4) AS span_hit10 FROM rk) r),
-gr AS ({_GATE_ROWS}) SELECT *, CASE WHEN (SELECT bool_and(passed) FROM gr) THEN 'FINAL_ACCEPT' WHEN (SELECT bool_and(passed OR metric IN ('citation_support', 'unsupported_claim')) FROM gr) THEN 'FINAL_ACCEPT_WITH_LIMITATIONS' ELSE 'FINAL_NOT_ACCEPTED' END AS verdict FROM gr""")
-def release_gate(spark, d):
-    r = M.retrieval_summary(ranks(spark, d)).select("recall10", F.col("recall10").alias("page_hit10"), F.col("recall10").alias("span_hit10"))
-    return M.gate(M.behaviour(behaviours(spark, d)).crossJoin(r))
+_TIMES = " + ".join(f"(u >= {b!r})::INT" for b in M.poisson_bounds())
 
 
-@query()
+@query(f"""WITH {BEHAVIOUR}, v AS (SELECT doc_id AS id, (predicted = expected)::INT::DOUBLE AS value FROM bh),
+u AS (SELECT value, rep, ('0x' || left(md5(id || '|' || rep), 7))::BIGINT::DOUBLE / {1 << 28} AS u FROM v, (SELECT unnest(range(1, 2001)) AS rep)),
+m AS (SELECT rep, sum(value * t) / greatest(1, sum(t)) AS m FROM (SELECT *, {_TIMES} AS t FROM u) GROUP BY rep),
+o AS (SELECT list_sort(list(m)) AS o FROM m)
+SELECT (SELECT round(avg(value), 6) FROM v) AS mean, round(o[51], 6) AS low, round(o[1951], 6) AS high FROM o""")
 def bootstrap_ci(spark, d):
     rows = behaviours(spark, d).select(F.col("doc_id").alias("id"), (F.col("predicted") == F.col("expected")).cast("double").alias("value"))
-    return M.bootstrap(rows, 500)
+    return M.bootstrap(rows)
 
 
 _PACKED = [(1, "[S1] a.pdf | page 2 | distance=0.4153 || [S2] b c.pdf | page 11 | distance=0.5"), (2, ""), (3, None), (4, "junk || S3 x.pdf|page 4|distance=1"), (5, "[S1] a.pdf | page x | distance=0.1")]
@@ -255,7 +209,7 @@ def judge_json(spark, d):
     return rows.select("id", "j.overall", "j.error_type", F.col("j").isNotNull().alias("parsed"))
 
 
-@query(f"""WITH {_GOLD}, k AS (SELECT case_id, CASE WHEN case_id % 3 = 0 THEN 'dev' ELSE 'test' END AS split, (SELECT any_value(g) FROM bg WHERE bg.case_id = gold.case_id) AS g FROM gold)
+@query("""WITH k AS (SELECT CASE WHEN item_id % 3 = 0 THEN 'dev' ELSE 'test' END AS split, lower(text) AS g FROM benchmark)
 SELECT split, count(*) AS n, count(DISTINCT g) AS n_distinct, (SELECT count(*) FROM k a JOIN k b ON a.g = b.g AND a.split = 'dev' AND b.split = 'test') AS n_shared FROM k GROUP BY split""")
 def split_set_checks(spark, d):
     rows = A.read(spark, d, "benchmark").select(F.when(F.col("item_id") % 3 == 0, "dev").otherwise("test").alias("split"), F.lower("text").alias("g"))
@@ -263,7 +217,7 @@ def split_set_checks(spark, d):
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("g").alias("n_distinct")).crossJoin(shared)
 
 
-@query(f"""WITH {_B} SELECT 'duplicate id' AS rule, count(*) AS n FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'label without document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+@query(f"""WITH {BEHAVIOUR} SELECT 'duplicate id' AS rule, count(*) AS n FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'label without document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
 UNION ALL SELECT 'class without action', count(*) FROM bh WHERE class = 'NO_EVIDENCE' AND expected <> 'refuse' UNION ALL SELECT 'paired case missing', count(*) FROM bh a WHERE doc_id + 1 NOT IN (SELECT doc_id FROM bh)""")
 def integrity_checks(spark, d):
     labels, docs, b = A.read(spark, d, "labels"), A.read(spark, d, "documents"), behaviours(spark, d)
