@@ -73,15 +73,6 @@ def guardrail(question: Column) -> Column:
     return let(collapsed(F.coalesce(question, F.lit(""))), rule)
 
 
-def chat_problem(role: Column, text: Column) -> Column:
-    """Why a chat row isn't valid, or null."""
-    return (
-        F.when(~F.coalesce(role.rlike("^(system|user|assistant)$"), F.lit(False)), "role")
-        .when(F.length(F.coalesce(text, F.lit(""))) < 1, "empty")
-        .when(F.length(text) > 8000, "too long")
-    )
-
-
 def combined(texts: Column) -> Column:
     return F.array_join(F.transform(texts, lambda x: F.coalesce(x, F.lit(""))), "\n")
 

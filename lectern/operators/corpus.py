@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import content_tokens, text_norm
-from lectern.sources.places import shared_place
+from lectern.sources.places import fresh_place, shared_place
 
 NEAR = 0.85
 GRAM, LEAST_STRIDE, MOST_GRAMS = 48, 24, 900
@@ -36,7 +36,7 @@ def keep_first(rows: DataFrame, key: list[str], order: list[Column]) -> DataFram
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """sha256, n, survivor: of equal texts the one with the most characters, then the smallest id."""
+    """sha256, n, survivor: equal texts, which differ in nothing but their ids, and the smallest of these."""
     return docs.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha256")).agg(F.count("*").alias("n"), F.min("doc_id").alias("survivor"))
 
 
@@ -54,20 +54,31 @@ def near_pairs(docs: DataFrame, least: float = NEAR) -> DataFrame:
     Copies are collapsed first, so a gram's list holds different texts only.
     """
     rows = docs.withColumn("_t", text_norm(F.col("text"))).select("doc_id", body_grams(F.col("_t")).alias("grams")).filter("grams is not null")
-    return _near(rows.groupBy(_gram_hash(F.col("grams")).alias("h")).agg(F.min("doc_id").alias("id"), F.first("grams").alias("grams")), least)
+    return gram_pairs(rows.groupBy(_gram_hash(F.col("grams")).alias("h")).agg(F.min("doc_id").alias("id"), F.first("grams").alias("grams")), least)
 
 
 def _gram_hash(grams: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(grams), "|"), 256)
 
 
-def _near(same: DataFrame, least: float) -> DataFrame:
-    """a, b, similarity of the ids of gram sets (id, grams)."""
-    each = same.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    x, y = each.alias("x"), each.alias("y")
-    shared = x.join(y, F.expr("x.g = y.g and x.id < y.id")).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("both"))
-    s = F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6)
-    return shared.select("a", "b", s.alias("similarity")).filter(F.col("similarity") >= least)
+def gram_pairs(sets: DataFrame, least: float = NEAR) -> DataFrame:
+    """a, b, similarity of gram sets (id, grams) of a Jaccard of ``least`` or more, exactly.
+
+    Prefix filtering: with the rarest grams first, two sets that are similar enough share one among the first
+    n - ceil(least * n) + 1 of each. Sizes and places in the prefix leave out most other pairs; whole sets then decide.
+    """
+    each = sets.select("id", F.size("grams").alias("n"), F.explode(F.transform("grams", lambda x: F.xxhash64(x))).alias("g"))
+    counts = each.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("m", F.lit(1)), "g"))
+    placed = each.join(counts, "g", "left").withColumn("p", place).filter(F.col("m").isNotNull() & (F.col("p") <= F.col("n") - F.ceil(F.col("n") * least) + 1))
+    x, y = placed.alias("x"), placed.alias("y")
+    o = f"ceil({least} * (x.n + y.n) / {1 + least} - 1e-9)"
+    fits = f"x.g = y.g and x.id < y.id and least(x.n, y.n) >= {least} * greatest(x.n, y.n) - 1e-9 and x.p <= x.n - {o} + 1 and y.p <= y.n - {o} + 1"
+    pairs = x.join(y, F.expr(fits)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+    both = F.size(F.array_intersect("ga", "gb"))
+    s = F.round(both / (F.size("ga") + F.size("gb") - both), 6)
+    return met.select("a", "b", s.alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -100,7 +111,7 @@ def duplicate_roots(docs: DataFrame, least: float = NEAR) -> DataFrame:
     rows = texts.select("doc_id", print_.alias("fp"), body_grams(F.col("_t")).alias("grams"))
     node = F.coalesce(F.concat(F.lit("g"), _gram_hash(F.col("grams"))), F.concat(F.lit("f"), F.col("fp")))
     of_rows = rows.select("doc_id", "fp", node.alias("node")).checkpoint()
-    near = _near(rows.filter("grams is not null").groupBy(node.alias("id")).agg(F.first("grams").alias("grams")), least).select("a", "b")
+    near = gram_pairs(rows.filter("grams is not null").groupBy(node.alias("id")).agg(F.first("grams").alias("grams")), least).select("a", "b")
     kinds = of_rows.filter("node is not null").groupBy("fp", "node").agg(F.min("doc_id").alias("first")).checkpoint()
     alike = kinds.groupBy("fp").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("fp", "a")
     roots = components(near.union(kinds.join(alike, "fp").filter("a <> node").select("a", F.col("node").alias("b"))))
@@ -213,14 +224,66 @@ def quota_selection(candidates: DataFrame, target: int) -> DataFrame:
     return candidates.groupBy("topic").applyInPandas(lambda pool: choose(pool.assign(picked_in=0)), "id long, topic string, score double, picked_in int, pick int")
 
 
-def main_and_reserve(selected: DataFrame, leftover: DataFrame) -> DataFrame:
-    """id, topic, list: the best 70 % of each topic's selection are A, the others B; then a reserve, few of each topic."""
-    w = Window.partitionBy("topic").orderBy(F.desc("score"), "id")
+def trim_selection(candidates: DataFrame, quota: int) -> DataFrame:
+    """Candidates chosen by topic for the main list: recent ones first, up to their share, then by score; a topic is one task's work.
+
+    ``candidates`` as in ``quota_selection``; hard negatives are chosen elsewhere. The same caps on authors, journals and
+    reviews hold in both passes.
+    """
+    recent_target, cap = max(2, round(quota * RECENT_SHARE)), max(2, round(quota * REVIEW_SHARE))
+
+    def choose(pool: pd.DataFrame) -> pd.DataFrame:
+        pool = pool.sort_values(["score", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        rows = list(pool.itertuples(index=False))
+        q, recent = _Quota(cap), 0
+        for wanted_recent in (True, False):
+            done = set(q.rows)
+            for i, w in enumerate(rows):
+                if len(q.rows) >= quota or wanted_recent and recent >= recent_target:
+                    break
+                if i not in done and (not wanted_recent or w.year >= TRIM_RECENT_YEAR) and q.admits(w, True):
+                    q.take(i, w)
+                    recent += wanted_recent
+        return pool.loc[q.rows, ["id", "topic", "score"]]
+
+    return candidates.filter("topic <> 'hard_negative'").groupBy("topic").applyInPandas(choose, "id long, topic string, score double")
+
+
+def trimmed(candidates: DataFrame, selected: DataFrame, existing: DataFrame, hard_quota: int) -> DataFrame:
+    """id, list, reason of every candidate: main list A or B, C for the most cited hard negatives, reserve, or rejected and why.
+
+    ``existing``: the ids whose papers are there already. The best 70 % of a topic's selection are A; the reserve are the
+    best of the others, few of each topic.
+    """
+    by_score = Window.partitionBy("topic").orderBy(F.desc("score"), "id")
     n = F.count("*").over(Window.partitionBy("topic"))
-    main = selected.withColumn("list", F.when(F.row_number().over(w) <= F.bround(n * A_SHARE), "A").otherwise("B"))
-    few = leftover.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= RESERVE_PER_TOPIC)
-    reserve = few.orderBy(F.desc("score"), "id").limit(RESERVE).withColumn("list", F.lit("reserve"))
-    return main.select("id", "topic", "list").unionByName(reserve.select("id", "topic", "list"))
+    main = selected.withColumn("list", F.when(F.row_number().over(by_score) <= F.bround(n * A_SHARE), "A").otherwise("B")).select("id", "list")
+    there = existing.select("id").distinct().withColumn("_there", F.lit(True))
+    rows = candidates.select("id", "topic", "score", "cited").join(main, "id", "left").join(there, "id", "left")
+    hard = rows.filter("topic = 'hard_negative' and _there is null").orderBy(F.desc("cited"), "id").limit(hard_quota).select("id", F.lit("C").alias("_hard"))
+    rows = rows.join(hard, "id", "left")
+    others = rows.filter("list is null and _there is null and topic <> 'hard_negative'")
+    few = others.withColumn("_n", F.row_number().over(by_score)).filter(F.col("_n") <= RESERVE_PER_TOPIC)
+    reserve = few.orderBy(F.desc("score"), "id").limit(RESERVE).select("id", F.lit("reserve").alias("_reserve"))
+    rows = rows.join(reserve, "id", "left")
+    where = F.coalesce("list", "_hard", "_reserve", F.lit("rejected"))
+    reason = F.when(where != "rejected", "").when(F.col("_there"), "duplicate_of_existing_corpus").when(F.col("topic") == "hard_negative", "hn_quota_exceeded").otherwise("quota_exceeded")
+    return rows.select("id", where.alias("list"), reason.alias("reason"))
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
+    """``rows`` with their number (from 1) in an order of all: ranges are sorted apart, and only their counts come together.
+
+    The order has to be total, or equal rows get any of their numbers. Rows are written once, as ranges come from a sample.
+    """
+    spark = rows.sparkSession
+    place = fresh_place(spark, "numbered")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_i")).write.parquet(place)
+    held = spark.read.parquet(place)
+    before = F.sum("_m").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = held.groupBy("_range").agg(F.count("*").alias("_m")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    return held.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_i") + 1).drop("_range", "_start", "_i")
 
 
 def hard_negative(title: Column) -> Column:

@@ -117,11 +117,6 @@ def guardrail(spark: SparkSession, d: str) -> DataFrame:
     return own.union(turns).select("id", G.guardrail(F.col("question")).alias("reason"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN role IS NULL OR role NOT IN ('system', 'user', 'assistant') THEN 'role' WHEN length(coalesce(text, '')) < 1 THEN 'empty' WHEN length(text) > 8000 THEN 'too long' END AS problem FROM conversations""")
-def chat_validate(spark: SparkSession, d: str) -> DataFrame:
-    return A.read(spark, d, "conversations").select("conv_id", "turn", G.chat_problem(F.col("role"), F.col("text")).alias("problem"))
-
-
 def answers(spark: SparkSession, d: str) -> DataFrame:
     """Assistant turns with citations put in by turn number, and two contexts on pages 1 and 2."""
     rows = A.read(spark, d, "conversations").filter("role = 'assistant'")
@@ -176,12 +171,7 @@ def scope_and_retry(spark: SparkSession, d: str) -> DataFrame:
     return e.union(c)
 
 
-@query()
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[^。！？!?\n]*[。！？!?\n]|[^。！？!?\n]+$')) AS n_sentences, len(list_distinct(regexp_extract_all(text, '\d+(?:\.\d+)?'))) AS n_numbers FROM documents""")
 def sentence_numbers(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("text")
     return A.read(spark, d, "documents").select("doc_id", F.size(T.sentences(s)).alias("n_sentences"), F.size(F.array_distinct(T.numbers(s))).alias("n_numbers"))
-
-
-@query("SELECT * FROM (VALUES ('injection', '', 'insufficient', 0), ('clarification', '', 'insufficient', 0), ('insufficient', '', 'insufficient', 0)) t(reason, answer, evidence_status, n_contexts)")
-def fallback_records(spark: SparkSession, d: str) -> DataFrame:
-    return A.values(spark, [(r, "", "insufficient", 0) for r in ("injection", "clarification", "insufficient")], "reason string, answer string, evidence_status string, n_contexts int")

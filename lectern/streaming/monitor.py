@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -59,11 +61,54 @@ def watchdog_stream(samples: DataFrame) -> DataFrame:
     return samples.groupBy("pid").applyInPandasWithState(update, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+_MARKER = re.compile(r"\[S\d+\]", re.I)
+
+
+def shown(held: str, token: str) -> tuple[str, str]:
+    """What can be shown of ``held`` and a new token, and what is still held: from an open bracket that hasn't closed yet.
+
+    Whole citation markers are left out; other brackets are shown once they close.
+    """
+    text = held + token
+    closed = text.rfind("]") + 1
+    opened = text.find("[", closed)
+    end = len(text) if opened < 0 else opened
+    return _MARKER.sub("", text[:end]), text[end:]
+
+
+def marker_stream(tokens: DataFrame) -> DataFrame:
+    """trace_id, seq, shown of a stream of (trace_id, seq, token, final): what each token adds to the display.
+
+    The state of a trace is the text behind its open bracket; the final token shows what is left, unless it's a marker.
+    Tokens of a trace come in order of seq within and between batches.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get[0] if state.exists else ""
+        rows = pd.concat(list(batches)).sort_values("seq")
+        out = []
+        for token, final in zip(rows["token"], rows["final"], strict=True):
+            said, held = shown(held, token or "")
+            if final:
+                said, held = said + _MARKER.sub("", held), ""
+            out.append(said)
+        if bool(rows["final"].iloc[-1]):
+            state.remove()
+        else:
+            state.update((held,))
+        yield rows[["trace_id", "seq"]].assign(shown=out)
+
+    return tokens.groupBy("trace_id").applyInPandasWithState(update, "trace_id string, seq long, shown string", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
 def trace_sink(traces: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append each trace once, whatever is replayed within an hour of it."""
+    """Append each trace once, whatever is replayed within an hour of it; a batch that can't be written doesn't stop the service."""
 
-    def append(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").json(path)
+    def append(batch: DataFrame, number: int) -> None:
+        try:
+            batch.write.mode("append").json(path)
+        except Exception:  # noqa: BLE001  traces are best effort: requests go on without them
+            logging.getLogger(__name__).exception("traces of batch %d are lost", number)
 
     unique = traces.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["trace_id"])
     return unique.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
