@@ -7,19 +7,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.places import spread
+
 #: A word: a run of anything but ASCII blanks, as a Java and DuckDB pattern.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Where intermediate tables go when the session names no shared folder, as in tests.
+#: Where intermediate tables go when a local session names no shared folder, as in tests.
 LOCAL_DIR = "file:///tmp/checkpoints/lectern"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Only a local session, whose executors are the driver, may do with a local one; elsewhere a missing folder is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("no folder is shared by driver and executors: set spark.checkpoint.dir")
         found = LOCAL_DIR
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -44,22 +49,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def with_keys(docs: DataFrame) -> DataFrame:
-    """``_d`` and ``_k`` as in ``keyed``, ``text``, and ``_row``: the whole row, so that no column name can clash."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"),
-        F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("_k"),
-        "text",
-        F.struct("*").alias("_row"),
-    )
+    """``_d`` and ``_k`` as in ``keyed``, and ``_row``: the whole row, so that no column name can clash."""
+    return keyed(docs, F.struct("*").alias("_row")).drop("text")
 
 
-def keyed(docs: DataFrame, *extra: str) -> DataFrame:
+def keyed(docs: DataFrame, *extra) -> DataFrame:
     """``_d`` (doc_id; null as the least long), ``_k`` (hash of id and text), ``text`` and what else is named.
 
     Together they tell apart rows of one doc_id with different texts; rows equal in both are interchangeable.
@@ -81,9 +76,19 @@ def matched(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
     return rows.join(other, ["_d", "_k"], how)
 
 
-def chosen(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows with the ``_d`` and ``_k`` of ``ids``, a stored table of a few numbers a row, broadcast if it's counted as small."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["_d", "_k"])
+def chosen(rows: DataFrame, ids: DataFrame, on: tuple[str, ...] = ("_d", "_k"), how: str = "inner") -> DataFrame:
+    """The rows with the keys of ``ids``, a stored table of a few numbers a row, broadcast if it's counted as small."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, list(on), how)
+
+
+def once(rows: DataFrame, ids: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One of the rows for each of ``ids``; only those of ``repeated`` (keys that several rows have) are compared.
+
+    ``ids`` and ``repeated`` are stored tables; other rows stay where they are while ``ids`` are few.
+    """
+    several = stored(ids.join(repeated, ["_d", "_k"], "left_semi"), "several")
+    single = stored(ids.join(repeated, ["_d", "_k"], "left_anti"), "single")
+    return chosen(rows, single).unionByName(chosen(rows, several).dropDuplicates(["_d", "_k"]))
 
 
 def unkeyed(d: str = "_d"):
@@ -92,4 +97,4 @@ def unkeyed(d: str = "_d"):
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))

@@ -48,3 +48,11 @@ def test_far_above_the_threshold(spark):
 def test_plan_has_no_python(documents):
     plan = boilerplate.deduplicated(documents)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_long_text_that_loses_many_lines(spark):
+    lines = [f"line {i}" for i in range(60_000)]
+    rows = [(i, "\n".join(lines if i in (0, 99) else ["own"]), f"s{i}") for i in range(100)] + [(100 + i, "\n".join(lines[:30_000]), f"s{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    found = {r.doc_id: r for r in boilerplate.deduplicated(docs, 10).filter("doc_id in (0, 99)").collect()}
+    assert found[0]._n_removed == 0 and found[99].text.split("\n") == lines[30_000:]
