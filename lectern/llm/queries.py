@@ -106,7 +106,8 @@ ORACLES: dict[str, str] = {
         FROM w LEFT JOIN l USING (doc_id) LEFT JOIN k USING (doc_id)
     """,
     "op5_mix_sources": r"""
-        WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                          md5(concat_ws('|', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')), 'mix-1')) AS key FROM documents),
         b AS (SELECT source, sum(size) AS n FROM s GROUP BY source),
         w AS (SELECT *, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM b),
         o AS (SELECT *, coalesce(sum(3 * n) OVER q, 0) AS caps, coalesce(sum(weight) OVER q, 0) AS before, sum(n) OVER () AS total, sum(weight) OVER () AS weights FROM w
@@ -115,7 +116,7 @@ ORACLES: dict[str, str] = {
         c AS (SELECT level FROM v WHERE weight * level <= 3 * n ORDER BY before LIMIT 1),
         t AS (SELECT source, n, coalesce(least((3 * n)::DOUBLE, weight * (SELECT level FROM c)), 0) AS target FROM v),
         r AS (SELECT doc_id, s.source, size, n, target, floor(target + 0.5)::BIGINT AS budget,
-                     coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(doc_id || '|mix-1'), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+                     coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
               FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, n::BIGINT AS source_size, target,
                (CASE WHEN n > 0 THEN budget // n ELSE 0 END * size + greatest(0, least(budget - CASE WHEN n > 0 THEN budget // n ELSE 0 END * n - start, size)))::BIGINT AS taken FROM r

@@ -49,3 +49,28 @@ def test_mixed_takes_what_is_planned(request, name):
     plan = {r.source: r.n for r in mixing.plan(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in plan.items() if v}
     assert mixing.mixed(docs).columns == docs.columns
+
+
+def test_mixed_keeps_clashing_columns(spark):
+    names = ["_d", "_k", "_taken", "_size", "_cut", "_row", "_key", "_place", "_source", "size", "end", "epochs", "m"]
+    rows = [(i, " ".join(["w"] * (5 + i % 7)), f"s{i % 3}", *(f"{n}{i}" for n in names)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns
+    assert got.count() > 0 and all([r[n] for n in names] == [f"{n}{r.doc_id}" for n in names] for r in got.collect())
+
+
+@pytest.mark.parametrize("ids", ["same", "none"])
+def test_repeated_rows_are_taken_by_the_word(spark, ids):
+    """The budget ends within a group of equal rows; rows of one id (or none) with different texts are told apart."""
+    same = [(7 if ids == "same" else None, "one two three", "a")] * 1001
+    other = [(7 if ids == "same" else None, f"t{i} " * 4, "b") for i in range(700)]
+    docs = spark.createDataFrame(same + other + [(i, "x y", "c") for i in range(10)], "doc_id long, text string, source string")
+    rows = mixing.plan(docs).collect()
+    assert len(rows) == docs.count()
+    want = targets({"a": 3003, "b": 2800, "c": 20})
+    taken = {s: sum(r.taken for r in rows if r.source == s) for s in want}
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    words = F.sum(F.regexp_count("text", F.lit(WORDS)))
+    got = {r.source: r.n for r in mixing.mixed(docs).groupBy("source").agg(words.alias("n")).collect()}
+    assert got == taken
