@@ -6,23 +6,31 @@ space into cells of about CELL rows, and every row is indexed in its cell, in a
 crowded cells (copies of one vector can't be told apart) have several blocks.
 
 1. Each query meets the blocks of its own cell and keeps its k nearest: an upper bound for its k-th distance.
-2. It then visits only cells that hold projections within sqrt(q) times that bound, q being the PROBABILITY quantile of
-   the chi-square distribution. In a block, rows come in order of projected distance in steps of STEP; each step is
-   verified by original distances in double precision, and the search stops as soon as the next projected distance exceeds
-   sqrt(q) times the k-th distance found: every true neighbour is verified with at least that probability. Both tests
-   leave room for the rounding of projections, as copies of a query are at distance 0 but their projections only nearly so.
+2. It then visits only cells whose box is within sqrt(q) times that bound of its projection, q being the PROBABILITY
+   quantile of the chi-square distribution.
+
+Within a block (``Tree``) the search is incremental: a kd-tree over the block's projections is walked best node first, so
+that rows come in order of projected distance, and each is verified by its original distance in double precision. It ends
+when the test holds that no unseen row is among the k nearest with PROBABILITY: the next projected distance, of a row or a
+node, exceeds sqrt(q) times the k-th distance found. Nodes that weren't reached by then are never opened. Both tests leave
+room for the rounding of projections, as copies of a query are at distance 0 but their projections only nearly so.
+
+How much is verified depends on the data: on clustered vectors a small share; on vectors that are spread evenly over a
+sphere of 64 dimensions, where the tenth neighbour is three quarters as far as the median row, two fifths of 50,000 rows.
 
 In a block, equal vectors come down to as many rows as can be among the k nearest of any query (``distinct_enough``).
 Queries travel to cells in batches of rows, never all to one place; what returns is k rows for each query and block.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part; with fewer candidates than k all are returned; ties go to the smaller vec_id; a repeated vec_id is one candidate for
-each of its rows, and no row with the query's own vec_id is its candidate; an empty table gives no rows; other columns
-are ignored.
+each of its rows, asks once, with the least of its vectors, and no row with the query's own vec_id is its candidate; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,20 +40,38 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-PROJECTED = 8
-PROBABILITY = 0.99
-#: The same quantile of the chi-square distribution with PROJECTED degrees of freedom.
-CHI_SQUARE = 20.09
+PROJECTED = 16
+PROBABILITY = 0.92
 NEIGHBOURS = 10
 SAMPLE = 20_000
 CELL = 20_000
 BLOCK = 20_000
-STEP = 256
+#: Rows of a leaf of a block's tree.
+LEAF = 512
 #: Queries that meet a block at once.
 BATCH = 5000
 SEED = 20_250
 
 
+def chi_square(probability: float, degrees: int) -> float:
+    """The quantile of the chi-square distribution, by bisection of its series."""
+
+    def below(x: float) -> float:
+        term = total = 1 / (degrees / 2)
+        i = 1
+        while term > 1e-16 * total:
+            term *= x / 2 / (degrees / 2 + i)
+            total += term
+            i += 1
+        return total * math.exp(degrees / 2 * math.log(x / 2) - x / 2 - math.lgamma(degrees / 2))
+
+    low, high = 1e-9, 10.0 * degrees + 100
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if below(middle) < probability else (low, middle)
+    return high
+
+
 def directions(dimension: int, projected: int = PROJECTED) -> np.ndarray:
     return np.random.default_rng(SEED).normal(size=(dimension, projected))
 
@@ -131,21 +157,79 @@ def distinct_enough(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def search(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, near: np.ndarray, to: np.ndarray, k: int, limit: float, known: float = np.inf) -> list[tuple[float, int]]:
-    """The k nearest of a block; ``near`` are squared projected distances, ``known`` a bound of the k-th distance."""
-    order = np.argsort(near, kind="stable")
-    best: list[tuple[float, int]] = []
-    bound = known
-    for at in range(0, len(order), STEP):
-        rows = order[at : at + STEP]
-        if near[rows[0]] > reach(query, to, limit, bound) ** 2:
-            break
-        rows = rows[ids[rows] != own]
-        d = np.sqrt(((vectors[rows] - query) ** 2).sum(axis=1))
-        best = sorted([*best, *zip(d.tolist(), ids[rows].tolist(), strict=True)])[:k]
-        if len(best) == k:
-            bound = min(bound, best[-1][0])
-    return best
+class Tree:
+    """A kd-tree over the projections of a block, walked from the node nearest to a query."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, to: np.ndarray, leaf: int = LEAF):
+        self.to = to
+        self.places = vectors @ to
+        self.rows: list[np.ndarray | None] = []
+        self.down: list[tuple[int, int]] = []
+        low, high = [], []
+        self.verified = 0
+
+        def grow(rows: np.ndarray) -> int:
+            at, points = len(self.rows), self.places[rows]
+            low.append(points.min(axis=0))
+            high.append(points.max(axis=0))
+            self.rows.append(rows)
+            self.down.append((0, 0))
+            axis = int(np.argmax(high[at] - low[at]))
+            if len(rows) > leaf and high[at][axis] > low[at][axis]:
+                half = len(rows) // 2
+                order = np.argpartition(points[:, axis], half)
+                self.rows[at] = None
+                self.down[at] = (grow(rows[order[:half]]), grow(rows[order[half:]]))
+            return at
+
+        if len(ids):
+            grow(np.arange(len(ids)))
+            self.low, self.high = np.stack(low), np.stack(high)
+        self.ids, self.vectors = ids, vectors
+
+    def nearest(self, query: np.ndarray, own: int, k: int, limit: float, known: float = np.inf) -> list[tuple[float, int]]:
+        """The k nearest found, whose ids aren't ``own``; ``known`` is a bound of the k-th distance."""
+        if not len(self.ids):
+            return []
+        point = query @ self.to
+        best: list[tuple[float, int]] = []
+        bound = known
+        nodes = [(0.0, 0)]
+        waiting, distances = np.zeros(0, np.int64), np.zeros(0)
+        while nodes or len(waiting):
+            if nodes and (not len(waiting) or nodes[0][0] <= distances.min()):
+                # a node comes first: it's opened, and its rows wait for their turn
+                near, at = heapq.heappop(nodes)
+                if near > reach(query, self.to, limit, bound) ** 2:
+                    break
+                if self.rows[at] is None:
+                    below = list(self.down[at])
+                    gap = np.maximum(np.maximum(self.low[below] - point, point - self.high[below]), 0)
+                    for child, d in zip(below, (gap**2).sum(axis=1).tolist(), strict=True):
+                        heapq.heappush(nodes, (d, child))
+                    continue
+                rows = self.rows[at]
+                rows = rows[self.ids[rows] != own]
+                waiting = np.concatenate([waiting, rows])
+                distances = np.concatenate([distances, ((self.places[rows] - point) ** 2).sum(axis=1)])
+                continue
+            # all rows that are nearer than any node left, nearest first, as many at once as could end the search
+            ready = distances <= nodes[0][0] if nodes else np.ones(len(waiting), bool)
+            order = np.flatnonzero(ready)[np.argsort(distances[ready], kind="stable")]
+            if distances[order[0]] > reach(query, self.to, limit, bound) ** 2:
+                break
+            order = order[: max(LEAF, len(waiting) // 8)]
+            rows = waiting[order]
+            kept = np.ones(len(waiting), bool)
+            kept[order] = False
+            waiting, distances = waiting[kept], distances[kept]
+            d = np.sqrt(((self.vectors[rows] - query) ** 2).sum(axis=1))
+            self.verified += len(rows)
+            some = np.flatnonzero(d <= bound)
+            best = sorted([*best, *zip(d[some].tolist(), self.ids[rows[some]].tolist(), strict=True)])[:k]
+            if len(best) == k:
+                bound = min(bound, best[-1][0])
+        return best
 
 
 def _usable(rows: DataFrame) -> DataFrame:
@@ -165,7 +249,7 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = NEI
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dimension, count = sizes.n, sizes.m
     rows = rows.filter(F.size("v") == dimension)
-    to = directions(dimension)
+    to, limit = directions(dimension), chi_square(PROBABILITY, PROJECTED)
     sample = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE).select("v").toPandas()
     cells = Cells(np.stack(sample["v"].to_numpy()) @ to, max(1, count // cell))
 
@@ -183,12 +267,9 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = NEI
         ids, there = held["vec_id"].to_numpy(), np.stack(held["v"].to_numpy())
         some = distinct_enough(ids, there, k)
         ids, there = ids[some], there[some]
-        projected = there @ to
-        out = []
+        tree, out = Tree(ids, there, to), []
         for own, v, known in zip(asked["q"].tolist(), asked["qv"], asked["bound"].tolist(), strict=True):
-            query = np.asarray(v)
-            near = ((projected - query @ to) ** 2).sum(axis=1)
-            out += [(own, i, d) for d, i in search(query, own, ids, there, near, to, k, CHI_SQUARE, known)]
+            out += [(own, i, d) for d, i in tree.nearest(np.asarray(v), own, k, limit, known)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     def ask(targets: DataFrame) -> DataFrame:
@@ -206,7 +287,7 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = NEI
         ranked = F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k)
         return found.groupBy("query_id").agg(ranked.alias("best"))
 
-    queries = placed.filter(is_query).dropDuplicates(["vec_id"])
+    queries = placed.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "cell")).alias("one")).select("vec_id", "one.*")
     home = stored(ask(queries.withColumn("bound", F.lit(float("inf")))), "home")
     known = best(home).select(F.col("query_id").alias("vec_id"), F.when(F.size("best") == k, F.element_at("best", -1)["score"]).alias("bound"))
     known = queries.join(known, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
@@ -215,7 +296,7 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = NEI
         for b in batches:
             out = []
             for i, v, own, bound in zip(b["vec_id"].tolist(), b["v"], b["cell"].tolist(), b["bound"].tolist(), strict=True):
-                out += [(i, v, c, bound) for c in cells.within(np.asarray(v) @ to, reach(np.asarray(v), to, CHI_SQUARE, bound)).tolist() if c != own]
+                out += [(i, v, c, bound) for c in cells.within(np.asarray(v) @ to, reach(np.asarray(v), to, limit, bound)).tolist() if c != own]
             yield pd.DataFrame(out, columns=["vec_id", "v", "cell", "bound"])
 
     away = ask(known.select("vec_id", "v", "cell", "bound").mapInPandas(route, "vec_id long, v array<double>, cell long, bound double"))

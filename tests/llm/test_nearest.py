@@ -61,8 +61,8 @@ def test_many_copies_in_one_block(dimension):
     query, own = vectors[0], int(ids[0])
     right = sorted(i for i in ids[:3000].tolist() if i != own)[:10]
     for some in (np.arange(20_000), nearest.distinct_enough(ids, vectors, 10)):
-        near = ((vectors[some] @ to - query @ to) ** 2).sum(axis=1)
-        assert nearest.search(query, own, ids[some], vectors[some], near, to, 10, nearest.CHI_SQUARE) == [(0.0, i) for i in right]
+        tree = nearest.Tree(ids[some], vectors[some], to)
+        assert tree.nearest(query, own, 10, nearest.chi_square(nearest.PROBABILITY, nearest.PROJECTED)) == [(0.0, i) for i in right]
 
 
 def test_copies_across_cells(spark):
@@ -81,3 +81,45 @@ def test_repeated_ids_among_copies(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = found(nearest.nearest(table).collect())
     assert got[0] == [(0.0, 1)] * 10 and got[100][0] == (0.0, 2) and len(got[100]) == 10
+
+
+def test_chi_square():
+    assert abs(nearest.chi_square(0.99, 8) - 20.0902) < 1e-3 and abs(nearest.chi_square(0.5, 1) - 0.4549) < 1e-3
+
+
+def share(ids, vectors, queries):
+    """Mean share of rows verified, and recall at 10, for one block."""
+    limit = nearest.chi_square(nearest.PROBABILITY, nearest.PROJECTED)
+    tree, right = nearest.Tree(ids, vectors, nearest.directions(vectors.shape[1])), 0
+    for q in queries:
+        d = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        right += len(set(ids[np.argsort(d, kind="stable")[:10]].tolist()) & {i for _, i in tree.nearest(vectors[q], int(ids[q]), 10, limit)})
+    return tree.verified / len(queries) / len(ids), right / len(queries) / 10
+
+
+def test_share_verified_on_clusters():
+    """What is verified of 50,000 and of 12,500 clustered vectors is a few clusters, not a share of the rows."""
+    rng = np.random.default_rng(5)
+    counts = []
+    for n in (12_500, 50_000):
+        centres = rng.normal(size=(n // 100, 64))
+        vectors = centres[rng.integers(0, len(centres), n)] + 0.15 * rng.normal(size=(n, 64))
+        part, recall = share(np.arange(n), vectors, rng.choice(n, 40, replace=False))
+        assert part <= 0.08 and recall >= 0.9
+        counts.append(part * n)
+    assert counts[1] <= 2 * counts[0]
+
+
+def test_share_verified_on_an_even_sphere(spark):
+    """No projection tells neighbours well apart here; the search still leaves a third out."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    part, recall = share(np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float), range(0, 2000, 20))
+    assert part <= 0.75 and recall >= 0.95
+
+
+def test_a_repeated_query_asks_once(spark):
+    rows = [(0, [3.0, 1.0]), (0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0, 1.0])]
+    for some in (rows, rows[::-1]):
+        got = found(nearest.nearest(spark.createDataFrame(some, "vec_id long, embedding array<float>")).collect())
+        assert got[0] == [(0.0, 1), (5**0.5, 2)]
