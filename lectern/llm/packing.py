@@ -10,8 +10,9 @@ with the input.
 Token ids are those of the ``tokenizers`` file. They are computed with ``tiktoken`` over the ranks of the same vocabulary,
 which takes a third of the CPU time; texts that hold a special token's string go through ``tokenizers`` itself.
 
-Defined cases: a null text counts as empty and becomes its end id alone; repeated rows are packed each by itself; an empty
-table gives no rows; other columns are ignored.
+Defined cases: a null text counts as empty and becomes its end id alone; repeated rows are packed each by itself and dealt
+like any (by a number drawn for each piece and written with it); ties of length go to the smaller doc_id; a very long text
+is one row, tokenized in one worker; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from .words import texts
 MAX_TOKENS = 1024
 END_ID = 2
 GROUP = 50_000
+SEED = 17
 VOCABULARY = "byte_bpe_50k"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -133,28 +135,33 @@ def fill(lengths: np.ndarray, most: int = MAX_TOKENS) -> tuple[np.ndarray, np.nd
     return number, offset
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """``rows`` with a number in [0, 1) for each, written, so that equal rows are dealt apart and reruns of a task agree."""
+    return stored(rows.withColumn("_deal", F.rand(SEED)), "pieces")
+
+
 def pack(rows: DataFrame, most: int = MAX_TOKENS, group: int = GROUP) -> DataFrame:
-    """``rows`` (stored pieces) with sequence_id and offset."""
+    """``rows`` (``_written`` pieces) with sequence_id and offset."""
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "doc_id", "piece", "start"], kind="stable")
         number, offset = fill(part["length"].to_numpy(), most)
         return part.assign(sequence_id=number + (int(key[0]) << 32), offset=offset)[names]
 
-    names = [x for x in rows.columns if x != "_group"] + ["sequence_id", "offset"]
     groups = max(1, -(-rows.count() // group))
-    dealt = rows.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit("deal")), F.lit(groups)).cast("int"))
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema) + ", sequence_id long, offset long"
+    dealt = rows.withColumn("_group", F.floor(F.col("_deal") * groups).cast("int")).drop("_deal")
+    names = [x for x in dealt.columns if x != "_group"] + ["sequence_id", "offset"]
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema if x.name != "_deal") + ", sequence_id long, offset long"
     return dealt.groupBy("_group").applyInPandas(one, schema)
 
 
 def packed(docs: DataFrame, most: int = MAX_TOKENS, end: int = END_ID, name: str = VOCABULARY, group: int = GROUP) -> DataFrame:
     """PIECES, sequence_id and offset of every piece of ``docs``."""
-    return pack(stored(pieces(docs, most, end, name), "pieces"), most, group)
+    return pack(_written(pieces(docs, most, end, name)), most, group)
 
 
 def sequences(docs: DataFrame, most: int = MAX_TOKENS, end: int = END_ID, name: str = VOCABULARY, group: int = GROUP) -> DataFrame:
     """sequence_id and its ids, the pieces one after the other."""
-    rows = pack(stored(pieces(docs, most, end, name, keep_ids=True), "pieces"), most, group)
+    rows = pack(_written(pieces(docs, most, end, name, keep_ids=True)), most, group)
     parts = rows.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return parts.select("sequence_id", F.flatten("parts.ids").alias("ids"))

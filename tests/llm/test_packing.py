@@ -75,3 +75,11 @@ def test_sequences_hold_the_ids(documents):
     ids = {tuple(EXACT.encode(r.text or "", add_special_tokens=False).ids + [2])[-1024:] for r in docs.collect()}
     found = [tuple(r.ids) for r in packing.sequences(docs).collect()]
     assert all(any(x == s[i : i + len(x)] for s in found for i in range(len(s))) for x in list(ids)[:5])
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    rows = spark.range(100_000, numPartitions=8).select(*(packing.F.lit(v).cast(t).alias(n) for n, t, v in
+        (("doc_id", "long", 1), ("piece", "int", 0), ("start", "long", 0), ("length", "long", 100), ("ids_crc32", "long", 5))))
+    placed = packing.pack(packing._written(rows), group=1000)
+    groups = placed.groupBy(packing.F.shiftright("sequence_id", 32).alias("g")).count().collect()
+    assert len(groups) == 100 and max(g["count"] for g in groups) < 1300 and sum(g["count"] for g in groups) == 100_000
