@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of ``lectern.plans`` that hold QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("chunks", "retrieval", "answers", "evaluation", "spans", "corpus", "inventory", "monitoring", "serving")
+MODULES: tuple[str, ...] = ("chunks", "retrieval", "answers", "evaluation", "spans", "corpus", "inventory", "monitoring", "serving", "checks")
 
 
 def queries() -> dict[str, Query]:

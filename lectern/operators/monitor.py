@@ -29,10 +29,14 @@ def watchdog(samples: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_last": F.array(F.lag("latency", 1).over(timed), F.lag("latency", 2).over(timed))})
     ratio = F.when(F.col("baseline") > 0, F.col("latency") / F.col("baseline"))
     slow = F.forall(F.col("_last"), lambda x: x / F.col("baseline") >= 5)
-    recent = Window.partitionBy("pid").orderBy(F.col("ts").cast("double")).rangeBetween(-STALL_SECONDS, 0)
-    before = F.collect_list(F.when(F.col("progress").isNotNull(), F.struct("seq", "progress"))).over(recent)
-    rows = rows.withColumn("_near", F.filter(before, lambda x: x["seq"] < F.col("seq")))
-    stalled = F.col("progress").isNotNull() & (F.size("_near") > 0) & F.forall("_near", lambda x: x["progress"] == F.col("progress"))
+    # a stall: the last progress before is the same, not older than the span, and what was different before it is older
+    earlier = of.rowsBetween(Window.unboundedPreceding, -1)
+    told = F.col("progress").isNotNull()
+    rows = rows.withColumns({"_same": F.last("progress", True).over(earlier), "_when": F.last(F.when(told, F.col("ts")), True).over(earlier)})
+    changed = told & ~F.col("_same").eqNullSafe(F.col("progress"))
+    rows = rows.withColumn("_other", F.last(F.when(changed, F.struct(F.col("_when").alias("ts"))), True).over(of.rowsBetween(Window.unboundedPreceding, 0)))
+    span = F.col("ts") - STALL_SECONDS
+    stalled = told & (F.col("_same") == F.col("progress")) & (F.col("_when") >= span) & (F.col("_other.ts").isNull() | (F.col("_other.ts") < span))
     low = lambda k: F.coalesce(F.lag("gpu", k).over(of) < 20, F.lit(False))
     busy = lambda k: F.coalesce(F.lag("cpu", k).over(of) > 95, F.lit(False))
     rules = {

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import monitor as W
 from lectern.sources.places import fresh_place
+from lectern.streaming.monitor import marker_stream
 from lectern.streaming.monitor import watchdog_stream as watchdog_stream_of
 
 from . import adapters as A
@@ -50,7 +51,7 @@ def watchdog_stream(spark, d):
     """The same samples replayed as a stream; state is kept for each process."""
     place = fresh_place(spark, "watchdog")
     rows = samples(spark, d)
-    rows.repartitionByRange(1, "ts", "seq").write.parquet(f"{place}/in")
+    rows.write.parquet(f"{place}/in")  # one batch, in which each process is sorted
     source = spark.readStream.schema(rows.schema).parquet(f"{place}/in")
     out = watchdog_stream_of(source).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/checkpoint")
     out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
@@ -72,6 +73,13 @@ def first_token_time(spark, d):
 
 @query("""SELECT 'c' || conv_id || '-' || turn AS trace_id, text || '。' AS shown FROM conversations WHERE role = 'assistant'""")
 def marker_stream_filter(spark, d):
-    """Every answer as a stream of tokens, with a marker that arrives in three of them."""
+    """Every answer as a stream of tokens, with a marker that arrives in three of them; open brackets are kept as state."""
+    place = fresh_place(spark, "tokens")
     rows = A.read(spark, d, "conversations").filter("role = 'assistant'").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("trace_id"), F.array(F.col("text"), F.lit("["), F.concat(F.lit("s"), "turn"), F.lit("]。")).alias("ts"))
-    return W.without_markers(rows.select("trace_id", F.posexplode("ts").alias("seq", "token")))
+    tokens = rows.select("trace_id", F.posexplode("ts").alias("seq", "token")).select("trace_id", F.col("seq").cast("long").alias("seq"), "token", (F.col("seq") == 3).alias("final"))
+    tokens.write.parquet(f"{place}/in")
+    source = spark.readStream.schema(tokens.schema).parquet(f"{place}/in")
+    out = marker_stream(source).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/checkpoint")
+    out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("seq", "shown"))), lambda x: x["shown"])
+    return spark.read.parquet(f"{place}/out").groupBy("trace_id").agg(F.array_join(parts, "").alias("shown"))

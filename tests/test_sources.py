@@ -1,12 +1,18 @@
 import json
+import os
+import uuid
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.operators import answering
 from lectern.operators import monitor as W
 from lectern.operators import retrieval as R
 from lectern.plans import monitoring
+from lectern.sources import files
 from lectern.sources import tables as S
+from lectern.sources.places import fresh_place
 from lectern.streaming import monitor as stream
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +82,74 @@ def test_trace_sink(spark, tmp_path):
     source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     stream.trace_sink(source, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert sorted(r.trace_id for r in spark.read.json(str(tmp_path / "out")).collect()) == [0, 1, 2]
+
+
+def test_discovery(spark, tmp_path):
+    for name in ("a/x.pdf", "a/sub/y.pdf", "b/z.PDF", "b/z.pdf", "b/sub/w.pdf", "a/n.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1")
+    folders = {"deep": (str(tmp_path / "a"), True), "flat": (str(tmp_path / "b"), False), "again": (str(tmp_path / "a"), False), "none": (str(tmp_path / "c"), True)}
+    got = {r.path.split("/", 1)[1].rsplit(str(tmp_path.name), 1)[-1]: r.source_group for r in files.discovered(spark, folders).collect()}
+    assert got == {"/a/x.pdf": "deep", "/a/sub/y.pdf": "deep", "/b/z.pdf": "flat"}
+
+
+def test_zip_members(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "one.zip", "w") as z:
+        z.writestr("in/a.pdf", b"A")
+        z.writestr("b.PDF", b"B")
+        z.writestr("c.txt", b"C")
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    got = {(r.archive, r.name, bytes(r.content)) for r in files.zip_members(spark, str(tmp_path)).collect()}
+    assert got == {("one.zip", "a.pdf", b"A"), ("one.zip", "b.PDF", b"B")}
+
+
+def test_csv_pair_and_newest(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("id,question\n1,a\n2,b\n,c\n")
+    (tmp_path / "j.csv").write_text("id,overall,error_type\n1,3,none\n1,5,off_topic\n ,1,none\n")
+    got = {r.question: r.judge and tuple(r.judge) for r in files.csv_pair(spark, str(tmp_path / "e.csv"), str(tmp_path / "j.csv")).collect()}
+    assert got == {"a": (5, "off_topic"), "b": None, "c": None}
+    assert files.csv_pair(spark, str(tmp_path / "e.csv")).filter("judge is not null").count() == 0
+    os.utime(tmp_path / "j.csv", (1, 1))
+    assert files.newest(spark, str(tmp_path), {"id": "qid", "absent": "x"}).columns == ["qid", "question"]
+
+
+def test_resumed(spark):
+    todo = spark.createDataFrame([(f"10.1/{i:02d}",) for i in range(45)], "doi string")
+    path = fresh_place(spark, "resumed")
+
+    def work(batches):
+        for b in batches:
+            if (b["doi"] == "10.1/30").any() and not os.path.exists(flag):
+                open(flag, "w").close()
+                raise RuntimeError("stopped")
+            yield b.assign(n=1)
+
+    flag = f"/tmp/{uuid.uuid4().hex}"
+    with pytest.raises(Exception, match="stopped"):
+        files.resumed(todo, path, work, "doi string, n int")
+    assert spark.read.parquet(path).count() == 20
+    files.resumed(todo, path, work, "doi string, n int")
+    assert spark.read.parquet(path).count() == 45 == spark.read.parquet(path).distinct().count()
+    assert files.remaining(todo, spark.createDataFrame([("10.1/00",)], "doi string")).count() == 44
+
+
+def test_runs_of_questions(spark):
+    def answer(question):
+        if question == "bad":
+            raise ValueError("no model")
+        return question.upper()
+
+    rows = answering.answered(spark.createDataFrame([("q1", "why"), ("q2", "bad")], "qid string, question string"), answer).collect()
+    assert [(r.model_answer, r.error) for r in sorted(rows)] == [("WHY", None), ("[ERROR] no model", "ValueError: no model")]
+    kind = "qid string, question string, model_answer string, judge struct<overall: int, error_type: string>, error string"
+    results = spark.createDataFrame([
+        ("q1", "a", "x", (5, "none"), None), ("q2", "b", "y", None, "slow\n[JUDGE ERROR] Timeout: x"), ("q3", "c", "", None, "ValueError: x"), ("q4", "boom", "w", None, "[JUDGE ERROR] old"),
+    ], kind)
+
+    def judge(question, text):
+        if question == "boom":
+            raise RuntimeError("again")
+        return 4, "none"
+
+    got = {r.qid: (r.judge and tuple(r.judge), r.error) for r in answering.judged(results, judge).collect()}
+    assert got == {"q1": ((5, "none"), None), "q2": ((4, "none"), "slow"), "q3": (None, "ValueError: x"), "q4": (None, "[JUDGE ERROR] RuntimeError: again")}
