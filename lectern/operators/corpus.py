@@ -18,6 +18,7 @@ FLAGGED, CONFIRMED = 0.8, 0.9
 MIN_YEAR, RECENT_YEAR, TRIM_RECENT_YEAR = 1990, 2023, 2020
 PER_AUTHOR, PER_JOURNAL, REVIEW_SHARE, RECENT_SHARE, A_SHARE = 3, 10, 0.25, 0.3, 0.7
 RESERVE, RESERVE_PER_TOPIC = 40, 6
+REVIEW_TITLE = r"(?i)\b(review|critical review|systematic review|meta[- ]analysis|perspective|minireview|tutorial|roadmap|state[- ]of[- ]the[- ]art)\b"
 HN_OFF_TOPIC = r"(?i)\b(soil|terrestrial|epidemiolog|clinical|patients?|food chain|crops?|agricultur|air pollut|atmosphere|indoor dust)\b"
 HN_WATER = r"(?i)\b(wastewater|water|aquatic|freshwater|marine|rivers?|lakes?|drinking|effluent|sewage|treatment plant|groundwater|surface water|sediments?)\b"
 HN_KEEP = (
@@ -166,6 +167,33 @@ def priority(cited: Column, year: Column, journal_rank: Column, review: Column,
     )
 
 
+def paper_type(kind: Column, title: Column) -> Column:
+    """review, by the source's word or by the title, else original_research. Fixed value: the pattern."""
+    named = F.coalesce(title, F.lit("")).rlike(REVIEW_TITLE)
+    return F.when((F.lower(F.coalesce(kind, F.lit(""))) == "review") | named, "review").otherwise("original_research")
+
+
+def priority_reason(cited: Column, year: Column, journal_rank: Column, review: Column, topic: Column, journal: Column) -> Column:
+    """Why a candidate has its priority; '' where it has none. The sentences."""
+    n, y = cited.cast("string"), year.cast("string")
+    say = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    field = F.coalesce(F.nullif(journal, F.lit("")), F.lit("the field"))
+    core, listed = journal_rank == "top", journal_rank.isin("top", "whitelist")
+    return (
+        F.when(topic == "hard_negative", "Hard negative: topic-similar but answers a different question")
+        .when(cited >= 800, say("Landmark classic (", n, " citations), representative work"))
+        .when((cited >= 400) & core, say("High-cited (", n, ") in core journal (", journal, ")"))
+        .when(review & (cited >= 300), say("Key review (", n, " citations) in ", field))
+        .when((year >= 2025) & (cited >= 80) & core, say("Important recent (", y, ") work in ", journal, " (", n, " citations)"))
+        .when(cited >= 150, say("Established work (", n, " citations), supplements coverage"))
+        .when(review & (cited >= 60), say("Review in ", field, ", broadens topic coverage"))
+        .when((year >= RECENT_YEAR) & (cited >= 20), say("Recent (", y, ") work (", n, " citations)"))
+        .when((cited >= 60) & listed, say("Moderately cited (", n, ") in ", journal, ", diversifies conditions"))
+        .when(cited >= 30, say("Moderately cited (", n, ") work, diversifies materials/routes"))
+        .otherwise("")
+    )
+
+
 def composite(score: Column, journal_rank: Column, level: Column) -> Column:
     return score * 3 + F.when(journal_rank == "top", 3.0).when(journal_rank == "whitelist", 1.5).otherwise(0.0) + F.when(level == "A", 2.0).when(level == "B", 1.0).otherwise(0.5)
 

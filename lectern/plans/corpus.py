@@ -57,6 +57,21 @@ def candidate_score(spark, d):
     return scored(spark, d).select("id", "level", "score")
 
 
+_WHY = """CASE WHEN topic = 'hard_negative' THEN 'Hard negative: topic-similar but answers a different question' WHEN cited >= 800 THEN 'Landmark classic (' || cited || ' citations), representative work'
+WHEN cited >= 400 AND jrank = 'top' THEN 'High-cited (' || cited || ') in core journal (' || journal || ')' WHEN review AND cited >= 300 THEN 'Key review (' || cited || ' citations) in ' || journal
+WHEN year >= 2025 AND cited >= 80 AND jrank = 'top' THEN 'Important recent (' || year || ') work in ' || journal || ' (' || cited || ' citations)' WHEN cited >= 150 THEN 'Established work (' || cited || ' citations), supplements coverage'
+WHEN review AND cited >= 60 THEN 'Review in ' || journal || ', broadens topic coverage' WHEN year >= 2023 AND cited >= 20 THEN 'Recent (' || year || ') work (' || cited || ' citations)'
+WHEN cited >= 60 AND jrank IN ('top', 'whitelist') THEN 'Moderately cited (' || cited || ') in ' || journal || ', diversifies conditions' WHEN cited >= 30 THEN 'Moderately cited (' || cited || ') work, diversifies materials/routes' ELSE '' END"""
+
+
+@query(f"""WITH {CAND} SELECT id, {_WHY} AS reason, CASE WHEN review OR regexp_matches(CASE WHEN id % 6 = 0 THEN 'A systematic review of ' || title ELSE title END, {A.q(C.REVIEW_TITLE)}) THEN 'review' ELSE 'original_research' END AS paper_type FROM cd""")
+def priority_reasons(spark, d):
+    c = lambda *names: (F.col(x) for x in names)
+    title = F.when(F.col("id") % 6 == 0, F.concat(F.lit("A systematic review of "), "title")).otherwise(F.col("title"))
+    kind = C.paper_type(F.when(F.col("review"), "Review"), title)
+    return candidates(spark, d).select("id", C.priority_reason(*c("cited", "year", "jrank", "review", "topic", "journal")).alias("reason"), kind.alias("paper_type"))
+
+
 @query(f"WITH {CAND} SELECT jrank, level, count(*) AS n FROM pr GROUP BY 1, 2")
 def journal_rank(spark, d):
     rows = candidates(spark, d).withColumn("level", C.priority(*(F.col(x) for x in ("cited", "year", "jrank", "review", "topic"))))

@@ -7,7 +7,9 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -101,6 +103,23 @@ def marker_stream(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("trace_id").applyInPandasWithState(update, "trace_id string, seq long, shown string", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
+def status_sink(samples: DataFrame, log: str, status: str, checkpoint: str) -> StreamingQuery:
+    """Judged samples appended to ``log``, and the last status of each process, rewritten with every batch, in ``status``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("append").json(log)
+        last = batch.groupBy("pid").agg(F.max(F.struct("seq", "stage", "status")).alias("last")).select("pid", "last.*")
+        try:
+            before = batch.sparkSession.read.schema("pid long, seq long, stage string, status string").json(f"{status}/{number - 1}")
+            last = before.unionByName(last).groupBy("pid").agg(F.max(F.struct("seq", "stage", "status")).alias("last")).select("pid", "last.*")
+        except AnalysisException as error:  # the first batch has none before it
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+        last.write.mode("overwrite").json(f"{status}/{number}")
+
+    return watchdog_stream(samples).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def trace_sink(traces: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append each trace once, whatever is replayed within an hour of it; a batch that can't be written doesn't stop the service."""
 

@@ -14,7 +14,7 @@ from lectern.operators import spans as S
 from lectern.sources import reports as O
 from lectern.sources.places import fresh_place
 from lectern.sources.tables import runs
-from lectern.streaming.monitor import marker_stream, shown
+from lectern.streaming.monitor import marker_stream, shown, status_sink
 
 
 @pytest.mark.parametrize(("text", "year", "how"), [
@@ -198,3 +198,17 @@ def test_marker_stream(spark):
     for r in sorted(spark.table("markers").collect(), key=lambda r: (r.trace_id, r.seq)):
         got[r.trace_id] = got.get(r.trace_id, "") + r.shown
     assert got == {"a": "x  y  z [no] [S", "b": "", "c": "plain"}
+
+
+def test_status_sink(spark):
+    """Two batches: all judged samples are logged, and the status folder of the last batch has each process once."""
+    place = fresh_place(spark, "status")
+    schema = "pid long, seq long, ts double, stage string, latency double, progress double, gpu int, gpu_used int, gpu_total int, cpu double"
+    sample = lambda pid, seq, cpu=10.0: (pid, seq, float(seq), "s", 1.0, float(seq), 50, 1, 100, cpu)
+    for rows in ([sample(1, 0), sample(2, 1)], [sample(1, i, 99.0) for i in range(2, 9)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{place}/in")
+        source = spark.readStream.schema(schema).parquet(f"{place}/in")
+        status_sink(source, f"{place}/log", f"{place}/status", f"{place}/checkpoint").awaitTermination()
+    assert spark.read.json(f"{place}/log").count() == 9
+    got = {r.pid: (r.seq, r.status) for r in spark.read.json(f"{place}/status/1").collect()}
+    assert got == {1: (8, "warning"), 2: (1, "running")}
