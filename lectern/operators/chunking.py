@@ -34,7 +34,7 @@ SECTION_ALIASES = {
     ],
     "acknowledgments": ["acknowledgments", "acknowledgements", "acknowledgment", "acknowledgement", "acknowledgments and funding"],
 }
-#: What a numbered title may not hold, each with the reason.
+#: What a numbered title may not hold, each with the reason that a refusal gives.
 NUMBERED = r"^\s*(\d{1,2}(?:\.\d{1,2}){0,2})[.)]?\s+([A-Za-z\x{4e00}-\x{9fff}][^\n]*)$"
 BARRED_TITLE_PATTERNS = {
     "authors": r"(?i)et\s+al\.?",
@@ -71,12 +71,11 @@ def canonical_section(name: Column) -> Column:
     return F.try_element_at(table, plain)
 
 
-def numbered_title_ok(title: Column) -> Column:
+def title_problem(title: Column) -> Column:
+    """Why a numbered line's title is no heading, or null: its length, its number of words, or what it holds."""
     words = F.size(F.filter(F.split(title, r"(?U)\s+"), lambda x: x != ""))
-    ok = F.length(title).between(3, 50) & words.between(1, 6)
-    for pattern in BARRED_TITLE_PATTERNS.values():
-        ok = ok & ~title.rlike(pattern)
-    return ok
+    reasons = [F.when(~F.length(title).between(3, 50), "length"), F.when(~words.between(1, 6), "words")]
+    return F.coalesce(*reasons, *(F.when(title.rlike(pattern), reason) for reason, pattern in BARRED_TITLE_PATTERNS.items()))
 
 
 def with_headings(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -87,7 +86,7 @@ def with_headings(lines: DataFrame, line: str = "line") -> DataFrame:
     rows = lines.withColumn("_raw", stripped(F.coalesce(F.col(line), F.lit(""))))
     rows = rows.withColumns({"plain": F.when(F.length("_raw").between(1, 80), canonical_section(F.col("_raw"))), "_title": stripped(F.regexp_extract("_raw", NUMBERED, 2))})
     rows = rows.withColumn("_title", F.when(F.length("_title").between(3, 50), F.col("_title")))
-    rows = rows.withColumn("_ok", F.col("_title").isNotNull() & numbered_title_ok(F.col("_title")))
+    rows = rows.withColumn("_ok", F.col("_title").isNotNull() & title_problem(F.col("_title")).isNull())
     generic = F.trim(F.regexp_replace(F.regexp_replace(F.lower("_title"), r"(?U)\s+", " "), _EDGE, ""))
     rows = rows.withColumn("_generic", F.when(F.col("_ok"), generic))
     several = F.size(F.split("_generic", " ")) >= 2

@@ -109,6 +109,19 @@ def heading_detect(spark: SparkSession, d: str) -> DataFrame:
     return K.with_headings(rows).select("paper_id", F.col("full").alias("label")).filter("label is not null").groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("paper_id").alias("n_papers"))
 
 
+_REFUSED = " ".join(f"WHEN regexp_matches(title, {_sql_pattern(p)}) THEN {A.q(reason)}" for reason, p in K.BARRED_TITLE_PATTERNS.items())
+
+
+@query(f"""WITH {A.LINES_SQL}, t AS (SELECT doc_id, i, substr(regexp_replace(line, '[^\\x00-\\x7F]', 'x', 'g'), 1, 20 + (i % 40)) AS title FROM lines WHERE line <> ''),
+r AS (SELECT CASE WHEN length(title) NOT BETWEEN 3 AND 50 THEN 'length' WHEN len(list_filter(regexp_split_to_array(title, '\\s+'), lambda x: x <> '')) NOT BETWEEN 1 AND 6 THEN 'words' {_REFUSED} END AS reason FROM t)
+SELECT reason, count(*) AS n FROM r GROUP BY 1""")
+def heading_refusals(spark: SparkSession, d: str) -> DataFrame:
+    """Why the beginnings of all lines, in ASCII, would be no numbered headings."""
+    plain = F.regexp_replace("line", r"[^\x00-\x7F]", "x")
+    rows = A.lines(spark, d).filter("line <> ''").select(F.substring(plain, F.lit(1), 20 + F.col("i") % 40).alias("title"))
+    return rows.groupBy(K.title_problem(F.col("title")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {_SECTIONS} SELECT paper_id, run, section, count(*) AS n_pieces, min(page) AS page_start, max(page) AS page_end, string_agg(text, chr(10) ORDER BY page, pos) AS text FROM pr GROUP BY 1, 2, 3")
 def section_runs(spark: SparkSession, d: str) -> DataFrame:
     runs = K.section_runs(K.clean_lines(A.headed_pages(spark, d)))
