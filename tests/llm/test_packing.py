@@ -83,3 +83,45 @@ def test_equal_rows_are_dealt_apart(spark):
     placed = packing.pack(packing._written(rows), group=1000)
     groups = placed.groupBy(packing.F.shiftright("sequence_id", 32).alias("g")).count().collect()
     assert len(groups) == 100 and max(g["count"] for g in groups) < 1300 and sum(g["count"] for g in groups) == 100_000
+
+
+def plain(lengths, most):
+    """The contents of the bins by the same rules, over a sorted list of pieces."""
+    rest, bins = sorted(lengths), []
+
+    def longest(gap):
+        fits = [x for x in rest if x <= gap]
+        return fits[-1] if fits else 0
+
+    while rest:
+        content, gap = [], most
+        while size := longest(gap):
+            content.append(size)
+            rest.remove(size)
+            gap -= size
+        if gap and rest and len(content) > 1:
+            small, best = content[-1], (content[-1], None)
+            for first in sorted(set(rest)):
+                others = list(rest)
+                others.remove(first)
+                second = max((x for x in others if first + x <= gap + small), default=0)
+                if second and first + second > best[0]:
+                    best = (first + second, (first, second))
+            if best[1]:
+                content[-1:] = best[1]
+                rest.append(small)
+                for x in best[1]:
+                    rest.remove(x)
+                rest.sort()
+        bins.append(content)
+    return bins
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60), st.integers(40, 70))
+def test_fill_equals_the_plain_exchange(lengths, most):
+    number, _ = packing.fill(np.array(lengths, np.int64), most)
+    bins = {}
+    for b, n in zip(number.tolist(), lengths, strict=True):
+        bins.setdefault(b, []).append(n)
+    assert sorted(sorted(x) for x in bins.values()) == sorted(sorted(x) for x in plain(lengths, most))
