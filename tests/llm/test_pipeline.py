@@ -14,6 +14,23 @@ SF = "/root/testdata/sf0.001"
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def heads(rows):
+    """Of each group of near duplicates the row with the smallest doc_id, by comparing all; wordless rows are in none.
+
+    ``rows`` differ, and of rows with one id in one group either may stay.
+    """
+    rows = sorted(rows, key=repr)
+    numbered = [(i, t) for i, (_, t) in enumerate(rows)]
+    group = {i: c for i, _, c in brute_near(numbered, 5)}
+    least = {}
+    for i, c in group.items():
+        if (rows[i][1] or "").strip(" \t\n\x0b\x0c\r"):
+            least[c] = min(least.get(c, i), i, key=lambda x: rows[x][0])
+        else:
+            least[c, i] = i
+    return [rows[i] for i in least.values()]
+
+
 @pytest.mark.parametrize("name", ["odd_documents", "documents", "no_documents"])
 def test_stages(spark, request, name):
     docs = request.getfixturevalue(name)
@@ -35,8 +52,10 @@ def test_stages(spark, request, name):
 
     near = stored(stages["near dedup"](spark, lines, SF), "n")
     assert near.columns == columns
-    heads = {c for _, _, c in brute_near([(r.doc_id, r.text) for r in lines.collect()])}
-    assert sorted(r.doc_id for r in near.collect()) == sorted(heads) or len(heads) < near.count()
+    rows = {(r.doc_id, r.text) for r in lines.collect()}
+    assert sorted(heads(rows), key=repr) == sorted(((r.doc_id, r.text) for r in near.collect()), key=repr)
+    own = {(r.doc_id, r.text): [r[x] for x in columns] for r in lines.collect()}
+    assert all([r[x] for x in columns] == own[r.doc_id, r.text] for r in near.collect())
 
     mixed = stored(stages["mix sources"](spark, near, SF), "m")
     assert mixed.columns == columns
