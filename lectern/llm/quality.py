@@ -1,13 +1,18 @@
 """Quality rules: a conditional random field labels each line as content or boilerplate, and content share decides.
 
 Lines that hold a word are the sequence. A line's features are bins of what is counted on it (words, symbols, separators,
-case, digits, sentence ends, repeats). The field is trained here from document labels, every line of a good document
-being content and of a bad one boilerplate, on at most SAMPLE labelled documents of at most SAMPLE_CHARS characters;
-decoding (Viterbi), counts and verdicts cover every whole text. Base rules go first: too few words or too many words in
-repeated three-word windows reject a document whatever its lines are.
-
-Defined cases: null texts have no words and are rejected by the base rules; without labels every line is content, so that
-the base rules alone decide; repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
+case, digits, sentence ends, repeats). The field is trained here on at most SAMPLE labelled documents of at most
+SAMPLE_CHARS characters. Only documents are labelled, so line labels come first: a field of single lines is fitted to the
+labels of their documents, and a line gets the label that it finds likelier, so that prose in a bad document is content and
+a navigation bar in a good one boilerplate; only the line of a bad document that is least like content always stays
+boilerplate. Then ROUNDS times a chain is fitted to these labels, and its marginals label anew. Decoding (Viterbi), counts
+and verdicts cover every whole text. Base rules go first: too few words or too many words in repeated three-word windows
+reject a document whatever its lines are.
+
+Defined cases: null and empty texts have no words and are rejected by the base rules; without labels every line is content,
+so that the base rules alone decide; without bad documents as well; very long texts are counted in pieces and decoded
+whole; ties of two labellings go to content; repeated rows are judged alike; an empty table gives no rows; other columns
+are ignored by ``verdicts`` and kept by ``good``, whatever they're called.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ WINDOW = 3
 LEAST_CONTENT = 0.5
 SAMPLE = 4000
 SAMPLE_CHARS = 60_000
+ROUNDS = 2
 SYMBOLS = b"#*$%&|<>"
 _BASE = 0xC2B2AE3D27D4EB4F
 
@@ -148,6 +154,27 @@ def _in_repeats(w: np.ndarray) -> int:
     return int(hit.sum())
 
 
+def fit(features: np.ndarray, lengths: np.ndarray, good: np.ndarray) -> crf.Model:
+    """The field from the lines of some documents, which are ``good`` or not."""
+    good = np.asarray(good, bool)
+    of_good = np.repeat(good, lengths)
+    if of_good.all():
+        return crf.fit(features, lengths, of_good, FEATURES)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+
+    def labels(odds: np.ndarray) -> np.ndarray:
+        least = np.full(len(lengths), np.inf)
+        np.minimum.at(least, text, odds)
+        return (odds >= 0) & (of_good | (odds > least[text]))
+
+    model = crf.fit(features, np.ones(len(features), np.int64), of_good, FEATURES)
+    odds = crf.emissions(model, features)
+    for _ in range(ROUNDS):
+        model = crf.fit(features, lengths, labels(odds), FEATURES)
+        odds = crf.marginals(crf.emissions(model, features), lengths, model)
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> crf.Model:
     """The field from at most ``most`` labelled documents, those whose ids hash lowest."""
     known = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("_d"), "quality")
@@ -164,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_chars: in
     sample = sorted((r._d, r.quality, bytes(r.lines)) for r in rows.mapInArrow(count, "_d long, quality int, lines binary").collect())
     features = np.concatenate([np.zeros((0, len(BINS)), np.int64), *(np.frombuffer(x, "<i2").reshape(-1, len(BINS)).astype(np.int64) for _, _, x in sample)])
     lengths = np.array([len(x) // 2 // len(BINS) for _, _, x in sample], np.int64)
-    return crf.fit(features, lengths, np.repeat(np.array([q == 1 for _, q, _ in sample], bool), lengths), FEATURES)
+    return fit(features, lengths, np.array([q == 1 for _, q, _ in sample], bool))
 
 
 _OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content double, kept boolean"

@@ -1,6 +1,8 @@
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lectern.llm import quality
@@ -56,3 +58,34 @@ def test_accuracy_and_pass_through(spark):
 def test_without_labels(odd_documents, labels):
     rows = quality.verdicts(odd_documents, labels.limit(0)).collect()
     assert all(r.kept != r.base_failed for r in rows)
+
+
+def prose(rng, n=14):
+    return " ".join(rng.choice(["river", "stone", "walked", "slowly", "evening", "garden", "between", "letters", "window", "harbour"]) for _ in range(n)) + "."
+
+
+def bar(rng, n=6):
+    return " | ".join(rng.choice(["HOME", "LOGIN", "CART", "SHARE", "MENU", "ABOUT"]) for _ in range(n))
+
+
+def test_lines_of_one_text_are_labelled_apart():
+    """Bad documents hold prose too, good ones a bar now and then; the share of words in content lines decides."""
+    rng = random.Random(4)
+    texts, good = [], []
+    for i in range(400):
+        bad = i % 5 == 0
+        lines = [bar(rng) if rng.random() < (0.75 if bad else 0.05) else prose(rng) for _ in range(rng.randint(8, 20))]
+        texts.append("\n".join(lines + [bar(rng)] * bad).encode())
+        good.append(not bad)
+    lines = quality.Lines(texts)
+    model = quality.fit(lines.features, lines.per_text, np.array(good))
+    for most in (0, 3, 6, 9, 12):
+        page = [prose(rng) for _ in range(6)] + [bar(rng) for _ in range(most)] + [prose(rng) for _ in range(6)]
+        x = quality.Lines(["\n".join(page).encode()])
+        labels = quality.crf.viterbi(quality.crf.emissions(model, x.features), x.per_text, model)
+        assert labels.tolist() == [True] * 6 + [False] * most + [True] * 6
+        words = [len(s.split()) for s in page]
+        share = sum(n for n, c in zip(words, labels) if c) / sum(words)
+        assert abs(x.content(model)[0] - share) < 1e-12
+    mostly_bars = quality.Lines(["\n".join([prose(rng)] + [bar(rng) for _ in range(12)] + [prose(rng)]).encode()])
+    assert 0 < mostly_bars.content(model)[0] < quality.LEAST_CONTENT
