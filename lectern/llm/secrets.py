@@ -1,14 +1,20 @@
 """Secret scans: fixed patterns, and strings that zstandard can't predict from code, identifiers and their surroundings.
 
 Base findings are patterns (assignments to a name that means a secret, access key ids, long hex runs). Beyond them, every
-string of secret characters within REACH characters behind a sensitive name that holds both a digit and a letter is a
-candidate; strings of letters or of digits only, and strings before a name, aren't measured. Its novelty is what it adds
-to the compressed size of the text before it, with a compressor primed with PRIMER, a dictionary of code and identifiers:
-words, paths and names that the surroundings or the dictionary hold add little, keys add nearly all their length. Novel
-candidates are reported where no base finding lies.
-
-Defined cases: null texts count as empty and hold nothing; repeated rows are scanned alike; an empty table gives no rows;
-other columns are ignored. Offsets are code points, the end exclusive.
+run of LEAST_CHARS secret characters or more within REACH characters of a sensitive name, before or behind it, is a
+candidate; where the name is part of the run, the run goes on behind it. A candidate's novelty is what it adds to the
+compressed size of the AROUND characters on both its sides, with a compressor primed with PRIMER, a dictionary of code and
+identifiers: words, paths and names that the surroundings or the dictionary hold add little, keys add nearly all their
+length. Candidates of letters and digits are reported from LEAST_NOVELTY; those of one kind only, which can be words, from
+PLAIN_NOVELTY and PLAIN_CHARS characters: random ones are found from that length, words of everyday length aren't.
+Candidates that overlap a base finding aren't reported twice.
+
+Names, candidates and findings are looked for once each and merged in order, so a text costs time in proportion to its
+length, however many names it holds.
+
+Defined cases: null and empty texts hold nothing; very long texts are scanned whole; of findings at one place the kinds
+come in their listed order; repeated rows are scanned alike; an empty table gives no rows; other columns are ignored.
+Offsets are code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -29,13 +35,18 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _NAME = re.compile(r"pass(?:word|wd|phrase)?|secret|token|api_?key|private_?key|credential|auth(?:orization)?|bearer|signature|license_?key", re.I | re.A)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.A)
+_JOINT = re.compile(r"[_=-]*")
 #: Rows without any of these can't hold a finding; RE2 looks for them in whole Arrow columns.
 _ANY = r"(?i)pass|secret|token|api_?key|private_?key|credential|auth|bearer|signature|license_?key|AKIA|[0-9a-f]{16}"
-#: Characters behind a sensitive name in which a candidate starts, and before the candidate that it's measured against.
+#: Characters between a sensitive name and a candidate at most, and on each side of it that it's measured against.
 REACH = 60
 AROUND = 400
-#: Compressed bytes that a candidate adds for each of its own, at least.
+#: Characters of a candidate, and the compressed bytes that it adds for each of its own, at least.
+LEAST_CHARS = 16
 LEAST_NOVELTY = 0.7
+#: The same where it has letters only, or digits only.
+PLAIN_CHARS = 24
+PLAIN_NOVELTY = 0.75
 
 PRIMER = " ".join(
     f"{pre}{name}{post}"
@@ -56,10 +67,10 @@ class Novelty:
         words = zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=level, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-    def __call__(self, around: str, candidate: str) -> float:
-        """Compressed bytes that ``candidate`` adds after ``around``, for each of its own bytes."""
-        before, after = around.encode(), (around + candidate).encode()
-        return (len(self.compressor.compress(after)) - len(self.compressor.compress(before))) / len(candidate.encode())
+    def __call__(self, before: str, candidate: str, after: str = "") -> float:
+        """Compressed bytes that ``candidate`` adds between its surroundings, for each of its own bytes."""
+        without, whole = (before + after).encode(), (before + candidate + after).encode()
+        return (len(self.compressor.compress(whole)) - len(self.compressor.compress(without))) / len(candidate.encode())
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -70,18 +81,45 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """start, end of the runs near a sensitive name, in order."""
+    names = [m.span() for m in _NAME.finditer(text)]
+    if not names:
+        return
+    at = 0  # the first name that ends behind the run's start
+    for m in _CANDIDATE.finditer(text):
+        start, end = m.span()
+        while at < len(names) and names[at][1] <= start:
+            at += 1
+        near = at > 0 and start - names[at - 1][1] <= REACH
+        while at < len(names) and names[at][0] < end:  # names in the run
+            near, start = True, min(names[at][1], end)
+            at += 1
+        if start > m.start():
+            start = _JOINT.match(text, start, end).end()
+        near = near or (at < len(names) and names[at][0] - end <= REACH)
+        if near and end - start >= LEAST_CHARS:
+            yield start, end
+
+
+def is_novel(text: str, start: int, end: int, novelty: Novelty, least: float = LEAST_NOVELTY) -> bool:
+    found = text[start:end]
+    if not (any(c.isdigit() for c in found) and any(c.isalpha() for c in found)):
+        least = max(least, PLAIN_NOVELTY)
+        if len(found) < PLAIN_CHARS:
+            return False
+    return novelty(text[max(0, start - AROUND) : start], found, text[end : end + AROUND]) >= least
+
+
 def novel_spans(text: str, base: list[tuple[int, str, int]], novelty: Novelty, least: float = LEAST_NOVELTY) -> list[tuple[int, str, int]]:
-    out, end = [], 0
-    for name in _NAME.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(name.end(), end)):
-            if m.start() > name.end() + REACH:
-                break
-            end = m.end()
-            mixed = any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])
-            if not mixed or any(s < m.end() and m.start() < e for s, _, e in base):
-                continue
-            if novelty(text[max(0, m.start() - AROUND) : m.start()], m[0]) >= least:
-                out.append((m.start(), "novel", m.end()))
+    """Novel candidates that don't overlap the findings ``base``, which are in order."""
+    out, at, covered = [], 0, 0
+    for start, end in candidates(text):
+        while at < len(base) and base[at][0] < end:
+            covered = max(covered, base[at][2])
+            at += 1
+        if covered <= start and is_novel(text, start, end, novelty, least):
+            out.append((start, "novel", end))
     return out
 
 

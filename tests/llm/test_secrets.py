@@ -71,3 +71,58 @@ def test_novelty_tells_keys_from_words():
     assert secrets.novel_spans("the private_key is configuration_default_0123456789 here", [], novelty) == []
     assert secrets.novel_spans(f"{key} then the private_key again {key}", [], novelty) == []
     assert secrets.novel_spans(f"nothing sensitive {key}", [], novelty) == []
+
+
+def brute_novel(text, novelty):
+    """Every run held against every name and every base finding."""
+    out = []
+    names = [m.span() for m in secrets._NAME.finditer(text)]
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+        s, e = m.span()
+        inside = [b for a, b in names if b > s and a < e]
+        near = inside or any(0 <= s - b <= 60 for a, b in names) or any(0 <= a - e <= 60 for a, b in names)
+        if inside:
+            s = min(max(inside), e)
+            while s < e and text[s] in "_=-":
+                s += 1
+        if near and e - s >= 16 and not any(x < e and s < y for x, _, y in brute(text)) and secrets.is_novel(text, s, e, novelty):
+            out.append((s, "novel", e))
+    return out
+
+
+def test_planted_secrets(documents):
+    """Keys put into prose near sensitive names: found by the merge as by brute force, nearly all of them, and little else."""
+    rng, novelty = random.Random(11), secrets.Novelty()
+    kinds = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789ABCDEF", string.ascii_letters]
+    names = ["the private_key is {}", "bearer {} here", "{} is the signature", "credential_{}", "Authorization {}", "license key license_key {}"]
+    caught = planted = false = 0
+    for r in documents.filter("length(text) between 200 and 4000").limit(150).collect():
+        words = r.text.split(" ")
+        put = []
+        for _ in range(2):
+            key = "".join(rng.choices(rng.choice(kinds), k=rng.choice([24, 32, 40])))
+            put.append(key)
+            words.insert(rng.randrange(len(words)), rng.choice(names).format(key))
+        text = " ".join(words)
+        found = secrets.novel_spans(text, secrets.base_spans(text), novelty)
+        assert found == brute_novel(text, novelty)
+        got = [text[a:b] for a, _, b in found]
+        planted += len(put)
+        caught += sum(any(k in g for g in got) for k in put)
+        false += sum(not any(k in g for k in put) for g in got)
+    assert caught >= 0.95 * planted and false <= 0.02 * planted
+
+
+def test_clean_documents_hold_nothing_novel(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert secrets.scan(docs).selectExpr("sum(n_novel) n").first().n <= 2
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    novelty = secrets.Novelty()
+    for text in ("token " * 850_000, "secret x9" * 500_000, "token q8Zr5Tn2Lw7Yx4Vb " * 20_000):
+        began = time.perf_counter()
+        secrets.novel_spans(text, secrets.base_spans(text), novelty)
+        assert time.perf_counter() - began < 20
