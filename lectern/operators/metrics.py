@@ -26,12 +26,6 @@ def rate(condition: Column, of: Column | None = None) -> Column:
     return F.round(F.count_if(condition & of) / F.greatest(F.lit(1), F.count_if(of)), 4)
 
 
-def ranked_gold(gold: DataFrame, hits: DataFrame) -> DataFrame:
-    """case_id and the first 1-based rank at which its gold id stands, null if it doesn't."""
-    both = gold.join(hits.select(F.col("query_id").alias("case_id"), "id", (F.col("rank") + 1).alias("r")), ["case_id", "id"], "left")
-    return both.groupBy("case_id").agg(F.min("r").alias("rank"))
-
-
 def run_summary(results: DataFrame, threshold: int = BAD_BELOW) -> DataFrame:
     """One row a run over (qid, judge struct or null, error): correctness and evidence_relevance leave zeros out."""
     j = lambda x: F.col(f"judge.{x}")

@@ -57,9 +57,3 @@ def one_trace_each(traces: DataFrame) -> DataFrame:
     """The first row (by seq) of every trace_id."""
     w = Window.partitionBy("trace_id").orderBy("seq")
     return traces.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-
-
-def without_markers(tokens: DataFrame) -> DataFrame:
-    """trace_id, shown: a token stream (trace_id, seq, token) as displayed, citation markers withheld across tokens."""
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "token"))), lambda x: x["token"]), "")
-    return tokens.groupBy("trace_id").agg(F.regexp_replace(whole, r"(?i)\[S\d+\]", "").alias("shown"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions import routing as G
 from lectern.functions import text as T
 from lectern.operators import corpus as C
 

@@ -11,6 +11,7 @@ from lectern.operators import acquisition as Q
 from lectern.operators import corpus as C
 from lectern.operators import dedup as D
 from lectern.operators import spans as S
+from lectern.sources import files
 from lectern.sources import reports as O
 from lectern.sources.places import fresh_place
 from lectern.sources.tables import runs
@@ -212,3 +213,31 @@ def test_status_sink(spark):
     assert spark.read.json(f"{place}/log").count() == 9
     got = {r.pid: (r.seq, r.status) for r in spark.read.json(f"{place}/status/1").collect()}
     assert got == {1: (8, "warning"), 2: (1, "running")}
+
+
+def test_sinks(spark):
+    judge = "struct<correctness: int, evidence_relevance: int, faithfulness: int, completeness: int, citation: int, overall: int, error_type: string, reason: string>"
+    rows = spark.createDataFrame(
+        [("q1", "", "why, \"so\"", (1, 2, 3, 4, 5, 5, "none", "r"), [("a.pdf", 0.25)], None), ("q2", "x", "how", None, None, "timeout")],
+        f"qid string, answer_type string, question string, judge {judge}, retrieved array<struct<source: string, distance: double>>, error string",
+    )
+    path = fresh_place(spark, "sinks")
+    O.write_flat(rows, f"{path}/flat")
+    back = {r.qid: r for r in spark.read.option("header", True).option("escape", '"').csv(f"{path}/flat").collect()}
+    assert list(back["q1"].asDict()) == list(O.FLAT) and back["q1"].top1_distance == "0.2500" and (back["q2"].overall, back["q2"].has_error) == (None, "1")
+    O.write_pages(O.result_sections(rows), f"{path}/pages")
+    text = "".join(r.value for r in spark.read.text(f"{path}/pages", wholetext=True).collect())
+    assert "## q1" in text and "| correctness | █░░░░ 1 |" in text and "_未评测_" in text
+    chunks = spark.createDataFrame([("p", "methods", 1, "body")], "paper_id string, section string, page_start int, text string")
+    O.write_chunks(chunks, f"{path}/chunks")
+    assert spark.read.schema(chunks.schema).json(f"{path}/chunks").collect() == chunks.collect()
+    with pytest.raises(Exception, match="already exists"):
+        O.write_chunks(chunks, f"{path}/chunks")
+
+
+def test_pages_for_modes(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one  two\nthree " * 9 + b"\fshort")
+    parse = lambda data: data.decode().split("\f")
+    lines = files.pages_for(spark, str(tmp_path), parse, "section_aware").orderBy("page").collect()
+    plain = files.pages_for(spark, str(tmp_path), parse, "fixed").collect()
+    assert [r.page for r in lines] == [1, 2] and "\n" in lines[0].text and [r.page for r in plain] == [1] and "\n" not in plain[0].text
