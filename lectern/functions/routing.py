@@ -181,8 +181,26 @@ def cited_ids(answer: Column) -> Column:
     return F.transform(F.regexp_extract_all(answer, F.lit(CITATION), F.lit(1)), lambda x: x.cast("int"))
 
 
-def validated(answer: Column, n_contexts: Column, pages: Column) -> Column:
-    """Struct: corrected answer without footer, status, sorted used, unused, invalid ids, unsupported pages, removed claims."""
+#: What a footer says of an answer, in order.
+WARNINGS = (
+    "已移除无法映射到检索片段的越界引用。", "已标记无法映射到本次来源元数据的页码。", "已移除声称有文献支持但没有引用的句子。",
+    "检测到元数据未必能够核验的作者或标题格式。", "回答没有任何可映射引用。", "模型输出达到长度上限，回答可能不完整。",
+)
+FOOTER = "\n\n> 引用校验："
+
+
+def with_footer(v: Column) -> Column:
+    """A validated answer as it's shown: warnings follow one that didn't pass."""
+    footer = F.concat(F.regexp_replace(v["answer"], r"(?U)\s+$", ""), F.lit(FOOTER), F.array_join(v["warnings"], " "))
+    return F.when((v["status"] != "passed") & (F.size(v["warnings"]) > 0), footer).otherwise(v["answer"])
+
+
+def validated(answer: Column, n_contexts: Column, pages: Column, truncated: Column | None = None) -> Column:
+    """Struct: corrected answer without footer, status, sorted used, unused, invalid ids, unsupported pages, removed claims, warnings.
+
+    An answer that was cut off (``truncated``) fails.
+    """
+    cut = F.lit(False) if truncated is None else F.coalesce(truncated, F.lit(False))
     allowed = F.when(n_contexts > 0, F.sequence(F.lit(1), n_contexts)).otherwise(F.array().cast("array<int>"))
     invalid = F.array_sort(F.array_except(F.array_distinct(cited_ids(answer)), allowed))
     kept = F.aggregate(invalid, answer, lambda t, i: F.regexp_replace(t, F.concat(F.lit(r"(?i)\[S0*"), i.cast("string"), F.lit(r"\]")), F.lit("")))
@@ -199,11 +217,13 @@ def validated(answer: Column, n_contexts: Column, pages: Column) -> Column:
         clean = F.when(removed > 0, F.regexp_replace(F.array_join(F.filter(parts, lambda x: ~claims(x)), ""), r"(?U)^\s+|\s+$", "")).otherwise(marked)
         used = F.array_sort(F.array_intersect(F.array_distinct(cited_ids(clean)), allowed))
         silent = (n_contexts > 0) & (F.size(used) == 0) & ~clean.contains(NO_EVIDENCE_PHRASE)
-        failed = silent | clean.rlike(BIBLIOGRAPHIC)
+        failed = silent | clean.rlike(BIBLIOGRAPHIC) | cut
+        told = (F.size(invalid) > 0, F.size(bad) > 0, removed > 0, clean.rlike(BIBLIOGRAPHIC), silent, cut)
         status = F.when(failed, "failed").when((F.size(invalid) > 0) | (F.size(bad) > 0) | (removed > 0), "corrected").otherwise("passed")
         return F.struct(
             clean.alias("answer"), status.alias("status"), used.alias("used"), F.array_sort(F.array_except(allowed, used)).alias("unused"),
             invalid.alias("invalid"), bad.alias("unsupported_pages"), removed.alias("removed_claims"),
+            F.array_compact(F.array(*(F.when(when, F.lit(w)) for when, w in zip(told, WARNINGS, strict=True)))).alias("warnings"),
         )
 
     return let(upper, rest)

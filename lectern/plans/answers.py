@@ -128,12 +128,28 @@ _ANSWERS = """an AS (SELECT conv_id, turn, text || ' [S' || turn || ']' || CASE
 ci AS (SELECT *, list_transform(regexp_extract_all(answer, '(?i)\\[S([0-9]+)\\]', 1), lambda x: x::INT) AS ids FROM an)"""
 
 
-@query()
+_CLAIMS = f"regexp_matches(x, {A.q(G.EVIDENCE_CLAIM)}) AND NOT regexp_matches(x, {A.q(G.CITATION)})"
+_LISTED = "array_to_string(list_sort(list_distinct({0})), ',')"
+
+
+@query(rf"""WITH {_ANSWERS},
+v1 AS (SELECT *, list_filter(ids, lambda x: x NOT IN (1, 2)) AS inv, CASE WHEN len(list_filter(ids, lambda x: x NOT IN (1, 2))) = 0 THEN answer
+  ELSE regexp_replace(regexp_replace(answer, '(?i)\[S0*(?:99' || CASE WHEN turn IN (1, 2) THEN '' ELSE '|' || turn END || ')\]', '', 'g'), '\[s([0-9]+)\]', '[S\1]', 'g') END AS a1 FROM an JOIN (SELECT conv_id, turn, ids FROM ci) USING (conv_id, turn)),
+v2 AS (SELECT *, replace(a1, '第 99 页', {A.q(G.PAGE_UNVERIFIED)}) AS a2, CASE WHEN contains(a1, '第 99 页') THEN '99' ELSE '' END AS unsupported_pages FROM v1),
+v3 AS (SELECT *, regexp_extract_all(a2, '[^。！？!?\n]*[。！？!?\n]|[^。！？!?\n]+$') AS ss FROM v2),
+v4 AS (SELECT *, len(list_filter(ss, lambda x: {_CLAIMS})) AS removed_claims, array_to_string(list_filter(ss, lambda x: NOT ({_CLAIMS})), '') AS left_over FROM v3),
+v5 AS (SELECT *, CASE WHEN removed_claims > 0 THEN regexp_replace(left_over, '^\s+|\s+$', '', 'g') ELSE a2 END AS a3 FROM v4),
+v6 AS (SELECT *, list_filter(list_transform(regexp_extract_all(a3, '(?i)\[S([0-9]+)\]', 1), lambda x: x::INT), lambda x: x IN (1, 2)) AS us, regexp_matches(a3, {A.q(G.BIBLIOGRAPHIC)}) AS bib, turn % 7 = 5 AS cut FROM v5),
+v7 AS (SELECT *, len(us) = 0 AND NOT contains(a3, {A.q(G.NO_EVIDENCE_PHRASE)}) AS silent FROM v6),
+v8 AS (SELECT *, CASE WHEN silent OR bib OR cut THEN 'failed' WHEN len(inv) > 0 OR unsupported_pages <> '' OR removed_claims > 0 THEN 'corrected' ELSE 'passed' END AS status,
+  concat_ws(' ', {', '.join(f"CASE WHEN {c} THEN {A.q(w)} END" for c, w in zip(("len(inv) > 0", "unsupported_pages <> ''", "removed_claims > 0", "bib", "silent", "cut"), G.WARNINGS))}) AS warn FROM v7)
+SELECT conv_id, turn, CASE WHEN status <> 'passed' AND warn <> '' THEN regexp_replace(a3, '\s+$', '') || {A.q(G.FOOTER)} || warn ELSE a3 END AS answer, status, removed_claims, {_LISTED.format('us')} AS used,
+{_LISTED.format('list_filter([1, 2], lambda x: NOT list_contains(us, x))')} AS unused, {_LISTED.format('inv')} AS invalid, unsupported_pages FROM v8""")
 def citation_validate(spark: SparkSession, d: str) -> DataFrame:
-    v = G.validated(F.col("answer"), F.lit(2), F.array(F.lit(1), F.lit(2)))
+    v = G.validated(F.col("answer"), F.lit(2), F.array(F.lit(1), F.lit(2)), F.col("turn") % 7 == 5)
     rows = answers(spark, d).withColumn("v", v)
     lists = [F.concat_ws(",", F.transform(f"v.{x}", lambda i: i.cast("string"))).alias(x) for x in ("used", "unused", "invalid", "unsupported_pages")]
-    return rows.select("conv_id", "turn", "v.answer", "v.status", "v.removed_claims", *lists)
+    return rows.select("conv_id", "turn", G.with_footer(F.col("v")).alias("answer"), "v.status", "v.removed_claims", *lists)
 
 
 @query(f"""WITH {_ANSWERS} SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(ids, lambda x: x NOT IN (1, 2)))), ',') AS invalid,
