@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boilerplate, minhash, mixing, nearest, packing, quality, secrets, substrings, toxicity, warc
-from .shared import fresh_path, read, unkeyed
+from .shared import fresh_path, read, stored, unkeyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,14 +58,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "archives")
     warc.write_archives(read(spark, sf_dir, "pages"), path)
-    return warc.resolved_revisits(warc.read_archives(spark, path))
+    return warc.resolved_revisits(stored(warc.read_archives(spark, path).drop("html"), "headers"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     scorer = toxicity.train(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
     rows = toxicity.scores(docs, scorer)
-    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("spans")
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", spans)
 
 
 QUERIES: dict[str, Query] = {

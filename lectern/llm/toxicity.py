@@ -9,8 +9,9 @@ scores: a logistic curve over the highest marginal and the sum of marginals (for
 they occur among all labelled documents.
 
 Inputs of a score are the text's tokens alone. Defined cases: null and empty texts get the score of a text without tokens;
-without labels of both kinds the score is the share of toxic labels (0 without any); repeated rows are scored alike; an
-empty table gives no rows; other columns are ignored.
+without labels of both kinds the score is the share of toxic labels (0 without any) and no token offends; very long texts
+are scored whole (SAMPLE_CHARS bounds what is learnt from alone); ties in the sample go to the smaller id; repeated rows
+are scored alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,6 +61,8 @@ class Tokens:
         whole = b"\n".join(texts) + b"\n" * 8
         a = np.frombuffer(whole, np.uint8)
         self.starts, self.ends = runs(_TOKEN[a])
+        #: For each byte how many code points begin before it.
+        self.points = np.concatenate([[0], np.cumsum((a & 0xC0) != 0x80)])
         edges = np.cumsum([0, *(len(x) + 1 for x in texts)])
         self.text_starts = edges[:-1]
         self.per_text = np.diff(np.searchsorted(self.starts, edges))
@@ -103,12 +106,15 @@ class Scorer:
 
     def tokens(self, tokens: Tokens) -> np.ndarray:
         """Log-odds of each token being toxic."""
+        if self.curve is None:
+            return np.full(len(tokens.starts), -40.0)
         return crf.marginals(crf.emissions(self.field, tokens.features), tokens.per_text, self.field)
 
-    def documents(self, tokens: Tokens) -> np.ndarray:
+    def documents(self, odds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Scores from the log-odds of the tokens of documents with so many each."""
         if self.curve is None:
-            return np.full(len(tokens.per_text), self.share)
-        x = _summary(self.tokens(tokens), tokens.per_text)
+            return np.full(len(lengths), self.share)
+        x = _summary(odds, lengths)
         return 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30)))
 
 
@@ -170,36 +176,34 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     return fit([r.text.encode() for r in rows], np.array([r.bad for r in rows]), float(share))
 
 
-_OUT = "doc_id long, score double, predicted int"
+_OUT = "doc_id long, score double, predicted int, spans array<struct<start: int, end: int, p: double>>"
+_SPANS = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])
 
 
-def scores(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for text, part in slices(batches):
-            p = scorer.documents(Tokens([lowered(x) for x in text]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, _OUT)
+def _offending(tokens: Tokens, odds: np.ndarray, least: float) -> pa.ListArray:
+    """For each text its tokens of a marginal of ``least`` or more, with code point offsets."""
+    p = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+    owner = np.repeat(np.arange(len(tokens.per_text)), tokens.per_text)
+    hit = np.flatnonzero(p >= least)
+    first = tokens.points[tokens.text_starts][owner[hit]]
+    places = [tokens.points[x[hit]] - first for x in (tokens.starts, tokens.ends)]
+    spans = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in places] + [pa.array(p[hit])], fields=list(_SPANS))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner[hit], minlength=len(tokens.per_text)))])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), spans)
 
 
-def spans(docs: DataFrame, scorer: Scorer, least: float = 0.5) -> DataFrame:
-    """doc_id, spans: toxic tokens with their code point offsets (end exclusive) and marginal."""
+def scores(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, least: float = 0.5) -> DataFrame:
+    """doc_id, score, predicted, and spans: toxic tokens with their code point offsets (end exclusive) and marginal."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, part in slices(batches):
-            low = [lowered(x) for x in text]
-            tokens = Tokens(low)
-            p = 1 / (1 + np.exp(-np.clip(scorer.tokens(tokens), -40, 40)))
-            owner = np.repeat(np.arange(len(low)), tokens.per_text)
-            out: list[list] = [[] for _ in low]
-            for i in np.flatnonzero(p >= least).tolist():
-                at = int(tokens.text_starts[owner[i]])
-                a, b = (len(low[owner[i]][: int(x) - at].decode()) for x in (tokens.starts[i], tokens.ends[i]))
-                out[owner[i]].append({"start": a, "end": b, "p": float(p[i])})
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, kind)], ["doc_id", "spans"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, "doc_id long, spans array<struct<start: int, end: int, p: double>>")
+            tokens = Tokens([lowered(x) for x in text])
+            odds = scorer.tokens(tokens)
+            p = scorer.documents(odds, tokens.per_text)
+            columns = [part.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), _offending(tokens, odds, least)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "spans"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, _OUT)
 
 
 def held_out(doc_id: Column) -> Column:
