@@ -1,18 +1,22 @@
 """WARC archives with resolved revisits.
 
 Of pages with equal payloads of at least ``min_bytes`` the one with the largest page_id becomes the response record and
-the others revisit it. Only what a digest needs is aggregated (digest and page_id, combined before the shuffle), and a
-payload travels once, to the join with its digest's original. Archives are written by Spark's own committed text writer,
-so that a lost executor leaves no torn file and any Hadoop store will do.
+the others revisit it. Headers alone (digest and page_id, combined before the shuffle) tell which digests occur twice or
+more and who answers for them; only these digests meet the pages again, so that payloads stay where they are while that
+table is under the session's broadcast threshold, and travel once beyond it. Small payloads take no part in that join.
+
+Archives are plain WARC files, written by Spark's own committed text writer, so that a lost executor leaves no torn file
+and any Hadoop store will do. A file is a row in a worker when it's read, so files are bounded by bytes: pages of more than
+LARGE bytes go to files of their own, with as many records as the largest of them allows.
 
 Defined cases: a null html is an empty payload; a null url becomes ``urn:page:<id>``; control characters in a url are
-percent-escaped; rows that repeat the response's page_id and payload are responses too; a null page_id is the smallest
-and a payload all of whose ids are null has only responses; an empty table gives an empty archive.
+percent-escaped; rows that repeat the response's page_id and payload are responses too; of these the greatest url is
+referred to; a null page_id is the smallest and a payload all of whose ids are null has only responses; a page larger than
+a file is a file of its own; an empty table gives an empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -21,10 +25,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_BYTES = 1000
-#: Records of one archive file at most.
-RECORDS_PER_FILE = 2000
+#: Bytes of an archive file's payloads at most, but for a single record that is larger, and of a page that isn't large.
+FILE_BYTES = 64 << 20
+LARGE = 64 << 10
 CRLF = "\r\n"
 
 
@@ -41,13 +48,12 @@ def resolve(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
         F.octet_length(body).cast("long").alias("payload_bytes"),
         F.sha1(F.encode(body, "UTF-8")).alias("payload_digest"),
     )
-    originals = (
-        rows.filter(F.col("payload_bytes") >= min_bytes)
-        .groupBy("payload_digest")
-        .agg(F.max(F.struct("page_id", "url")).alias("_original"))
-    )
+    large = rows.filter(F.col("payload_bytes") >= min_bytes)
+    originals = large.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("_original"), F.count("*").alias("_n"))
+    originals = stored(originals.filter("_n > 1").drop("_n"), "originals")
     revisit = F.col("_original.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_original.page_id"))
-    return rows.join(originals, "payload_digest", "left").select(
+    small = rows.filter(F.col("payload_bytes") < min_bytes).withColumn("_original", F.lit(None).cast(originals.schema["_original"].dataType))
+    return large.join(originals, "payload_digest", "left").unionByName(small).select(
         "page_id",
         "url",
         F.when(~revisit, F.col("html")).alias("html"),
@@ -95,15 +101,14 @@ def records(resolved: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFram
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
-    """Write deduplicated archives below ``path``, gzipped as whole files, RECORDS_PER_FILE records a file at most."""
-    (
-        records(resolve(pages, min_bytes))
-        .write.option("lineSep", CRLF)
-        .option("maxRecordsPerFile", RECORDS_PER_FILE)
-        .option("compression", "gzip")
-        .text(path)
-    )
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES) -> None:
+    """Write deduplicated archives below ``path``, FILE_BYTES of payloads a file at most."""
+    rows = resolve(pages, min_bytes)
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    for name, some, bytes_each in (("pages", F.col("payload_bytes") <= LARGE, LARGE), ("large", F.col("payload_bytes") > LARGE, largest)):
+        if name == "pages" or largest > LARGE:
+            many = max(1, file_bytes // bytes_each)
+            records(rows.filter(some)).write.option("lineSep", CRLF).option("maxRecordsPerFile", many).text(f"{path}/{name}")
 
 
 _SCHEMA = "page_id long, url string, record_type string, digest string, refers_to long, bytes long, sha1 string, html string"
@@ -131,8 +136,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         for batch in batches:
             for data in batch["content"]:
                 out = []
-                data = bytes(data)
-                for r in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                for r in parse(bytes(data)):
                     full = r["WARC-Type"] != "revisit"
                     body = r["block"][re.search(rb"\r\n\r\n", r["block"]).end() :]
                     out.append(
@@ -151,7 +155,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                 frame = pd.DataFrame(out, columns=names)
                 yield frame.astype({"page_id": "Int64", "refers_to": "Int64", "bytes": "Int64"})
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInPandas(load, _SCHEMA)
 
 

@@ -46,3 +46,22 @@ def test_tables(spark, sf):
 
 def test_empty(spark):
     assert trip(spark, spark.createDataFrame([], "page_id long, url string, html string"))[1] == []
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    """Large pages go to files of their own; every file is one or more whole records."""
+    rows = [(i, f"http://{i}", chr(97 + i % 26) * (200_000 + i if i % 10 == 0 else 500 + i)) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = fresh_path(spark, "archives")
+    warc.write_archives(pages, path, file_bytes=1_000_000)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).collect()
+    assert sum(f.length > 200_000 for f in files) >= 4 and max(f.length for f in files) < 1_200_000
+    assert sum(1 for f in files for _ in warc.parse(bytes(f.content))) == 200
+    assert sorted(map(tuple, warc.resolved_revisits(warc.read_archives(spark, path)).collect()), key=repr) == brute([(r[0], r[2]) for r in rows])
+
+
+def test_small_and_single_payloads_take_no_part_in_the_join(spark):
+    rows = [(i, None, "") for i in range(50)] + [(100 + i, None, str(i) * 2000) for i in range(8)] + [(200, None, "z" * 3000), (201, None, "z" * 3000)]
+    resolved = warc.resolve(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.refers_to for r in resolved.filter("record_type = 'revisit'").collect()} == {200: 201}
+    assert resolved.count() == len(rows)
