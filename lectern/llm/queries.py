@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, minhash, mixing, nearest, packing, quality, secrets, substrings, toxicity, warc
-from .shared import fresh_path, read, stored, unkeyed
+from . import boilerplate, codes, impacts, minhash, mixing, nearest, packing, quality, runs, secrets, substrings, toxicity, warc
+from . import oracles
+from .shared import WORD, fresh_path, read, stored, unkeyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +70,41 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", spans)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(read(spark, sf_dir, "embeddings")).drop("label")
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; texts whose doc_id's CRC-32 is a multiple of ten get a tail of repeated words, as the contract plants it."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when((h % 10 == 0) & F.col("text").isNotNull(), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("ws")).withColumn("n", F.size("ws"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.array_repeat(F.slice("ws", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))
+    planted = F.concat(F.slice("ws", 1, F.col("a")), F.slice(F.flatten(tail), 1, F.col("n") - F.col("a")))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = runs.periodic_runs(with_repeats(read(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n")))
+    text = F.array_join(lines, "")
+    rows = rows.withColumn("best", runs.strongest())
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{x}").alias(x) for x in ("start", "length", "period")),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(text.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts.top(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_two_fit": op2_best_two_fit,
@@ -80,6 +116,9 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_toxicity": op10_toxicity,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_exact_top_k": op13_exact_top_k,
 }
 
 ORACLES: dict[str, str] = {
@@ -144,6 +183,9 @@ ORACLES: dict[str, str] = {
                CASE WHEN o.o IS NOT NULL AND o.o <> d.page_id THEN o.o END AS refers_to
         FROM d LEFT JOIN o ON d.s = o.s
     """,
+    "op11_vector_codes": oracles.vector_codes(),
+    "op12_periodic_runs": oracles.periodic_runs(),
+    "op13_exact_top_k": oracles.exact_top_k(),
 }
 
 
