@@ -122,36 +122,120 @@ def duplicate_roots(docs: DataFrame, least: float = NEAR) -> DataFrame:
     return of_rows.join(named.join(least_id, "class").select("node", "root"), "node", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
 
 
+#: Lists of at most so many sets are looked through; longer ones are split by one more shared token.
+EXPANDED = 16
+
+
 def best_titles(rows: DataFrame) -> DataFrame:
     """id, best_id, similarity, flagged, confirmed: of all other titles the one with the largest Jaccard of tokens, then the smallest id.
 
-    Equal token sets are compared once. Two sets that share s tokens meet in s * (s - 1) / 2 pairs of tokens, which gives
-    their Jaccard; where only single tokens are shared the smallest set of a token is the best one.
+    Equal token sets are compared once, and rows that have a twin are done with it.
     """
     titles = rows.select("id", F.array_sort(content_tokens(F.col("title"))).alias("tokens"))
-    some = titles.filter(F.size("tokens") > 0)
-    two = some.withColumn("_n", F.row_number().over(Window.partitionBy("tokens").orderBy("id"))).filter("_n <= 2")
+    two = titles.filter(F.size("tokens") > 0)
+    two = two.withColumn("_n", F.row_number().over(Window.partitionBy("tokens").orderBy("id"))).filter("_n <= 2")
     sets = two.groupBy("tokens").agg(F.min("id").alias("first"), F.max(F.when(F.col("_n") == 2, F.col("id"))).alias("second"))
     shared_place(rows.sparkSession)
-    sets = sets.withColumn("n", F.size("tokens")).checkpoint()
-    pairs = F.expr("flatten(transform(sequence(1, n - 1), i -> transform(slice(tokens, i + 1, n), y -> concat(element_at(tokens, i), ' ', y))))")
-    each = sets.filter("n > 1").select("first", "n", F.explode(pairs).alias("g"))
-    x, y = each.alias("x"), each.alias("y")
-    met = x.join(y, F.expr("x.g = y.g and x.first < y.first")).groupBy(F.col("x.first").alias("a"), F.col("y.first").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("both"))
-    s = F.round((1 + F.sqrt(1 + 8 * F.col("both"))) / 2).cast("long")
-    met = met.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("p"), (s / (F.col("n") + F.col("m") - s)).alias("similarity"))
-    single = sets.select("first", "n", F.explode("tokens").alias("g"))
-    short = single.withColumn("_n", F.row_number().over(Window.partitionBy("g").orderBy("n", "first"))).filter("_n <= 2").select("g", F.col("first").alias("other"), F.col("n").alias("m"))
-    once = single.join(short, "g").filter("first <> other").select(F.struct(F.col("first").alias("id"), "other").alias("p"), (1 / (F.col("n") + F.col("m") - 1)).alias("similarity"))
-    best = met.union(once).groupBy(F.col("p.id").alias("first")).agg(F.max(F.struct("similarity", (-F.col("p.other")).alias("other"))).alias("best"))
-    found = titles.join(sets.join(best, "first", "left"), "tokens", "left")
+    sets = sets.checkpoint()
+    best = best_sets(sets.select(F.col("first").alias("id"), "tokens", F.col("second").isNull().alias("asks")))
+    found = titles.join(sets.join(best.withColumnRenamed("id", "first"), "first", "left"), "tokens", "left")
     twin = F.when(F.col("second").isNotNull(), F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")))
-    similarity = F.when(twin.isNotNull(), 1.0).otherwise(F.coalesce("best.similarity", F.lit(0.0)))
+    similarity = F.when(twin.isNotNull(), 1.0).otherwise(F.coalesce("similarity", F.lit(0.0)))
     return found.select(
-        "id", F.coalesce(twin, -F.col("best.other")).alias("best_id"), F.round(similarity, 6).alias("similarity"), (similarity >= FLAGGED).alias("flagged"), (similarity >= CONFIRMED).alias("confirmed")
+        "id",
+        F.coalesce(twin, F.col("other")).alias("best_id"),
+        F.round(similarity, 6).alias("similarity"),
+        (similarity >= FLAGGED).alias("flagged"),
+        (similarity >= CONFIRMED).alias("confirmed"),
     )
 
 
+def best_sets(sets: DataFrame, most: int = EXPANDED, rows_met: list[int] | None = None) -> DataFrame:
+    """id, similarity, other: for each of the distinct sets (id, tokens, asks) that ``asks``, the other set with the largest
+    Jaccard, then the smallest id; none where no token is shared.
+
+    Tokens are in one order, rarest first. A list holds the sets that have some tokens in common: one token at first. What
+    is known of a list is how many sets of each size it has and the two smallest ids of these. Each set that asks keeps the
+    best similarity so far, a bound that rises from list to list. From its lists it learns a lower bound: a set of m tokens
+    that shares these s has a similarity of s / (n + m - s) at least, and of all that share no more of them the smallest id of
+    a size is the best one. What a size can still offer is bounded by the tokens that come after the list's last one, by
+    their places in both sets; a size that can't beat the bound, or tie with it by a smaller id, is left. If few sets are
+    left in a list, they're compared in full; a longer list is split into lists that share one more of the asking set's
+    later tokens. So no list is ever multiplied by itself.
+
+    The first bounds come from suffixes, which hold the most frequent tokens: sets that are alike but for rare tokens meet
+    there. ``rows_met``: gets the number of rows that each step's joins made.
+    """
+    each = sets.select("id", F.explode("tokens").alias("t"))
+    counts = each.groupBy("t").agg(F.count("*").alias("m"))
+    ordered = each.join(counts, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("m", "t"))).alias("x"))
+    ordered = sets.select("id", "asks").join(ordered, "id")
+    ordered = ordered.select("id", "asks", F.transform("x", lambda x: x["t"]).alias("tokens"), F.size("x").alias("n")).checkpoint()
+    asking = ordered.filter("asks")
+    if asking.isEmpty():
+        return asking.select("id", F.lit(0.0).alias("similarity"), F.col("id").alias("other"))
+
+    def better(*found: DataFrame) -> DataFrame:
+        """The best of (id, similarity, other)."""
+        every = found[0]
+        for x in found[1:]:
+            every = every.unionByName(x)
+        top = every.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("other")).alias("o"))).alias("top"))
+        return top.select("id", "top.similarity", (-F.col("top.o")).alias("other")).checkpoint()
+
+    def met(x: DataFrame) -> DataFrame:
+        if rows_met is not None:
+            rows_met.append(x.count())
+        return x
+
+    def lists_of(members: DataFrame) -> DataFrame:
+        """key, m, c, heads: of the sets (key, other, m) of a list and a size the number and the two smallest ids."""
+        heads = members.withColumn("r", F.row_number().over(Window.partitionBy("key", "m").orderBy("other"))).filter("r <= 2")
+        heads = heads.groupBy("key", "m").agg(F.min("other").alias("h1"), F.max(F.when(F.col("r") == 2, F.col("other"))).alias("h2"))
+        return members.groupBy("key", "m").agg(F.count("*").alias("c")).join(heads, ["key", "m"])
+
+    head = F.when(F.col("h1") != F.col("id"), F.col("h1")).otherwise(F.col("h2"))
+    joined = lambda tokens: F.array_join(tokens, "\x00")
+
+    ends = ordered.filter("n > 1").select("id", "n", "asks", F.expr("transform(sequence(2, n), i -> slice(tokens, i, n))").alias("ends"))
+    ends = ends.select("id", "n", "asks", F.explode("ends").alias("e")).select("id", "n", "asks", F.size("e").alias("s"), F.md5(joined(F.col("e"))).alias("key"))
+    common = lists_of(ends.select("key", F.col("id").alias("other"), F.col("n").alias("m")))
+    alike = ends.filter("asks").join(common, "key").withColumn("other", head).filter("other is not null")
+    best = better(met(alike.select("id", (F.col("s") / (F.col("n") + F.col("m") - F.col("s"))).alias("similarity"), "other")))
+
+    members = ordered.select(F.posexplode("tokens").alias("q", "key"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("tokens").alias("there"))
+    frontier = asking.select("id", "n", "tokens", F.posexplode("tokens").alias("p", "key"))
+    s = 1
+    while True:
+        members = members.checkpoint()
+        lists = lists_of(members)
+        asked = met(frontier.join(lists, "key").withColumn("head", head).filter("head is not null")).checkpoint()
+        least = F.lit(s) / (F.col("n") + F.col("m") - s)
+        best = better(best, asked.select("id", least.alias("similarity"), F.col("head").alias("other")))
+        # shared at most: these tokens and those after the last of them in the asking set, none beyond the other's size
+        o = F.lit(s) + F.least(F.col("n") - F.col("p") - 1, F.col("m") - s)
+        bound = o / (F.col("n") + F.col("m") - o)
+        open_ = asked.join(best, "id").filter((o > s) & ((bound > F.col("similarity")) | ((bound == F.col("similarity")) & (F.col("head") < F.col("other")))))
+        left = open_.groupBy("id", "n", "tokens", "p", "key").agg(F.sum("c").alias("c"), F.collect_list("m").alias("sizes")).checkpoint()
+        few = left.filter(F.col("c") <= most).select("id", "n", "tokens", "key", F.explode("sizes").alias("m"))
+        pairs = met(few.join(members, ["key", "m"]).filter("id <> other").dropDuplicates(["id", "other"]))
+        both = F.size(F.array_intersect("tokens", "there"))
+        best = better(best, pairs.select("id", (both / (F.col("n") + F.col("m") - both)).alias("similarity"), "other"))
+        # longer lists: one more token, as far as the bound lets its set share enough
+        deeper = left.filter(F.col("c") > most).join(best, "id")
+        deeper = deeper.select("id", "n", "tokens", "key", "similarity", F.expr("explode(sequence(p + 1, n - 1))").alias("p"))
+        deeper = deeper.filter((F.lit(s + 1) + F.col("n") - F.col("p") - 1) / F.col("n") >= F.col("similarity"))
+        frontier = deeper.select("id", "n", "tokens", "p", F.concat_ws("\x00", "key", F.get("tokens", "p")).alias("key")).checkpoint()
+        if frontier.isEmpty():
+            return best
+        long = left.filter(F.col("c") > most).select("key").distinct()
+        wanted = frontier.select("key").distinct()
+        members = members.join(long, "key", "left_semi").filter("q + 1 < m")
+        members = members.select("key", "other", "m", "there", F.expr("explode(sequence(q + 1, m - 1))").alias("q"))
+        members = members.withColumn("key", F.concat_ws("\x00", "key", F.get("there", "q"))).join(wanted, "key", "left_semi")
+        s += 1
+
+
 def citation_score(cited: Column, year: Column) -> Column:
     return F.log10(cited + 1) + F.when(year >= RECENT_YEAR, F.when(cited >= 20, 0.6).otherwise(0.2)).otherwise(0.0)
 
