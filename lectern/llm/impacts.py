@@ -35,13 +35,13 @@ from .shared import stored
 SCALE = 256
 BEST = 5
 BLOCK = 8192
-LEVELS = 16
+LEVELS = 32
 #: Reading stops where at most one in FEW rows of a block is left.
-FEW = 64
+FEW = 32
 #: Segments read between two looks at what rows can still reach.
-TURN = 64
+TURN = 256
 #: Queries that meet a block at once.
-BATCH = 2000
+BATCH = 500
 
 
 #: The arrays of a block as they're written.
@@ -84,6 +84,7 @@ class Postings:
     def from_row(cls, row: dict[str, bytes], d: int) -> Postings:
         flat = {name: np.frombuffer(row[name], kind) for name, kind in _KINDS.items()}
         shapes = {"ids": (-1,), "vectors": (-1, d), "level": (-1, d)}
+        flat["places"] = flat["places"].astype(np.int64)
         return cls(**{name: x.reshape(shapes.get(name, (d, -1))) for name, x in flat.items()})
 
     def best(self, query: np.ndarray, own: int, k: int, known: int | None = None, few: int = FEW) -> list[tuple[int, int]]:
@@ -102,30 +103,43 @@ class Postings:
         width = np.where(self.filled, most - least, 0).max(axis=1)
         order = np.argsort(-impact, axis=None, kind="stable")
         order = order[impact.ravel()[order] > 0]
-        dims, levels = order // impact.shape[1], order % impact.shape[1]
-        rest = impact.max(axis=1).astype(np.int64)  # of the next segment of each dimension
+        # sums of gains and of products are whole numbers that a double holds
+        exact = int(np.abs(ends).max(initial=0)) * len(w) < 2**52
         total = np.zeros(n, np.int64)
-        done = np.zeros(impact.shape, bool)
         live = np.flatnonzero(self.ids != own)
+        starts, stops = self.starts.ravel(), self.ends.ravel()
+        flat, done = self.places.ravel(), np.zeros(impact.size, bool)
+        base_of = np.repeat(np.arange(len(impact)) * n, impact.shape[1])
         for at in range(0, len(order), TURN):
             if len(live) <= max(n // few, k):
                 break
-            for i, level in zip(dims[at : at + TURN].tolist(), levels[at : at + TURN].tolist(), strict=True):
-                done[i, level] = True
-                add = int(gain[i, level])
-                if add:
-                    total[self.places[i, self.starts[i, level] : self.ends[i, level]]] += add
-                self.read += int(self.ends[i, level] - self.starts[i, level])
-            rest = np.where(done, 0, np.maximum(impact, 0)).max(axis=1)
-            kth = int(np.partition(total[live], len(live) - k)[len(live) - k]) if len(live) >= k else None
+            turn = order[at : at + TURN]
+            done[turn] = True
+            places = [flat[base_of[i] + starts[i] : base_of[i] + stops[i]] for i in turn.tolist()]
+            gains, sizes = gain.ravel()[turn], stops[turn] - starts[turn]
+            if exact:
+                total += np.bincount(np.concatenate(places), np.repeat(gains, sizes).astype(float), n).astype(np.int64)
+            else:
+                for rows, add in zip(places, gains.tolist(), strict=True):
+                    total[rows] += add
+            self.read += int(sizes.sum())
+            read = done.reshape(impact.shape)
+            rest = np.where(read, 0, np.maximum(impact, 0)).max(axis=1)
+            some = total[live]
+            kth = int(np.partition(some, len(live) - k)[len(live) - k]) if len(live) >= k else None
             if kth is not None and (bound is None or kth > bound):
                 bound = kth
-            if bound is not None:
-                # the most that is still open: a step's width where the dimension was read, else its next segment
-                open_ = np.where(done, width[:, None], rest[:, None]).ravel()
+            if bound is None:
+                continue
+            # what is still open: a step's width where the dimension was read, else its next segment; first for any row at
+            # most, then, where that leaves out half of the rows or no segment follows, for each row
+            live = live[some + int(np.where(read.any(axis=1), np.maximum(width, rest), rest).sum()) >= bound]
+            if len(live) <= n // 2 or at + TURN >= len(order):
+                open_ = np.where(read, width[:, None], rest[:, None]).ravel()
                 live = live[total[live] + np.take(open_, self.segment[live]).sum(axis=1) >= bound]
         self.rescored += len(live)
-        scores = self.vectors[live] @ w
+        # products of whole numbers are exact as doubles up to 2**53, and faster
+        scores = (self.vectors[live].astype(float) @ w.astype(float)).astype(np.int64) if exact else self.vectors[live] @ w
         first = np.lexsort((self.ids[live], -scores))[:k]
         return list(zip(scores[first].tolist(), self.ids[live[first]].tolist(), strict=True))
 
