@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import content_tokens, text_norm
-from lectern.sources.places import fresh_place, shared_place
+from lectern.sources.places import fresh_place, shared_place, written
 
 NEAR = 0.85
 GRAM, LEAST_STRIDE, MOST_GRAMS = 48, 24, 900
@@ -135,8 +135,7 @@ def best_titles(rows: DataFrame) -> DataFrame:
     two = titles.filter(F.size("tokens") > 0)
     two = two.withColumn("_n", F.row_number().over(Window.partitionBy("tokens").orderBy("id"))).filter("_n <= 2")
     sets = two.groupBy("tokens").agg(F.min("id").alias("first"), F.max(F.when(F.col("_n") == 2, F.col("id"))).alias("second"))
-    shared_place(rows.sparkSession)
-    sets = sets.checkpoint()
+    sets = written(sets, "sets")
     best = best_sets(sets.select(F.col("first").alias("id"), "tokens", F.col("second").isNull().alias("asks")))
     found = titles.join(sets.join(best.withColumnRenamed("id", "first"), "first", "left"), "tokens", "left")
     twin = F.when(F.col("second").isNotNull(), F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")))
@@ -170,7 +169,7 @@ def best_sets(sets: DataFrame, most: int = EXPANDED, rows_met: list[int] | None
     counts = each.groupBy("t").agg(F.count("*").alias("m"))
     ordered = each.join(counts, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("m", "t"))).alias("x"))
     ordered = sets.select("id", "asks").join(ordered, "id")
-    ordered = ordered.select("id", "asks", F.transform("x", lambda x: x["t"]).alias("tokens"), F.size("x").alias("n")).checkpoint()
+    ordered = written(ordered.select("id", "asks", F.transform("x", lambda x: x["t"]).alias("tokens"), F.size("x").alias("n")), "ordered")
     asking = ordered.filter("asks")
     if asking.isEmpty():
         return asking.select("id", F.lit(0.0).alias("similarity"), F.col("id").alias("other"))
@@ -181,7 +180,7 @@ def best_sets(sets: DataFrame, most: int = EXPANDED, rows_met: list[int] | None
         for x in found[1:]:
             every = every.unionByName(x)
         top = every.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("other")).alias("o"))).alias("top"))
-        return top.select("id", "top.similarity", (-F.col("top.o")).alias("other")).checkpoint()
+        return written(top.select("id", "top.similarity", (-F.col("top.o")).alias("other")), "best")
 
     def met(x: DataFrame) -> DataFrame:
         if rows_met is not None:
@@ -207,16 +206,16 @@ def best_sets(sets: DataFrame, most: int = EXPANDED, rows_met: list[int] | None
     frontier = asking.select("id", "n", "tokens", F.posexplode("tokens").alias("p", "key"))
     s = 1
     while True:
-        members = members.checkpoint()
+        members = written(members, "members")
         lists = lists_of(members)
-        asked = met(frontier.join(lists, "key").withColumn("head", head).filter("head is not null")).checkpoint()
+        asked = met(written(frontier.join(lists, "key").withColumn("head", head).filter("head is not null"), "asked"))
         least = F.lit(s) / (F.col("n") + F.col("m") - s)
         best = better(best, asked.select("id", least.alias("similarity"), F.col("head").alias("other")))
         # shared at most: these tokens and those after the last of them in the asking set, none beyond the other's size
         o = F.lit(s) + F.least(F.col("n") - F.col("p") - 1, F.col("m") - s)
         bound = o / (F.col("n") + F.col("m") - o)
         open_ = asked.join(best, "id").filter((o > s) & ((bound > F.col("similarity")) | ((bound == F.col("similarity")) & (F.col("head") < F.col("other")))))
-        left = open_.groupBy("id", "n", "tokens", "p", "key").agg(F.sum("c").alias("c"), F.collect_list("m").alias("sizes")).checkpoint()
+        left = written(open_.groupBy("id", "n", "tokens", "p", "key").agg(F.sum("c").alias("c"), F.collect_list("m").alias("sizes")), "left")
         few = left.filter(F.col("c") <= most).select("id", "n", "tokens", "key", F.explode("sizes").alias("m"))
         pairs = met(few.join(members, ["key", "m"]).filter("id <> other").dropDuplicates(["id", "other"]))
         both = F.size(F.array_intersect("tokens", "there"))
@@ -225,7 +224,7 @@ def best_sets(sets: DataFrame, most: int = EXPANDED, rows_met: list[int] | None
         deeper = left.filter(F.col("c") > most).join(best, "id")
         deeper = deeper.select("id", "n", "tokens", "key", "similarity", F.expr("explode(sequence(p + 1, n - 1))").alias("p"))
         deeper = deeper.filter((F.lit(s + 1) + F.col("n") - F.col("p") - 1) / F.col("n") >= F.col("similarity"))
-        frontier = deeper.select("id", "n", "tokens", "p", F.concat_ws("\x00", "key", F.get("tokens", "p")).alias("key")).checkpoint()
+        frontier = written(deeper.select("id", "n", "tokens", "p", F.concat_ws("\x00", "key", F.get("tokens", "p")).alias("key")), "frontier")
         if frontier.isEmpty():
             return best
         long = left.filter(F.col("c") > most).select("key").distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import collapsed, estimated_tokens, folded, jaccard, shingles
+from lectern.sources.places import written
 
 DENSE_K = SPARSE_K = FUSION_K = 25
 RRF_K = 60
@@ -156,21 +157,31 @@ def _folded(hits: DataFrame, fields: list[str], start: Column, step, keep) -> Da
 def diversify(hits: DataFrame, top_k: int = TOP_K, per_source: int = MAX_PER_SOURCE) -> DataFrame:
     """Greedy in rank order: at most ``per_source`` of a source, no near copy of a chosen neighbour, ``top_k`` in all.
 
-    ``hits`` hold id, source, chunk_index and text; a null chunk_index has no neighbours.
+    ``hits`` hold id, source, chunk_index and text; a null chunk_index has no neighbours. Only hits of one source whose
+    chunks are neighbours are compared by their texts; the fold works on ids, and texts come back to what it keeps.
     """
-    rows = hits.withColumn("grams", shingles(F.col("text")))
-    fields = [x for x in rows.columns if x not in ("query_id", "rank")]
-    kind = dict(rows.dtypes)
-    empty = F.array().cast("array<struct<" + ",".join(f"{x}:{kind[x]}" for x in ["rank", *fields]) + ">>")
+    hits = written(hits, "hits")  # 25 hits of a query at most, read several times
+    source = F.coalesce("source", F.lit("")).alias("source")
+    ids = hits.select("query_id", "rank", "id", source, "chunk_index")
+    x, y = ids.alias("x"), ids.alias("y")
+    near = "x.query_id = y.query_id and x.source = y.source and x.rank < y.rank and abs(x.chunk_index - y.chunk_index) <= 1"
+    pairs = x.join(y, F.expr(near)).select(F.col("x.query_id").alias("query_id"), F.col("x.rank").alias("earlier"), F.col("y.rank").alias("rank"))
+    texts = hits.select("query_id", "rank", "text")
+    both = pairs.join(texts, ["query_id", "rank"]).join(texts.select("query_id", F.col("rank").alias("earlier"), F.col("text").alias("other")), ["query_id", "earlier"])
+    alike = both.filter(jaccard(shingles(F.col("text")), shingles(F.col("other")), 1.0) >= 0.9)
+    copies = alike.groupBy("query_id", "rank").agg(F.collect_list("earlier").alias("copies"))
+    rows = ids.join(copies, ["query_id", "rank"], "left").withColumn("copies", F.coalesce("copies", F.array().cast("array<int>")))
+    empty = F.array().cast("array<struct<rank: int, source: string>>")
 
     def step(chosen: Column, hit: Column) -> Column:
-        same = lambda x: F.coalesce(x["source"], F.lit("")) == F.coalesce(hit["source"], F.lit(""))
-        near = lambda x: F.coalesce(F.abs(x["chunk_index"] - hit["chunk_index"]) <= 1, F.lit(False))
-        copy = F.exists(chosen, lambda x: same(x) & near(x) & (jaccard(x["grams"], hit["grams"], 1.0) >= 0.9))
-        take = (F.size(chosen) < top_k) & (F.size(F.filter(chosen, same)) < per_source) & ~copy
-        return F.when(take, F.concat(chosen, F.array(hit))).otherwise(chosen)
-
-    return _folded(rows, fields, empty, step, lambda x: x).drop("grams")
+        copy = F.exists(chosen, lambda x: F.array_contains(hit["copies"], x["rank"]))
+        take = (F.size(chosen) < top_k) & (F.size(F.filter(chosen, lambda x: x["source"] == hit["source"])) < per_source) & ~copy
+        return F.when(take, F.concat(chosen, F.array(F.struct(hit["rank"].alias("rank"), hit["source"].alias("source"))))).otherwise(chosen)
+
+    sorted_ = F.sort_array(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "source", "copies")))
+    folded_ = rows.groupBy("query_id").agg(sorted_.alias("hits")).select("query_id", F.aggregate("hits", empty, step).alias("kept"))
+    kept = folded_.select("query_id", F.posexplode("kept").alias("place", "hit")).select("query_id", "place", F.col("hit.rank").alias("rank"))
+    return hits.join(kept, ["query_id", "rank"]).drop("rank").withColumnRenamed("place", "rank")
 
 
 def context_block(hit: Column | None = None) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import indexes as I
 from lectern.operators import retrieval as R
+from lectern.sources.places import fresh_place
 
 from . import adapters as A
 from .registry import registry
@@ -145,6 +147,22 @@ def sparse_search(spark: SparkSession, d: str) -> DataFrame:
     return sparse(spark, d)
 
 
+@query(f"WITH {DENSE} SELECT query_id, id, distance, rank FROM dense")
+def dense_saved(spark: SparkSession, d: str) -> DataFrame:
+    """The same hits from a saved collection: vectors in cells around pivots, of which a query reads what it can't exclude."""
+    path = fresh_place(spark, "vectors")
+    I.save_vectors(vectors(spark, d), path)
+    return I.saved_search(dense_queries(spark, d), path)[0]
+
+
+@query(f"WITH {SPARSE} SELECT query_id, id, sparse_score, rank FROM sparse")
+def sparse_saved(spark: SparkSession, d: str) -> DataFrame:
+    """The same hits from saved posting blocks, of which a query reads those that can reach its k-th score."""
+    path = fresh_place(spark, "postings")
+    I.save_blocks(R.sparse_index(chunks(spark, d)), path)
+    return I.block_search(R.weights(text_queries(spark, d), "query_id"), spark.read.parquet(path))[0]
+
+
 @query(f"WITH {FUSED} SELECT * FROM fused")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return R.rrf(dense(spark, d), sparse(spark, d))

@@ -26,6 +26,13 @@ def fresh_place(spark: SparkSession, name: str) -> str:
     return f"{shared_place(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as written to the shared folder, computed once: lineage ends there."""
+    path = fresh_place(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A scan of fewer partitions than there are cores, dealt over all cores: a small file of one row group is one task.
 

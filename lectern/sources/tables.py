@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import collapsed
+from lectern.operators.indexes import postings_of, save_blocks
 
 CASES = "id string, question string, ideal_answer string, expected_sources array<string>, answer_type string"
 JUDGE = "correctness: int, faithfulness: int, completeness: int, citation: int, evidence_relevance: int, overall: int, error_type: string, reason: string"
@@ -92,14 +93,20 @@ def collection_version(chunks: DataFrame) -> str:
 
 
 def save_index(index: DataFrame, path: str, version: str, chunk_count: int) -> None:
-    """Postings sorted by token, and a manifest of the chunks they were built from."""
-    index.repartition("token").sortWithinPartitions("token", "id").write.mode("errorifexists").parquet(f"{path}/postings")
+    """Posting blocks by token, with the highest weight of each, and a manifest of the chunks they were built from."""
+    save_blocks(index, f"{path}/blocks")
     manifest = index.sparkSession.createDataFrame([(version, chunk_count, index.count())], "collection_version string, chunk_count long, posting_count long")
     manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
 
 
-def load_index(spark: SparkSession, path: str, version: str, chunk_count: int) -> DataFrame:
+def open_blocks(spark: SparkSession, path: str, version: str, chunk_count: int) -> DataFrame:
+    """The saved blocks, for ``block_search``; an index of another collection is an error."""
     manifest = spark.read.schema("collection_version string, chunk_count long, posting_count long").json(f"{path}/manifest").first()
     if manifest is None or (manifest.collection_version, manifest.chunk_count) != (version, chunk_count):
         raise StaleIndex(f"{path} was built from {manifest}, the collection is {version} with {chunk_count} chunks")
-    return spark.read.parquet(f"{path}/postings")
+    return spark.read.parquet(f"{path}/blocks")
+
+
+def load_index(spark: SparkSession, path: str, version: str, chunk_count: int) -> DataFrame:
+    """The saved postings: token, id, weight."""
+    return postings_of(open_blocks(spark, path, version, chunk_count))
