@@ -8,13 +8,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.sources.files import resumed
+
 #: Fixed value: what marks the error of a judgement.
 JUDGE_ERROR = "[JUDGE ERROR]"
 
 
-def answered(cases: DataFrame, answer: Callable[[str], str]) -> DataFrame:
-    """``cases`` (qid, question) with model_answer and error; an exception's answer is marked, and its error is kept."""
+_ANSWERED = "qid string, question string, model_answer string, error string"
 
+
+def _answers(answer: Callable[[str], str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             said, failed = [], []
@@ -27,7 +30,17 @@ def answered(cases: DataFrame, answer: Callable[[str], str]) -> DataFrame:
                     failed.append(f"{type(error).__name__}: {error}")
             yield batch.assign(model_answer=said, error=failed)
 
-    return cases.select("qid", "question").mapInPandas(run, "qid string, question string, model_answer string, error string")
+    return run
+
+
+def answered(cases: DataFrame, answer: Callable[[str], str]) -> DataFrame:
+    """``cases`` (qid, question) with model_answer and error; an exception's answer is marked, and its error is kept."""
+    return cases.select("qid", "question").mapInPandas(_answers(answer), _ANSWERED)
+
+
+def answered_in_steps(cases: DataFrame, answer: Callable[[str], str], path: str, batch: int = 20) -> DataFrame:
+    """The same, kept below ``path`` every ``batch`` questions; a run that was stopped goes on from there."""
+    return resumed(cases.select("qid", "question"), path, _answers(answer), _ANSWERED, batch)
 
 
 def _own_errors() -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import monitor as W
 from lectern.sources.places import fresh_place
-from lectern.streaming.monitor import marker_stream
+from lectern.streaming.monitor import PATIENCE, marker_stream, request_traces
 from lectern.streaming.monitor import watchdog_stream as watchdog_stream_of
 
 from . import adapters as A
@@ -83,3 +83,37 @@ def marker_stream_filter(spark, d):
     out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     parts = F.transform(F.sort_array(F.collect_list(F.struct("seq", "shown"))), lambda x: x["shown"])
     return spark.read.parquet(f"{place}/out").groupBy("trace_id").agg(F.array_join(parts, "").alias("shown"))
+
+
+_TRACES = f"""
+WITH m AS (SELECT 'r' || event_id AS trace_id, epoch_us(ts) AS started, CASE WHEN event_id % 7 = 3 THEN NULL
+    ELSE epoch_us(ts) + round(value * 1e6)::BIGINT * (1 + 40 * (event_id % 13 = 5)::INT) END AS e,
+    CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS o, props FROM events),
+d AS (SELECT *, e IS NULL OR e > started + {PATIENCE * 1000} AS lost FROM m)
+SELECT trace_id, started, CASE WHEN lost THEN started + {PATIENCE * 1000} ELSE e END AS ended, CASE WHEN lost THEN 'disconnect' ELSE o END AS outcome,
+    CASE WHEN NOT lost AND o = 'error' THEN props END AS message FROM d
+"""
+
+
+@query(_TRACES)
+def request_trace_stream(spark, d):
+    """Events as requests: a start, and after ``value`` seconds an end or an error; some end too late, some never.
+
+    They're replayed as a stream in which every start and every second end comes twice, and ends with a mark of another
+    day, whose time lets the last deadlines pass.
+    """
+    place = fresh_place(spark, "requests")
+    e = F.col("event_id")
+    events = A.read(spark, d, "events").select(F.concat(F.lit("r"), e).alias("trace_id"), e, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_type", "value", "props")
+    length = F.round(F.col("value") * 1e6).cast("long") * F.when(e % 13 == 5, 41).otherwise(1)
+    failed = F.col("event_type") == "error"
+    start = F.struct(F.col("us"), F.lit("start").alias("kind"), F.lit(None).cast("string").alias("message"))
+    end = F.struct((F.col("us") + length).alias("us"), F.when(failed, "error").otherwise("end").alias("kind"), F.when(failed, F.col("props")).alias("message"))
+    marks = F.array(start, start, F.when(e % 7 != 3, end), F.when((e % 7 != 3) & (e % 2 == 0), end))
+    rows = events.select("trace_id", F.inline(F.array_compact(marks)))
+    last = events.agg(F.max("us").alias("us")).select(F.lit(None).cast("string").alias("trace_id"), (F.col("us") + 86_400_000_000).alias("us"), F.lit("clock").alias("kind"), F.lit(None).cast("string").alias("message"))
+    rows.unionByName(last).select("trace_id", F.timestamp_micros("us").alias("ts"), "kind", "message").write.parquet(f"{place}/in")
+    source = spark.readStream.schema("trace_id string, ts timestamp, kind string, message string").parquet(f"{place}/in")
+    out = request_traces(source).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/checkpoint")
+    out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/out")

@@ -1,4 +1,4 @@
-"""Files: discovery over several folders, archives of files, CSV pairs and views, downloads that go on where they stopped."""
+"""Files: discovery over several folders, archives of files, CSV pairs and views, runs that go on where they stopped."""
 
 from __future__ import annotations
 
@@ -82,17 +82,33 @@ def remaining(todo: DataFrame, *done: DataFrame) -> DataFrame:
     return rows.drop("_doi")
 
 
-def resumed(todo: DataFrame, path: str, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, batch: int = 20) -> None:
-    """Do ``work`` on what ``path`` doesn't hold yet, in batches that are kept as they end: a run that's stopped loses one batch at most."""
+def resumed(todo: DataFrame, path: str, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, batch: int = 20) -> DataFrame:
+    """Do ``work`` on the rows of ``todo`` and return all results below ``path``: a run that's stopped loses one batch at most.
+
+    The rows are listed in files of ``batch`` rows below ``path``, and a checkpointed stream takes as many of these at once
+    as there are cores. Each batch of the stream writes its results to a folder of its number, which a repeated batch
+    replaces, so that no row is lost or done twice, nulls and repeated rows included. Rows of ``todo`` that are listed
+    already aren't listed again; new ones are, as often as they're missing.
+    """
     spark = todo.sparkSession
-    while True:
-        try:
-            left = remaining(todo, spark.read.parquet(path))
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            left = todo
-        some = left.orderBy("doi").limit(batch)
-        if some.isEmpty():
-            return
-        some.mapInPandas(work, schema).write.mode("append").parquet(path)
+    try:
+        listed = spark.read.schema(todo.schema).parquet(f"{path}/todo")
+        new = todo.exceptAll(listed)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        new = todo
+    new.write.mode("append").option("maxRecordsPerFile", batch).parquet(f"{path}/todo")
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.mapInPandas(work, schema).write.mode("overwrite").parquet(f"{path}/done/batch={number}")
+
+    files = spark.readStream.schema(todo.schema).option("maxFilesPerTrigger", spark.sparkContext.defaultParallelism).parquet(f"{path}/todo")
+    run = files.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return results(spark, path, schema)
+
+
+def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``resumed`` has kept so far."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/done")

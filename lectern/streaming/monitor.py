@@ -103,6 +103,62 @@ def marker_stream(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("trace_id").applyInPandasWithState(update, "trace_id string, seq long, shown string", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Milliseconds after which a request without an end counts as given up; its trace is known, so that replays are dropped, as long again.
+PATIENCE = 600_000
+
+
+def request_traces(marks: DataFrame, patience: int = PATIENCE) -> DataFrame:
+    """One trace for each request of a stream of marks (trace_id, ts, kind, message), kind being start, end or error.
+
+    trace_id, started, ended (microseconds), outcome and message: ``ok`` and ``error`` with their times, or ``disconnect``
+    for a start whose end doesn't come within ``patience`` milliseconds of event time, ended at that deadline. An end whose
+    start never came is a trace without a start. The earliest start and the earliest end or error count (ties: end, then
+    the smaller message); what is replayed while the trace is known is dropped, and after that it's too late for the
+    watermark. Marks without a trace_id, a time or a known kind are
+    left out, but their times move the watermark, as those of a clock.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if key[0] is None:  # a clock's marks have been read for their times
+            return
+        started, ended, outcome, message, told = state.get if state.exists else (None, None, None, None, False)
+        out = []
+        if state.hasTimedOut:
+            if told:
+                state.remove()
+                return
+            last = ended if started is None else started + patience * 1000
+            out.append((key[0], started, last, outcome or "disconnect", message))
+            told = True
+        else:
+            rows = pd.concat(list(batches))
+            for kind, at, said in sorted(zip(rows["kind"], rows["us"], rows["message"], strict=True), key=lambda r: (r[1], r[0] == "error", r[2] or "")):
+                if told:
+                    break
+                if kind == "start" and started is None:
+                    started = int(at)
+                elif kind in ("end", "error") and ended is None:
+                    ended, outcome, message = int(at), "ok" if kind == "end" else "error", said
+            if not told and started is not None and ended is not None:
+                late = ended > started + patience * 1000
+                out.append((key[0], started, *((started + patience * 1000, "disconnect", None) if late else (ended, outcome, message))))
+                told = True
+        if started is None and ended is None:
+            return
+        first = min(x for x in (started, ended) if x is not None) // 1000
+        state.update((started, ended, outcome, message, told))
+        state.setTimeoutTimestamp(max(first + patience * (2 if told else 1) + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            frame = pd.DataFrame(out, columns=["trace_id", "started", "ended", "outcome", "message"])
+            yield frame.astype({"started": "Int64", "ended": "Int64"})
+
+    # a filter of trace_id or kind here would be pushed below the watermark, which then wouldn't see the clock
+    rows = marks.withWatermark("ts", "0 seconds").filter("ts is not null").select("trace_id", "ts", F.unix_micros("ts").alias("us"), "kind", "message")
+    kept = "started long, ended long, outcome string, message string, told boolean"
+    result = "trace_id string, started long, ended long, outcome string, message string"
+    return rows.groupBy("trace_id").applyInPandasWithState(update, result, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def status_sink(samples: DataFrame, log: str, status: str, checkpoint: str) -> StreamingQuery:
     """Judged samples appended to ``log``, and the last status of each process, rewritten with every batch, in ``status``."""
 

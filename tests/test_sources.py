@@ -114,7 +114,9 @@ def test_csv_pair_and_newest(spark, tmp_path):
 
 
 def test_resumed(spark):
-    todo = spark.createDataFrame([(f"10.1/{i:02d}",) for i in range(45)], "doi string")
+    """Stopped while a batch runs, and after its results were written: no row is lost or repeated, nulls and equal rows included."""
+    rows = [(f"10.1/{i:02d}",) for i in range(45)] + [(None,), (None,), ("10.1/00",)]
+    todo = spark.createDataFrame(rows, "doi string").coalesce(1)
     path = fresh_place(spark, "resumed")
 
     def work(batches):
@@ -126,11 +128,60 @@ def test_resumed(spark):
 
     flag = f"/tmp/{uuid.uuid4().hex}"
     with pytest.raises(Exception, match="stopped"):
-        files.resumed(todo, path, work, "doi string, n int")
-    assert spark.read.parquet(path).count() == 20
-    files.resumed(todo, path, work, "doi string, n int")
-    assert spark.read.parquet(path).count() == 45 == spark.read.parquet(path).distinct().count()
-    assert files.remaining(todo, spark.createDataFrame([("10.1/00",)], "doi string")).count() == 44
+        files.resumed(todo, path, work, "doi string, n int", batch=2)
+    before = files.results(spark, path, "doi string, n int").count()
+    assert 0 < before < 48 and before % 2 == 0
+    found = files.resumed(todo, path, work, "doi string, n int", batch=2)
+    assert sorted((r.doi or "",) for r in found.collect()) == sorted((d or "",) for (d,) in rows)
+    # a batch whose end wasn't recorded is repeated, and replaces what it wrote
+    commits = f"{path.removeprefix('file://')}/checkpoint/commits"
+    last = max(int(x) for x in os.listdir(commits) if x.isdigit())
+    for x in (f"{commits}/{last}", f"{commits}/.{last}.crc"):
+        os.remove(x)
+    more = spark.createDataFrame([*rows, ("10.1/99",), (None,)], "doi string").coalesce(1)
+    found = files.resumed(more, path, work, "doi string, n int", batch=2)
+    assert sorted((r.doi or "",) for r in found.collect()) == sorted((d or "",) for (d,) in [*rows, ("10.1/99",), (None,)])
+    assert files.remaining(todo, spark.createDataFrame([("10.1/00",)], "doi string")).count() == 46
+
+
+def test_answers_in_steps(spark):
+    cases = spark.createDataFrame([(f"q{i}", "bad" if i == 3 else "why") for i in range(9)], "qid string, question string")
+
+    def answer(question):
+        if question == "bad":
+            raise ValueError("no")
+        return question.upper()
+
+    path = fresh_place(spark, "answers")
+    for _ in range(2):
+        rows = answering.answered_in_steps(cases, answer, path, batch=2).collect()
+        assert sorted((r.qid, r.model_answer, r.error) for r in rows) == sorted((r.qid, r.model_answer, r.error) for r in answering.answered(cases, answer).collect())
+
+
+def test_request_traces(spark, tmp_path):
+    """Ends, errors, starts without end, ends without start, replays, over several batches."""
+    minute = 60_000_000
+    batches = [
+        [("a", 0, "start", None), ("b", 0, "start", None), ("c", 1, "end", None), ("d", 1, "start", None), (None, 1, "start", None)],
+        [("a", 2, "end", None), ("a", 3, "error", "again"), ("b", 2, "error", "broken"), ("b", 2, "start", None)],
+        [("a", 4, "start", None), ("a", 4, "end", None), ("e", 5, "start", None), ("e", 5, "other", None), ("d", 12, "end", None)],
+        [("x", 30, "clock", None)],
+        [("a", 0, "start", None), ("y", 90, "clock", None)],
+    ]
+    for i, rows in enumerate(batches):
+        table = spark.createDataFrame([(t, (m + 100) * minute, k, s) for t, m, k, s in rows], "trace_id string, us long, kind string, message string")
+        table.select("trace_id", F.timestamp_micros("us").alias("ts"), "kind", "message").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    schema = "trace_id string, ts timestamp, kind string, message string"
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    out = stream.request_traces(source).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
+    out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    back = lambda us: None if us is None else us - 100 * minute
+    got = {(r.trace_id, back(r.started), back(r.ended), r.outcome, r.message) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {
+        ("a", 0, 2 * minute, "ok", None), ("b", 0, 2 * minute, "error", "broken"), ("c", None, minute, "ok", None),
+        ("d", minute, 11 * minute, "disconnect", None), ("e", 5 * minute, 15 * minute, "disconnect", None),
+    }
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 5
 
 
 def test_runs_of_questions(spark):
