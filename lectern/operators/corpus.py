@@ -405,6 +405,13 @@ def hard_negative(title: Column) -> Column:
     )
 
 
+def work_fields(body: Column) -> Column:
+    """first_author and journal of a catalogue's record in JSON; '' for what's missing, null or empty."""
+    record = F.from_json(body, "authorships array<struct<author: struct<display_name: string>>>, host struct<name: string>")
+    author = F.coalesce(F.get(record["authorships"], 0)["author"]["display_name"], F.lit(""))
+    return F.struct(author.alias("first_author"), F.coalesce(record["host"]["name"], F.lit("")).alias("journal"))
+
+
 def triage(downloads: DataFrame, corpus: DataFrame, tracked: DataFrame) -> DataFrame:
     """Downloads (id, sha, doi, ok) with their bucket; the first rule that holds wins."""
     shas = corpus.select("sha", F.lit(True).alias("has_sha")).distinct()

@@ -13,15 +13,20 @@ from .registry import registry
 
 QUERIES, ORACLES, query = registry()
 
-_DOIS = [
-    (1, "https://doi.org/10.1016/J.Watres.2020.115"), (2, "doi: 10.1021/acs.est.0c01.,;"), (3, "DOI 10.5/x"), (4, " 10.1000/abc getrights"), (5, "10.1000/abchttp://x"), (6, "not a doi"), (7, None), (8, "http://dx.doi.org/10.1/ABC)"),
-]
-_FOUND = [(1, "10.1016/j.watres.2020.115"), (2, "10.1021/acs.est.0c01"), (3, "10.5/x"), (4, "10.1000/abc"), (5, "10.1000/abc"), (6, ""), (7, ""), (8, "10.1/abc")]
+_DOI_FORMS = (
+    ("https://doi.org/10.1016/J.Watres.", ""), ("doi: 10.1016/J.WATRES.", ".,;"), ("DOI 10.1016/j.watres.", ""), (" 10.1016/j.watres.", " getrights"),
+    ("10.1016/j.watres.", "http://x"), ("http://dx.doi.org/10.1016/j.watres.", ")"), ("not a doi ", ""),
+)
 
 
-@query(f"WITH {A.values_sql('v', _FOUND, 'id int, doi string')} SELECT * FROM v")
+@query(f"SELECT doc_id, CASE WHEN doc_id % 8 < 6 THEN '10.1016/j.watres.' || doc_id ELSE '' END AS doi FROM documents")
 def doi_normalize(spark, d):
-    return A.values(spark, _DOIS, "id int, raw string").select("id", T.doi_normal(F.col("raw")).alias("doi"))
+    """Each document's identifier in one of the forms it's met in, or none; the oracle knows the bare one."""
+    form = F.col("doc_id") % 8
+    raw = F.lit(None).cast("string")
+    for i, (before, after) in enumerate(_DOI_FORMS):
+        raw = F.when(form == i, F.concat(F.lit(before), "doc_id", F.lit(after))).otherwise(raw)
+    return A.read(spark, d, "documents").select("doc_id", T.doi_normal(raw).alias("doi"))
 
 
 # --- candidates from parts
@@ -165,13 +170,19 @@ def title_best_match(spark, d):
     return C.best_titles(candidates(spark, d))
 
 
-_TITLES = [(1, "Occurrence of PFAS in river water"), (2, "Removal of PFAS from wastewater"), (3, "Soil burden of PFAS in water"), (4, "A new catalyst"), (5, "Ozone in drinking water"), (6, "Fate of drugs in sewage treatment plants")]
-_VERDICTS = [(1, ""), (2, "hn_answers_same_question(is a treatment paper)"), (3, "hn_off_topic(soil/epidemiology/non-water)"), (4, "hn_off_topic(not water-related)"), (5, "hn_not_occurrence_type"), (6, "")]
+_TITLES = (
+    ("Occurrence of PFAS in river water", ""), ("Removal of PFAS from wastewater", "hn_answers_same_question(is a treatment paper)"),
+    ("Soil burden of PFAS in water", "hn_off_topic(soil/epidemiology/non-water)"), ("A new catalyst", "hn_off_topic(not water-related)"),
+    ("Ozone in drinking water", "hn_not_occurrence_type"), ("Fate of drugs in sewage treatment plants", ""),
+)
 
 
-@query(f"WITH {A.values_sql('v', _VERDICTS, 'id int, verdict string')} SELECT * FROM v")
+@query(f"SELECT p_partkey AS id, {A.sql_list(v for _, v in _TITLES)}[p_partkey % {len(_TITLES)} + 1] AS verdict FROM part")
 def hard_negative_verdict(spark, d):
-    return A.values(spark, _TITLES, "id int, title string").select("id", C.hard_negative(F.col("title")).alias("verdict"))
+    """Every part as a candidate whose title is about one of six things; the oracle knows which."""
+    titles = F.array(*(F.lit(t) for t, _ in _TITLES))
+    title = F.concat(F.element_at(titles, (F.col("p_partkey") % len(_TITLES) + 1).cast("int")), F.lit(" near "), "p_name")
+    return A.read(spark, d, "part").select(F.col("p_partkey").alias("id"), C.hard_negative(title).alias("verdict"))
 
 
 @query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS survivor FROM documents GROUP BY 1")
@@ -242,26 +253,33 @@ def usage_and_notes(spark, d):
     return A.read(spark, d, "events").select("event_id", F.try_element_at(F.from_json("props", "map<string,string>"), F.get(keys, 0)).alias("first_value"), F.size(keys).cast("long").alias("n_keys"))
 
 
-_WORKS = [(1, '{"authorships": [{"author": {"display_name": "A. B."}}], "host": {"name": "J"}}'), (2, '{"authorships": []}'), (3, "{}")]
-
-
-@query("SELECT * FROM (VALUES (1, 'A. B.', 'J'), (2, '', ''), (3, '', '')) t(id, first_author, journal)")
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 5 < 3 THEN p_name ELSE '' END AS first_author, CASE WHEN p_partkey % 5 IN (0, 3) THEN p_brand ELSE '' END AS journal FROM part""")
 def nested_fields(spark, d):
-    j = F.from_json("body", "authorships array<struct<author: struct<display_name: string>>>, host struct<name: string>")
-    rows = A.values(spark, _WORKS, "id int, body string").withColumn("j", j)
-    return rows.select("id", F.coalesce(F.get("j.authorships", 0)["author"]["display_name"], F.lit("")).alias("first_author"), F.coalesce("j.host.name", F.lit("")).alias("journal"))
-
-
-_PAPERS = [
-    (1, "Smith J., Doe A.", "Contents lists available at ScienceDirect. Abstract: We did it. Keywords: a, b", "x"), (2, "John Smith and Ann Lee", "no heading here", "an accepted manuscript"), (3, "", "A B S T R A C T\nText. 1. Introduction more", "y references z"),
-    (4, None, None, None), (5, "Müller-Lüdenscheidt2, K.", "Postprint at mdpi.com", "z"),
-]
-_PAPER_FACTS = [
-    (1, "smith", "publisher_version", False, "We did it. "), (2, "smith", "accepted_manuscript", False, "no heading here"), (3, "", "unknown", True, "Text. "), (4, "", "unknown", False, ""), (5, "müller-lüdenscheidt", "accepted_manuscript", False, "Postprint at mdpi.com"),
-]
-
-
-@query(f"WITH {A.values_sql('v', _PAPER_FACTS, 'id int, author string, version string, has_references boolean, abstract string')} SELECT * FROM v")
+    """Every part as a record of a catalogue: authors and journal nested, empty, null or missing."""
+    k = F.col("p_partkey") % 5
+    one = F.array(F.struct(F.struct(F.col("p_name").alias("display_name")).alias("author")))
+    both = F.to_json(F.struct(one.alias("authorships"), F.struct(F.col("p_brand").alias("name")).alias("host")))
+    author = F.to_json(F.struct(one.alias("authorships")))
+    empty = F.to_json(F.struct(F.slice(one, 1, 0).alias("authorships"), F.struct(F.col("p_brand").alias("name")).alias("host")))
+    body = F.when(k == 0, both).when(k == 1, author).when(k == 2, F.concat(F.rtrim(author, F.lit("}")), F.lit('}}], "host": null}'))).when(k == 3, empty).otherwise("{}")
+    rows = A.read(spark, d, "part").select(F.col("p_partkey").alias("id"), C.work_fields(body).alias("w"))
+    return rows.select("id", "w.first_author", "w.journal")
+
+
+@query("""WITH t AS (SELECT doc_id, 'sm' || translate(doc_id::VARCHAR, '0123456789', 'abcdefghij') AS name, doc_id % 5 AS k FROM documents)
+SELECT doc_id, CASE WHEN k < 3 THEN name ELSE '' END AS author, CASE k WHEN 0 THEN 'publisher_version' WHEN 1 THEN 'accepted_manuscript' WHEN 4 THEN 'accepted_manuscript' ELSE 'unknown' END AS version,
+k = 2 AS has_references, CASE k WHEN 0 THEN 'We did ' || doc_id || '. ' WHEN 1 THEN 'no heading here ' || doc_id WHEN 2 THEN 'Text ' || doc_id || '. ' WHEN 3 THEN '' ELSE 'Postprint at mdpi.com' END AS abstract FROM t""")
 def title_author_text(spark, d):
-    rows = A.values(spark, _PAPERS, "id int, authors string, first string, whole string")
-    return rows.select("id", T.first_author(F.col("authors")).alias("author"), T.version_type(F.col("first"), F.col("whole")).alias("version"), T.has_references(F.col("whole")).alias("has_references"), T.abstract_of(F.col("first")).alias("abstract"))
+    """First pages of five kinds, one for each document, with the name and a number of the document in them."""
+    k, n = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    name = F.concat(F.lit("Sm"), F.translate(n, "0123456789", "abcdefghij"))
+    pick = lambda *cases: F.element_at(F.array(*(F.lit(x) if x is None or isinstance(x, str) else x for x in cases)), (k + 1).cast("int"))
+    authors = pick(F.concat(name, F.lit(" J., Doe A.")), F.concat(F.lit("John "), name, F.lit(" and Ann Lee")), F.concat(name, F.lit("2, K.")), None, "")
+    first = pick(
+        F.concat(F.lit("Contents lists available at ScienceDirect. Abstract: We did "), n, F.lit(". Keywords: a, b")), F.concat(F.lit("no heading here "), n),
+        F.concat(F.lit("A B S T R A C T\nText "), n, F.lit(". 1. Introduction more")), None, "Postprint at mdpi.com",
+    )
+    whole = pick("x", "an accepted manuscript", "y references z", None, "z")
+    rows = A.read(spark, d, "documents").select("doc_id", authors.alias("authors"), first.alias("first"), whole.alias("whole"))
+    author, abstract = T.first_author(F.col("authors")), T.abstract_of(F.col("first"))
+    return rows.select("doc_id", author.alias("author"), T.version_type(F.col("first"), F.col("whole")).alias("version"), T.has_references(F.col("whole")).alias("has_references"), abstract.alias("abstract"))

@@ -192,21 +192,31 @@ def bootstrap_ci(spark, d):
     return M.bootstrap(rows)
 
 
-_PACKED = [(1, "[S1] a.pdf | page 2 | distance=0.4153 || [S2] b c.pdf | page 11 | distance=0.5"), (2, ""), (3, None), (4, "junk || S3 x.pdf|page 4|distance=1"), (5, "[S1] a.pdf | page x | distance=0.1")]
-
-
-@query("SELECT * FROM (VALUES (1, 'S1', 'a.pdf', 2, 0.4153::DOUBLE), (1, 'S2', 'b c.pdf', 11, 0.5), (4, 'S3', 'x.pdf', 4, 1)) t(id, sid, source, page, distance)")
+@query("""SELECT doc_id AS id, 'S1' AS sid, source || '.pdf' AS source, (doc_id % 90 + 1)::INT AS page, (doc_id % 10000) / 10000 AS distance FROM documents WHERE doc_id % 6 NOT IN (4, 5)
+UNION ALL SELECT doc_id, 'S2', 'b c ' || source || '.pdf', 11, 0.5 FROM documents WHERE doc_id % 6 IN (0, 1) UNION ALL SELECT doc_id, 'S3', 'x.pdf', 4, 1 FROM documents WHERE doc_id % 6 IN (3, 5)""")
 def sources_parse(spark, d):
-    return A.values(spark, _PACKED, "id int, field string").select("id", F.explode(M.retrieved_sources(F.col("field"))).alias("s")).select("id", "s.*")
-
-
-_JUDGED = [(1, '{"overall": 4, "error_type": "none"}'), (2, 'Sure: {"overall": 2, "error_type": "off_topic"} done'), (3, "no json"), (4, None), (5, '{"overall": "x"}')]
-
-
-@query("SELECT * FROM (VALUES (1, 4, 'none', true), (2, 2, 'off_topic', true), (3, NULL, NULL, false), (4, NULL, NULL, false), (5, NULL, NULL, false)) t(id, overall, error_type, parsed)")
+    """The packed report field of every document: its own source, a second one, one without brackets, and what is none."""
+    k = F.col("doc_id") % 6
+    distance = F.format_string("%.4f", (F.col("doc_id") % 10000) / 10000)
+    own = F.concat(F.lit("[S1] "), "source", F.lit(".pdf | page "), F.col("doc_id") % 90 + 1, F.lit(" | distance="), distance)
+    second = F.concat(F.lit("[S2] b c "), "source", F.lit(".pdf|page 11 |  distance=0.5"))
+    third = F.lit("junk || S3 x.pdf|page 4|distance=1")
+    field = F.when(k.isin(0, 1), F.concat_ws(" || ", own, second)).when(k == 2, F.concat_ws("||", own, F.lit("[S4] a.pdf | page x | distance=0.1")))
+    field = field.when(k == 3, F.concat_ws(" || ", own, third)).when(k == 5, third)
+    return A.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(M.retrieved_sources(field)).alias("s")).select("id", "s.*")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS k, (conv_id * 7 + turn) % 6 AS mark FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, CASE WHEN k < 3 THEN mark END::INT AS overall, CASE WHEN k < 3 THEN 'none' END AS error_type, k < 3 AS parsed FROM t""")
 def judge_json(spark, d):
-    rows = A.values(spark, _JUDGED, "id int, text string").withColumn("j", M.judge_of(F.col("text")))
-    return rows.select("id", "j.overall", "j.error_type", F.col("j").isNotNull().alias("parsed"))
+    """A judge's text about every answer: bare JSON, JSON between words and lines, none, a word for a number, nothing."""
+    k = (F.col("conv_id") + F.col("turn")) % 6
+    json = F.to_json(F.struct(((F.col("conv_id") * 7 + F.col("turn")) % 6).alias("overall"), F.lit("none").alias("error_type")))
+    said = F.translate(F.col("text"), "{}", "")
+    text = F.when(k == 0, json).when(k == 1, F.concat(said, F.lit("\n"), json, F.lit(" done."))).when(k == 2, F.concat(F.lit("```json\n"), json, F.lit("\n```")))
+    text = text.when(k == 3, said).when(k == 4, '{"overall": "x"}')
+    rows = A.read(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", M.judge_of(text).alias("j"))
+    return rows.select("conv_id", "turn", "j.overall", "j.error_type", F.col("j").isNotNull().alias("parsed"))
 
 
 @query("""WITH k AS (SELECT CASE WHEN item_id % 3 = 0 THEN 'dev' ELSE 'test' END AS split, lower(text) AS g FROM benchmark)

@@ -113,10 +113,11 @@ bo AS (SELECT query_id, unnest(range(len(sel))) AS rank, unnest(sel) AS id FROM
 budgeted AS (SELECT bo.*, n_tokens FROM bo JOIN (SELECT query_id, id, n_tokens FROM bt) USING (query_id, id))
 """
 
-_QUESTIONS = [
-    (1, "What does PMS activation do with  Ozone?"), (2, "高级氧化 对 PFAS 的去除"), (3, "芬顿"), (4, "nothing to expand here"), (5, "AOP pfos photocatalysis STRASSE Straße"), (6, " 新污染物\t过硫酸 "),
-]
-_QS = "query_id int, question string"
+#: What is put before each turn, as the supplied texts name no topic of the expansions.
+_QUESTIONS = (
+    "What does PMS activation do with  Ozone?", "高级氧化 对 PFAS 的去除", "芬顿", "nothing to expand here", "AOP pfos photocatalysis STRASSE Straße", " 新污染物\t过硫酸 ",
+)
+_ASKED_SQL = f"v AS (SELECT conv_id, turn, {A.sql_list(_QUESTIONS)}[(conv_id + turn) % {len(_QUESTIONS)} + 1] || ' ' || text AS question FROM conversations)"
 
 
 def _expand_sql() -> str:
@@ -126,10 +127,12 @@ def _expand_sql() -> str:
     return f"concat_ws(chr(10), question, {parts})"
 
 
-@query(f"WITH {A.values_sql('v', _QUESTIONS, _QS)} SELECT query_id, {_expand_sql()} AS expanded, replace(lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))), 'ß', 'ss') AS cache_key FROM v")
+@query(f"WITH {_ASKED_SQL} SELECT conv_id, turn, {_expand_sql()} AS expanded, replace(lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))), 'ß', 'ss') AS cache_key FROM v")
 def query_expand(spark: SparkSession, d: str) -> DataFrame:
-    q = A.values(spark, _QUESTIONS, _QS)
-    return q.select("query_id", R.expanded(F.col("question")).alias("expanded"), R.cache_key(F.col("question")).alias("cache_key"))
+    rows = A.read(spark, d, "conversations")
+    topic = F.element_at(F.array(*map(F.lit, _QUESTIONS)), ((F.col("conv_id") + F.col("turn")) % len(_QUESTIONS) + 1).cast("int"))
+    q = rows.select("conv_id", "turn", F.concat(topic, F.lit(" "), "text").alias("question"))
+    return q.select("conv_id", "turn", R.expanded(F.col("question")).alias("expanded"), R.cache_key(F.col("question")).alias("cache_key"))
 
 
 @query(f"WITH {DENSE} SELECT query_id, id, distance, rank FROM dense")
