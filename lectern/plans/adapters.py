@@ -6,6 +6,8 @@ Each Spark adapter has its SQL twin: a list of common table expressions for the
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,24 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def decomposed_sql(c: str) -> str:
+    """SQL: a text whose Latin letters and forms of digits beyond ASCII stand decomposed, with blanks for marks.
+
+    Enough where only ASCII letters and digits count afterwards: one letter and its marks by ``translate`` and a blank behind
+    it, ligatures and fractions one by one.
+    """
+    marked, single, others = {}, {}, {}
+    for i in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0), *range(0xFB00, 0xFB07), *range(0xFF10, 0xFF5B)):
+        image = "".join(y if y.isascii() and y.isalnum() else " " for y in unicodedata.normalize("NFKD", chr(i)))
+        if not image.isspace() and image != chr(i):
+            (single if len(image) == 1 else marked if not image[1:].strip() else others)[chr(i)] = image
+    spaced = f"regexp_replace({c}, '([{''.join(marked)}])', '\\1 ', 'g')"
+    flat = f"translate({spaced}, {q(''.join(marked) + ''.join(single))}, {q(''.join(x[0] for x in marked.values()) + ''.join(single.values()))})"
+    for x, image in others.items():
+        flat = f"replace({flat}, {q(x)}, {q(image)})"
+    return flat
+
+
 def sql_list(values) -> str:
     return "[" + ", ".join(q(x) for x in values) + "]"
 

@@ -190,7 +190,7 @@ def exact_dedup(spark, d):
     return C.exact_groups(A.read(spark, d, "documents"))
 
 
-@query(f"""WITH RECURSIVE nt AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '', 'g') AS t FROM documents),
+@query(f"""WITH RECURSIVE nt AS (SELECT doc_id, regexp_replace(lower({A.decomposed_sql("coalesce(text, '')")}), '[^a-z0-9]+', '', 'g') AS t FROM documents),
 ex AS (SELECT doc_id AS id, len(g) AS n, unnest(g) AS g FROM (SELECT doc_id, list_distinct(list_transform(range(0, length(t) - {C.GRAM} + 1, greatest({C.LEAST_STRIDE}, floor((length(t) - {C.GRAM}) / {C.MOST_GRAMS})::BIGINT + 1)), lambda i: substr(t, i + 1, {C.GRAM}))) AS g FROM nt WHERE length(t) >= {C.GRAM})),
 lk AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM ex x JOIN ex y ON x.g = y.g AND x.id <> y.id GROUP BY x.id, y.id, x.n, y.n HAVING round(count(*) / (x.n + y.n - count(*)), 6) >= {C.NEAR}
 UNION SELECT x.doc_id, y.doc_id FROM nt x JOIN nt y ON x.t <> '' AND substr(x.t, 1, {C.FINGERPRINT}) = substr(y.t, 1, {C.FINGERPRINT}) AND x.doc_id <> y.doc_id),
@@ -238,8 +238,10 @@ def doc_classify(spark, d):
     return A.read(spark, d, "pages").select("page_id", C.first_rule(F.col("html"), _CLASSES).alias("doc_type"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(lower(left_text), '[^a-z0-9]+', ' ', 'g')) AS title_norm, sha256(substr(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 1, 4000)) AS fingerprint,
-CASE WHEN sn = '' THEN 'unnamed.pdf' ELSE sn END AS file_name FROM (SELECT *, string_split(text, chr(10))[1] AS left_text, regexp_replace(regexp_replace(source || '/' || doc_id || '?.pdf', '[<>:"/\\\\|?*]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS sn FROM documents)""")
+@query(rf"""SELECT doc_id, trim(regexp_replace(lower({A.decomposed_sql("left_text")}), '[^a-z0-9]+', ' ', 'g')) AS title_norm,
+sha256(substr(regexp_replace(lower({A.decomposed_sql("text")}), '[^a-z0-9]+', '', 'g'), 1, 4000)) AS fingerprint,
+CASE WHEN sn = '' THEN 'unnamed.pdf' ELSE sn END AS file_name FROM (SELECT *, string_split(text, chr(10))[1] AS left_text,
+    regexp_replace(regexp_replace(source || '/' || doc_id || '?.pdf', '[<>:"/\\|?*]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS sn FROM documents)""")
 def text_normalizers(spark, d):
     first = F.get(F.split("text", "\n"), 0)
     name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("?.pdf"))

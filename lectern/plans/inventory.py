@@ -105,7 +105,7 @@ def title_from_text(spark, d):
     return papers(spark, d).select("doc_id", I.text_title(F.col("first")).alias("title"))
 
 
-_NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+_NORM = f"trim(regexp_replace(lower({A.decomposed_sql('{0}')}), '[^a-z0-9]+', ' ', 'g'))"
 _AUTHORS = f"""{_TITLES},
 al AS (SELECT doc_id, title, list_filter(list_transform(string_split(first, chr(10)), lambda x: {_flat('x')}), lambda x: x <> '') AS ls FROM fp JOIN titles USING (doc_id)),
 ax AS (SELECT doc_id, ls, coalesce(list_max(list_filter(range(1, least(40, len(ls)) + 1), lambda i: length({_NORM.format('ls[i]')}) > 15 AND contains({_NORM.format('title')}, {_NORM.format('ls[i]')}))), 0) AS s FROM al),
@@ -190,7 +190,7 @@ def inventory_scan(spark, d):
     )
 
 
-_TOK = "list_filter(list_distinct(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda w: w <> '' AND NOT list_contains(" + A.sql_list(I.TITLE_STOP_WORDS) + ", w))"
+_TOK = "list_filter(list_distinct(string_split(" + _NORM + ", ' ')), lambda w: w <> '' AND NOT list_contains(" + A.sql_list(I.TITLE_STOP_WORDS) + ", w))"
 
 
 @query(f"""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN '<HTML> x' WHEN doc_id % 13 = 0 THEN 'PK' ELSE '%PDF-1.4' END AS head, doc_id % 5 AS pages, text, CASE WHEN doc_id % 3 = 0 THEN left(text, 60) ELSE 'The removal of xyzzy' END AS title FROM documents),
@@ -230,9 +230,9 @@ def records(spark, d) -> DataFrame:
 _G = C.GRAM
 _GRAMS = f"list_distinct(list_transform(range(0, length(t) - {_G} + 1, greatest({C.LEAST_STRIDE}, floor((length(t) - {_G}) / {C.MOST_GRAMS})::BIGINT + 1)), lambda i: substr(t, i + 1, {_G})))"
 _BEST = "(doi <> '') DESC, has_references DESC, n DESC, lower(file_name) DESC, id"
-_TN = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+_TN = _NORM
 _STAGED = f"""{_RECORDS},
-rn AS MATERIALIZED (SELECT *, length(text) AS n, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS t, {_TN.format('title')} AS tn FROM rec),
+rn AS MATERIALIZED (SELECT *, length(text) AS n, regexp_replace(lower({A.decomposed_sql('text')}), '[^a-z0-9]+', '', 'g') AS t, {_TN.format('title')} AS tn FROM rec),
 rb AS MATERIALIZED (SELECT *, source_group = '{D.PRIOR}' OR doc_type IN {tuple(I.REJECTED_TYPES)} OR open_error <> '' OR images_only OR n < {D.LEAST_TEXT} AS bad FROM rn),
 s1 AS MATERIALIZED (SELECT *, first_value(id) OVER (PARTITION BY sha256 ORDER BY {_BEST}) AS sv FROM rb WHERE NOT bad),
 s2 AS MATERIALIZED (SELECT *, CASE WHEN doi <> '' THEN first_value(id) OVER (PARTITION BY doi ORDER BY {_BEST}) END AS dv FROM s1 WHERE id = sv),
@@ -264,7 +264,7 @@ def dedup_accounting(spark, d):
 
 
 _PAIRS = f"""{_RECORDS},
-nt AS (SELECT id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS t FROM rec),
+nt AS (SELECT id, regexp_replace(lower({A.decomposed_sql('text')}), '[^a-z0-9]+', '', 'g') AS t FROM rec),
 gr AS (SELECT id, list_sort({_GRAMS}) AS g FROM nt WHERE length(t) >= {_G}),
 rp AS (SELECT min(id) AS id, g FROM gr GROUP BY g),
 ex AS (SELECT id, len(g) AS n, unnest(g) AS g FROM rp),
