@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import io
+import re
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.metrics import eval_judge
+from lectern.sources.places import written
 from lectern.sources.tables import page_files
 
+#: Bytes of a file in memory at once while it's copied.
+COPIED = 1 << 20
+
 
 def discovered(spark: SparkSession, folders: dict[str, tuple[str, bool]], suffix: str = ".pdf") -> DataFrame:
     """path, source_group, length of the files below some folders, each path once, whatever its case, in its first group.
@@ -55,6 +62,56 @@ def pages_for(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]
     return page_files(spark, path, parse, keep_lines=mode == "section_aware")
 
 
+def placed(files: DataFrame, target: str) -> DataFrame:
+    """Copy files (path, folder, file) to ``target``/folder/file and return path, place and length of each copy.
+
+    Tasks copy in streams, each file under a name of its own first and then, whole, under its last name, in a folder beside
+    the last one; the driver renames that once all tasks are done. So a task that's repeated, or a run that's stopped,
+    leaves no half file in ``target``, and nothing at its source is touched. A target that is there is an error.
+    """
+    spark = files.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    last, beside = hadoop.Path(target), hadoop.Path(f"{target.rstrip('/')}-{uuid.uuid4().hex}")
+    system = last.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(last):
+        raise FileExistsError(target)
+    root = system.makeQualified(beside).toString()
+
+    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, folder, file in zip(batch["path"], batch["folder"], batch["file"], strict=True):
+                source, there = _opened(path)
+                goal, base = _opened(f"{root}/{folder}")
+                goal.create_dir(base, recursive=True)
+                part = f"{base}/.{uuid.uuid4().hex}"
+                with source.open_input_stream(there) as left, goal.open_output_stream(part) as right:
+                    length = 0
+                    while block := left.read(COPIED):
+                        right.write(block)
+                        length += len(block)
+                goal.move(part, f"{base}/{file}")
+                out.append((path, f"{folder}/{file}", length))
+            yield pd.DataFrame(out, columns=["path", "place", "length"])
+
+    log = written(files.select("path", "folder", "file").mapInPandas(copy, "path string, place string, length long"), "placed")
+    if log.isEmpty():
+        system.mkdirs(beside)
+    else:
+        for x in system.listStatus(beside):
+            for y in system.listStatus(x.getPath()):
+                if y.getPath().getName().startswith("."):  # of a task that was stopped
+                    system.delete(y.getPath(), False)
+    if not system.rename(beside, last):
+        raise OSError(f"{beside} can't be renamed")
+    return log
+
+
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """A file system and the place in it; Hadoop writes file:/x where others write file:///x."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+
+
 def csv_pair(spark: SparkSession, evals: str, judges: str | None = None) -> DataFrame:
     """Answers of an older CSV with the judgements of another, which may be missing; blank ids have none, the last of an id wins."""
     rows = spark.read.option("header", True).option("multiLine", True).csv(evals).withColumnRenamed("id", "qid")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import collapsed
+from lectern.operators.chunking import build_chunks, indexable
 from lectern.operators.indexes import postings_of, save_blocks
+from lectern.sources.places import written
 
 CASES = "id string, question string, ideal_answer string, expected_sources array<string>, answer_type string"
 JUDGE = "correctness: int, faithfulness: int, completeness: int, citation: int, evidence_relevance: int, overall: int, error_type: string, reason: string"
@@ -52,26 +54,54 @@ def run_results(nested: DataFrame) -> DataFrame:
     return nested.select("run_id", "timestamp", F.explode("results").alias("r")).select("run_id", "timestamp", "r.*")
 
 
-def page_files(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]], least: int = MIN_PAGE_CHARS, keep_lines: bool = False) -> DataFrame:
-    """paper_id, source, page, text of binary files below ``path``; ``parse`` gives a file's pages; unreadable files are skipped."""
+def read_pages(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]]) -> DataFrame:
+    """paper_id, source, page, text, error of the binary files below ``path``; ``parse`` gives a file's pages, in which a null is
+    a page that can't be read. A file that can't be read is a row with its error and no page; so is a file without pages.
+    Spark's reader passes over files without a byte."""
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 file = name.rsplit("/", 1)[-1]
+                paper = file.rsplit(".", 1)[0]
                 try:
                     texts = parse(bytes(content))
-                except Exception:  # noqa: BLE001  a file that can't be read is left out, the others go on
-                    continue
-                out += [(file.rsplit(".", 1)[0], file, i, t) for i, t in enumerate(texts, 1)]
-            yield pd.DataFrame(out, columns=["paper_id", "source", "page", "text"])
+                    failed = None if texts else "no pages"
+                except Exception as error:  # noqa: BLE001  a file that can't be read is reported, the others go on
+                    texts, failed = [], f"{type(error).__name__}: {error}"
+                if failed:
+                    out.append((paper, file, None, None, failed))
+                out += [(paper, file, i, t, None if t is not None else "unreadable page") for i, t in enumerate(texts, 1)]
+            frame = pd.DataFrame(out, columns=["paper_id", "source", "page", "text", "error"])
+            yield frame.astype({"page": "Int32"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    rows = files.dropDuplicates(["path"]).mapInPandas(pages, "paper_id string, source string, page int, text string")
+    return files.dropDuplicates(["path"]).mapInPandas(pages, "paper_id string, source string, page int, text string, error string")
+
+
+def page_files(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]], least: int = MIN_PAGE_CHARS, keep_lines: bool = False) -> DataFrame:
+    """paper_id, source, page, text of what ``read_pages`` can read; without ``keep_lines`` white space is collapsed and short pages go."""
+    rows = read_pages(spark, path, parse).filter("error is null").drop("error")
     return rows if keep_lines else rows.withColumn("text", collapsed(F.col("text"))).filter(F.length("text") >= least)
 
 
+def ingested(pages: DataFrame, path: str, mode: str = "section_aware", **sizes: int) -> dict[str, int]:
+    """Cut pages into chunks, write those that may be indexed as a new collection, and count in the same pass.
+
+    pages (read), chunks (cut), excluded (of sections that aren't indexed), fallbacks (cut without headings) and indexed.
+    """
+    seen, cut = Observation("pages"), Observation("chunks")
+    # sections read their lines more than once: the pages are counted where each is read first
+    chunks = build_chunks(written(pages.observe(seen, F.count("*").alias("pages")), "pages"), mode, **sizes)
+    section = F.col("section") if "section" in chunks.columns else F.lit("")
+    plain = F.col("chunking_mode") == "fallback_fixed" if "chunking_mode" in chunks.columns else F.lit(False)
+    counts = {"chunks": F.count("*"), "excluded": F.count_if(~indexable(section)), "fallbacks": F.count_if(plain), "indexed": F.count_if(indexable(section))}
+    chunks = chunks.observe(cut, *(x.alias(name) for name, x in counts.items()))
+    write_collection(chunks.filter(indexable(section)), path)
+    return seen.get | cut.get
+
+
 def write_collection(chunks: DataFrame, path: str) -> None:
     """A new collection; one that is there already is never overwritten."""
     chunks.write.mode("errorifexists").parquet(path)

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import answering
+from lectern.operators import chunking as K
+from lectern.operators import dedup as D
 from lectern.operators import monitor as W
 from lectern.operators import retrieval as R
-from lectern.plans import monitoring
+from lectern.plans import adapters, monitoring
 from lectern.sources import files
 from lectern.sources import tables as S
 from lectern.sources.places import fresh_place
@@ -204,3 +206,47 @@ def test_runs_of_questions(spark):
 
     got = {r.qid: (r.judge and tuple(r.judge), r.error) for r in answering.judged(results, judge).collect()}
     assert got == {"q1": ((5, "none"), None), "q2": ((4, "none"), "slow"), "q3": (None, "ValueError: x"), "q4": (None, "[JUDGE ERROR] RuntimeError: again")}
+
+
+def test_unreadable_files_are_rows(spark, tmp_path):
+    for name, content in (("a.pdf", b"one\ftwo"), ("bad.pdf", b"\xff\xff"), ("none.pdf", b"-")):
+        (tmp_path / name).write_bytes(content)
+    rows = S.read_pages(spark, str(tmp_path), lambda b: [x or None for x in b.decode().split("\f")] if b != b"-" else [])
+    got = {(r.paper_id, r.page, r.text, (r.error or "").split(":")[0]) for r in rows.collect()}
+    assert got == {("a", 1, "one", ""), ("a", 2, "two", ""), ("bad", None, None, "UnicodeDecodeError"), ("none", None, None, "no pages")}
+
+
+def test_ingested_counts_while_writing(spark, tmp_path):
+    pages = adapters.headed_pages(spark, SF)
+    chunks = K.build_chunks(pages)
+    expected = chunks.agg(F.count("*"), F.count_if(~K.indexable(F.col("section"))), F.count_if(F.col("chunking_mode") == "fallback_fixed")).first()
+    got = S.ingested(pages, str(tmp_path / "chunks"))
+    assert (got["pages"], got["chunks"], got["excluded"], got["fallbacks"]) == (pages.count(), *expected)
+    assert got["indexed"] == spark.read.parquet(str(tmp_path / "chunks")).count() == got["chunks"] - got["excluded"] > 0
+    fixed = S.ingested(A_pages(spark), str(tmp_path / "fixed"), "fixed", size=40, overlap=5)
+    assert fixed["excluded"] == fixed["fallbacks"] == 0 < fixed["chunks"]
+
+
+def A_pages(spark):
+    return spark.createDataFrame([("p", "p.pdf", 1, "word " * 60)], "paper_id string, source string, page int, text string")
+
+
+def test_files_in_folders(spark, tmp_path):
+    """Kept, duplicate and rejected files in folders of theirs; a stopped run leaves nothing, the next one everything."""
+    for i in range(9):
+        (tmp_path / f"in/{i}").mkdir(parents=True)
+        (tmp_path / f"in/{i}/paper.pdf").write_bytes(bytes([i]) * (3_000_000 if i == 4 else i))
+    rows = [(i, f"file:{tmp_path}/in/{i}/paper.pdf", ("kept", "duplicates", "rejected")[i % 3], "paper.pdf") for i in range(9)]
+    plan = spark.createDataFrame(rows, "id long, path string, folder string, file_name string")
+    plan = D.unique_names(plan).join(plan.select("id", "path"), "id").select("path", "folder", "file")
+    broken = plan.withColumn("path", F.when(F.col("path").contains("/7/"), "file:/none").otherwise(F.col("path")))
+    with pytest.raises(Exception, match="none"):
+        files.placed(broken, f"{tmp_path}/out")
+    assert not (tmp_path / "out").exists()
+    log = files.placed(plan, f"{tmp_path}/out").collect()
+    got = {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*.pdf")}
+    assert {r.place: r.length for r in log} == {k: len(v) for k, v in got.items()} and len(got) == 9
+    assert got["kept/paper.pdf"] == b"" and got["kept/paper_2.pdf"] == b"\x03" * 3 and got["duplicates/paper_2.pdf"] == b"\x04" * 3_000_000
+    assert not [p for p in (tmp_path / "out").rglob(".*") if not p.name.endswith(".crc")]
+    with pytest.raises(FileExistsError):
+        files.placed(plan, f"{tmp_path}/out")
