@@ -7,6 +7,7 @@ and so on, each looked up by ``translate``. Texts of ASCII alone aren't cut.
 
 from __future__ import annotations
 
+import string
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -18,12 +19,22 @@ from pyspark.sql import functions as F
 _PARTS = r"[\x00-\x7F]+|[^\x00-\x7F]"
 
 
+#: Forms: all characters; those that texts in alphabets are made of (below the ideographs, and presentation forms); those that
+#: leave an ASCII letter or digit.
+ALL, ALPHABETS, ALNUM = "all", "alphabets", "alnum"
+
+
 @cache
 def _images(form: str) -> dict[str, str]:
     """The characters beyond ASCII that a form changes, with what it makes of them."""
     change: Callable[[str], str] = str.casefold if form == "casefold" else lambda x: unicodedata.normalize("NFKD", x)
     every = (chr(i) for i in range(0x80, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000)
-    return {x: y for x in every if (y := change(x)) != x}
+    images = {x: y for x in every if (y := change(x)) != x}
+    if form == ALPHABETS:
+        return {x: y for x, y in images.items() if x < "\u2c00" or "\ufb00" <= x < "\ufb50" or "\uff00" <= x <= "\uffff"}
+    if form in (ALL, "casefold"):
+        return images
+    return {x: y for x, y in images.items() if any(z.isascii() and z.isalnum() for z in y)}
 
 
 @cache
@@ -55,14 +66,27 @@ def _mapped(c: Column, form: str, plain: Callable[[Column], Column]) -> Column:
         end = F.when(x.rlike(more[0][0]), F.concat(*ends)).otherwise("") if more else F.lit("")
         return F.when(x < "\x80", plain(x)).otherwise(F.concat(F.translate(x, before, after), end))
 
-    whole = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_PARTS), F.lit(0)), image), "")
-    return F.when(c.rlike(r"[^\x00-\x7F]"), whole).otherwise(plain(c))
+    def form_of(x: Column) -> Column:
+        whole = F.array_join(F.transform(F.regexp_extract_all(x, F.lit(_PARTS), F.lit(0)), image), "")
+        return F.when(x.rlike(r"[^\x00-\x7F]"), whole).otherwise(plain(x))
+
+    return F.get(F.transform(F.array(c), form_of), 0)  # the text is made once, however often it's looked at
 
 
-def nfkd(c: Column) -> Column:
+def nfkd(c: Column, form: str = ALL) -> Column:
     """Compatibility decomposition, character by character; several marks on one character stay in their order."""
-    return _mapped(c, "nfkd", lambda x: x)
+    return _mapped(c, form, lambda x: x)
 
 
 def casefolded(c: Column) -> Column:
-    return _mapped(c, "casefold", F.lower)
+    """Full case folding. Only a text with a character that becomes several, other than sharp s, is cut."""
+    single = {x: y for x, y in _images("casefold").items() if len(y) == 1}
+    several = sorted(x for x in _images("casefold") if x not in single and x != "ß")
+
+    def plain(x: Column) -> Column:
+        return F.translate(F.translate(x, string.ascii_uppercase, string.ascii_lowercase), "".join(single), "".join(single.values()))
+
+    def fold(x: Column) -> Column:
+        return F.when(x.rlike(_any_of(several)), _mapped(x, "casefold", F.lower)).otherwise(plain(x))
+
+    return F.get(F.transform(F.array(F.replace(c, F.lit("ß"), F.lit("ss"))), fold), 0)
