@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import content_tokens, text_norm
+from lectern.functions.text import content_tokens, let, text_norm
 from lectern.sources.places import fresh_place, shared_place, written
 
 NEAR = 0.85
@@ -54,7 +54,7 @@ def near_pairs(docs: DataFrame, least: float = NEAR) -> DataFrame:
 
     Copies are collapsed first, so a gram's list holds different texts only.
     """
-    rows = docs.withColumn("_t", text_norm(F.col("text"))).select("doc_id", body_grams(F.col("_t")).alias("grams")).filter("grams is not null")
+    rows = docs.select("doc_id", let(text_norm(F.col("text")), body_grams).alias("grams")).filter("grams is not null")
     return gram_pairs(rows.groupBy(_gram_hash(F.col("grams")).alias("h")).agg(F.min("doc_id").alias("id"), F.first("grams").alias("grams")), least)
 
 
@@ -107,9 +107,9 @@ def duplicate_roots(docs: DataFrame, least: float = NEAR) -> DataFrame:
     their text's class; doc_ids only name roots. Texts without letters and digits are linked with nothing.
     """
     shared_place(docs.sparkSession)
-    texts = docs.select("doc_id", text_norm(F.col("text")).alias("_t"))
+    texts = docs.select("doc_id", "text", text_norm(F.col("text")).alias("_t"))
     print_ = F.when(F.col("_t") != "", F.sha2(F.substring("_t", 1, FINGERPRINT).cast("binary"), 256))
-    rows = texts.select("doc_id", print_.alias("fp"), body_grams(F.col("_t")).alias("grams"))
+    rows = texts.select("doc_id", print_.alias("fp"), let(text_norm(F.col("text")), body_grams).alias("grams"))
     node = F.coalesce(F.concat(F.lit("g"), _gram_hash(F.col("grams"))), F.concat(F.lit("f"), F.col("fp")))
     of_rows = rows.select("doc_id", "fp", node.alias("node")).checkpoint()
     near = gram_pairs(rows.filter("grams is not null").groupBy(node.alias("id")).agg(F.first("grams").alias("grams")), least).select("a", "b")
