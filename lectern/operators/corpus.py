@@ -303,8 +303,37 @@ class _Quota:
         self.recent += w.year >= RECENT_YEAR
 
 
+def reachable(candidates: DataFrame, target: int, kind: list[Column]) -> DataFrame:
+    """The candidates that a selection of ``target`` picks a topic can come to; their number for a topic has a bound.
+
+    ``kind``: what a pass of the selection asks of a candidate, reviews included. Passes go by score, and caps only fill up,
+    so a candidate is picked only if everyone of its kind before it was picked, or has an author or a journal whose cap is
+    full. Of one author and journal that are at most as many as an author's cap takes. Of one author there can be as many
+    more as the journals that can be full hold, of one journal as the authors that can be full, and of a kind all of these.
+    Candidates beyond these numbers are never picked, and who isn't picked changes nothing for the others. An empty author
+    or journal has no cap. Each step is a rank with a fixed limit, which Spark cuts before its shuffle too.
+    """
+    full_authors, full_journals = (target - 1) // PER_AUTHOR, (target - 1) // PER_JOURNAL
+    of_author = PER_AUTHOR * (1 + full_journals)
+    of_journal = PER_JOURNAL + PER_AUTHOR * full_authors
+    of_kind = target + full_authors * of_author + full_journals * of_journal
+    author, journal = (F.coalesce(x, F.lit("")) for x in ("author", "journal"))
+    rows = candidates.select("*", author.alias("_a"), journal.alias("_j"), F.struct(*kind).alias("_kind"))
+    score = F.when(~F.isnan("score"), F.col("score"))
+    steps = (
+        (["_a", "_j"], F.when(F.col("_a") != "", PER_AUTHOR).when(F.col("_j") != "", PER_JOURNAL).otherwise(target), max(PER_AUTHOR, PER_JOURNAL, target)),
+        (["_a", F.when(F.col("_a") == "", F.col("_j"))], F.when(F.col("_a") != "", of_author).otherwise(target), max(of_author, target)),
+        (["_j", F.when(F.col("_j") == "", F.col("_a"))], F.when(F.col("_j") != "", of_journal).otherwise(of_kind), max(of_journal, of_kind)),
+        ([], F.lit(of_kind), of_kind),
+    )
+    for keys, own, most in steps:
+        place = F.row_number().over(Window.partitionBy("topic", "_kind", *keys).orderBy(score.desc_nulls_last(), "id"))
+        rows = rows.withColumn("_n", place).filter((F.col("_n") <= most) & (F.col("_n") <= own)).drop("_n")
+    return rows.drop("_a", "_j", "_kind")
+
+
 def quota_selection(candidates: DataFrame, target: int) -> DataFrame:
-    """Candidates chosen by topic in five passes; each pick depends on the ones before, so a topic is one task's work.
+    """Candidates chosen by topic in five passes; each pick depends on the ones before, so a topic's reachable ones are one task's work.
 
     ``candidates``: id, topic, author, journal, year, review, level, score.
     """
@@ -332,11 +361,13 @@ def quota_selection(candidates: DataFrame, target: int) -> DataFrame:
             pool.loc[[i for i in q.rows if i not in done], "picked_in"] = n + 1
         return pool.loc[q.rows, ["id", "topic", "score", "picked_in"]].assign(pick=range(1, len(q.rows) + 1)).astype({"picked_in": "int32", "pick": "int32"})
 
+    recent, review = F.coalesce(F.col("year") >= RECENT_YEAR, F.lit(False)), F.coalesce("review", F.lit(False))
+    candidates = reachable(candidates, target, [F.col("level").alias("level"), recent.alias("recent"), review.alias("review")])
     return candidates.groupBy("topic").applyInPandas(lambda pool: choose(pool.assign(picked_in=0)), "id long, topic string, score double, picked_in int, pick int")
 
 
 def trim_selection(candidates: DataFrame, quota: int) -> DataFrame:
-    """Candidates chosen by topic for the main list: recent ones first, up to their share, then by score; a topic is one task's work.
+    """Candidates chosen by topic for the main list: recent ones first, up to their share, then by score; a topic's reachable ones are one task's work.
 
     ``candidates`` as in ``quota_selection``; hard negatives are chosen elsewhere. The same caps on authors, journals and
     reviews hold in both passes.
@@ -357,7 +388,9 @@ def trim_selection(candidates: DataFrame, quota: int) -> DataFrame:
                     recent += wanted_recent
         return pool.loc[q.rows, ["id", "topic", "score"]]
 
-    return candidates.filter("topic <> 'hard_negative'").groupBy("topic").applyInPandas(choose, "id long, topic string, score double")
+    late, review = F.coalesce(F.col("year") >= TRIM_RECENT_YEAR, F.lit(False)), F.coalesce("review", F.lit(False))
+    candidates = reachable(candidates.filter("topic <> 'hard_negative'"), quota, [late.alias("recent"), review.alias("review")])
+    return candidates.groupBy("topic").applyInPandas(choose, "id long, topic string, score double")
 
 
 def trimmed(candidates: DataFrame, selected: DataFrame, existing: DataFrame, hard_quota: int) -> DataFrame:

@@ -105,6 +105,56 @@ def title_from_text(spark, d):
     return papers(spark, d).select("doc_id", I.text_title(F.col("first")).alias("title"))
 
 
+# --- titles by layout: the blocks of web pages set in lines of forty characters, with sizes by tag
+
+_BLOCK = r"<(h1|p|li|div|b)(?:\s[^>]*)?>([^<]+)"
+_LINE = ".{1,40}"
+PAGE = 800.0
+
+
+def laid_lines(spark: SparkSession, d: str) -> DataFrame:
+    """page_id, lines of ``pages``: lists in small type, headings in large type, of which some lines are a little smaller.
+
+    In every fourth page a heading's later lines stand far below; in every fifth an advertisement is as large as the heading,
+    in every seventh the heading is no larger than the text.
+    """
+    i = F.col("page_id")
+    tags, texts = (F.regexp_extract_all("html", F.lit(_BLOCK), F.lit(g)) for g in (1, 2))
+    cut = lambda b: F.transform(
+        F.regexp_extract_all(b["text"], F.lit(_LINE), F.lit(0)), lambda t, j: F.struct(b["tag"].alias("tag"), t.alias("text"), j.alias("j"))
+    )
+    blocks = F.transform(F.arrays_zip(tags.alias("tag"), texts.alias("text")), lambda b: F.struct(b["tag"].alias("tag"), b["text"].alias("text")))
+    size = lambda x: (
+        F.when((x["tag"] == "h1") & (i % 7 != 0), F.when(x["j"] == 1, 17.54).otherwise(18.04)).when((x["tag"] == "div") & (i % 5 == 0), 18.0).otherwise(10.0)
+    )
+    below = lambda x: F.when((x["tag"] == "h1") & (x["j"] >= 1) & (i % 4 == 0), 100.0).otherwise(0.0)
+    spans = lambda x: F.array(
+        F.struct(F.substring(x["text"], 1, 10).alias("text"), size(x).alias("size")),
+        F.struct(F.substring(x["text"], 11, 40).alias("text"), (size(x) - 2.0).alias("size")),
+    )
+    flat = F.flatten(F.transform(blocks, cut))
+    lines = F.transform(flat, lambda x, k: F.struct((F.lit(20.0) + k * 14 + below(x)).alias("y"), spans(x).alias("spans")))
+    return A.read(spark, d, "pages").select("page_id", lines.alias("lines"))
+
+
+@query(f"""WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, {A.q(_BLOCK)}, 1)) AS tag, unnest(regexp_extract_all(html, {A.q(_BLOCK)}, 2)) AS t,
+  unnest(range(len(regexp_extract_all(html, {A.q(_BLOCK)})))) AS k FROM pages),
+l AS (SELECT page_id, tag, k, unnest(regexp_extract_all(t, {A.q(_LINE)})) AS t, unnest(range(len(regexp_extract_all(t, {A.q(_LINE)})))) AS j FROM b),
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k, j) - 1 AS i FROM l),
+s AS (SELECT page_id, i, {_flat('t')} AS x, 20.0 + i * 14 + CASE WHEN tag = 'h1' AND j >= 1 AND page_id % 4 = 0 THEN 100 ELSE 0 END AS y,
+  CASE WHEN tag = 'h1' AND page_id % 7 <> 0 THEN CASE WHEN j = 1 THEN 17.5 ELSE 18.0 END WHEN tag = 'div' AND page_id % 5 = 0 THEN 18.0 ELSE 10.0 END AS size FROM n),
+u AS (SELECT *, y < {PAGE}::DOUBLE * {I.TITLE_PART}::DOUBLE AS up FROM s WHERE length(x) > {I.TITLE_LINE} AND NOT ({_h('x', I.BOILER_LINE)} OR {_h('x', I.SECTION_LABEL)} OR {_MAST})),
+p AS (SELECT *, bool_or(up) OVER (PARTITION BY page_id) AS any_up FROM u),
+m AS (SELECT *, max(size) OVER (PARTITION BY page_id) AS most FROM p WHERE up OR NOT any_up),
+g AS (SELECT *, y - lag(y) OVER (PARTITION BY page_id ORDER BY y, i) >= most * {I.LINE_GAP} AS opens FROM m WHERE size >= most - {I.SIZE_SLACK}),
+e AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY y, i) AS island FROM g),
+t AS (SELECT page_id, regexp_replace(string_agg(x, ' ' ORDER BY y, i), '^[ .,;:\\-–—]+|[ .,;:\\-–—]+$', '', 'g') AS t FROM e WHERE island = 0 GROUP BY page_id)
+SELECT page_id, CASE WHEN length(t) > {I.LAID_TITLE} THEN t ELSE '' END AS title FROM pages LEFT JOIN t USING (page_id)""")
+def title_by_layout(spark, d):
+    """Titles of pages by the sizes and heights of their lines."""
+    return laid_lines(spark, d).select("page_id", I.layout_title(F.col("lines"), F.lit(PAGE)).alias("title"))
+
+
 _NORM = f"trim(regexp_replace(lower({A.decomposed_sql('{0}')}), '[^a-z0-9]+', ' ', 'g'))"
 _AUTHORS = f"""{_TITLES},
 al AS (SELECT doc_id, title, list_filter(list_transform(string_split(first, chr(10)), lambda x: {_flat('x')}), lambda x: x <> '') AS ls FROM fp JOIN titles USING (doc_id)),
