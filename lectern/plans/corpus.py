@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import payloads as Y
 from lectern.functions import text as T
 from lectern.operators import corpus as C
 
@@ -221,21 +222,32 @@ def version_hash(spark, d):
     return rows.agg(F.concat_ws("-", F.count("*").cast("string"), half(1), half(16)).alias("version"), F.count("*").alias("n"))
 
 
-@query("""SELECT page_id, contains(html, '<article') AS has_article, contains(html, '<nav') AS has_nav, len(regexp_extract_all(html, '<p>')) AS n_paragraphs, contains(lower(html), 'captcha') AS captcha,
-CASE WHEN NOT contains(html, '<html') THEN 'no html' WHEN length(html) < 1000 THEN 'short' WHEN len(regexp_extract_all(html, '<p>')) < 3 THEN 'few paragraphs' ELSE 'ok' END AS verdict FROM pages""")
+@query("""SELECT page_id, contains(html, '<article') AS has_sections, (length(html) - length(replace(html, '<p>', ''))) // 3 AS paragraphs,
+contains(html, '<h1') OR contains(html, '<h2') AS has_abstract, NOT contains(html, '<body') AS core_only,
+left(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), 80) AS first_title FROM pages""")
 def html_signals(spark, d):
-    h = F.col("html")
-    n = F.regexp_count(h, F.lit("<p>"))
-    verdict = F.when(~h.contains("<html"), "no html").when(F.length(h) < 1000, "short").when(n < 3, "few paragraphs").otherwise("ok")
-    return A.read(spark, d, "pages").select("page_id", h.contains("<article").alias("has_article"), h.contains("<nav").alias("has_nav"), n.alias("n_paragraphs"), F.lower("html").contains("captcha").alias("captcha"), verdict.alias("verdict"))
-
-
-_CLASSES = [("correction", "(?i)erratum|corrigendum"), ("login", "(?i)sign in|captcha"), ("listing", "(?i)<li>(?s:.*)<li>(?s:.*)<li>"), ("article", "(?i)<article")]
-
-
-@query(f"SELECT page_id, CASE {' '.join(f'WHEN regexp_matches(html, {A.q(p)}) THEN {A.q(n)}' for n, p in _CLASSES)} ELSE 'other' END AS doc_type FROM pages")
-def doc_classify(spark, d):
-    return A.read(spark, d, "pages").select("page_id", C.first_rule(F.col("html"), _CLASSES).alias("doc_type"))
+    """Marks of structure in web pages."""
+    return A.read(spark, d, "pages").select("page_id", Y.markup_signals(F.col("html"), Y.HTML).alias("s")).select("page_id", "s.*")
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 11 = 5 THEN NULL WHEN page_id % 3 = 0 THEN 'abstract' ELSE 'article' END AS kind,
+CASE WHEN page_id % 11 = 5 THEN '' ELSE left(url, 80) END AS title, page_id % 11 <> 5 AND page_id % 3 = 0 AS has_abstract,
+CASE WHEN page_id % 11 <> 5 AND page_id % 2 = 0 THEN '1' END AS open_access,
+CASE WHEN page_id % 11 = 5 THEN '' WHEN page_id % 2 = 0 THEN 'openaccess,entitled' ELSE 'entitled' END AS access_fields,
+CASE WHEN page_id % 11 <> 5 AND page_id % 3 <> 0 THEN length(html) END AS text_length,
+CASE WHEN page_id % 11 <> 5 AND page_id % 3 <> 0 THEN contains(html, '<article') END AS has_sections,
+CASE WHEN page_id % 11 <> 5 AND page_id % 3 <> 0 THEN (length(html) - length(replace(html, '<p>', ''))) // 3 END AS paragraphs FROM pages""")
+def json_answers(spark, d):
+    """Kinds and fields of a service's answers, made of the pages: every third an abstract, every eleventh cut off."""
+    i = F.col("page_id")
+    core = F.struct(
+        F.col("url").alias("dc:title"), F.when(i % 3 == 0, "words").alias("dc:description"), F.when(i % 2 == 0, "1").alias("openaccess"), F.lit("yes").alias("entitled")
+    )
+    abstract = F.to_json(F.struct(F.struct(core.alias("coredata")).alias(Y.ABSTRACT)))
+    article = F.to_json(F.struct(F.struct(core.alias("coredata"), F.col("html").alias("originalText")).alias(Y.ARTICLE)))
+    payload = F.when(i % 11 == 5, F.lit('{"full-text')).when(i % 3 == 0, abstract).otherwise(article)
+    rows = A.read(spark, d, "pages").select("page_id", Y.json_signals(payload, Y.HTML).alias("s")).select("page_id", "s.*")
+    return rows.withColumn("access_fields", F.array_join("access_fields", ","))
 
 
 @query(rf"""SELECT doc_id, trim(regexp_replace(lower({A.decomposed_sql("left_text")}), '[^a-z0-9]+', ' ', 'g')) AS title_norm,

@@ -222,10 +222,9 @@ ty AS (SELECT doc_id, CASE WHEN err AND (n < 6000 OR pages <= 2) THEN 'error_or_
 
 @query(f"WITH {_TYPED} SELECT doc_id, doc_type, n_signals FROM ty")
 def doc_typing(spark, d):
-    first, n, pages = F.col("first"), F.col("n"), F.col("pages")
-    rows = papers(spark, d).withColumn("title", I.text_title(first)).withColumn("m", I.markers(first, first, pages))
-    rows = rows.withColumn("s", I.signals(first, F.col("title"), n, F.col("m")))
-    return rows.select("doc_id", I.document_type(F.col("s"), F.col("m"), pages, n).alias("doc_type"), F.size("s").alias("n_signals"))
+    rows = papers(spark, d).withColumn("title", I.text_title(F.col("first")))
+    rows = rows.withColumn("e", I.evidence(F.col("first"), F.col("first"), F.col("title"), F.col("n")))
+    return rows.select("doc_id", I.document_type(F.col("e.shown"), F.col("pages")).alias("doc_type"), F.size("e.signals").alias("n_signals"))
 
 
 @query(f"""WITH {_FIRST} SELECT doc_id, CASE WHEN trim(meta) <> '' THEN trim(meta) ELSE left(trim(string_split(left(first, 500), chr(10))[1]), 150) END AS title, sha256(text) AS sha256, length(text) AS chars,
