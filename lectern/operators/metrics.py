@@ -62,6 +62,25 @@ def behaviour(rows: DataFrame) -> DataFrame:
     )
 
 
+def by_action(rows: DataFrame) -> DataFrame:
+    """class, predicted, n, accuracy over (class, expected, predicted)."""
+    right = F.col("predicted") == F.col("expected")
+    return rows.groupBy("class", "predicted").agg(F.count("*").alias("n"), rate(right).alias("accuracy"))
+
+
+def split_checks(rows: DataFrame, one: str, other: str) -> DataFrame:
+    """split, n, n_distinct, n_shared over (split, key): rows, different keys, and the pairs of equal keys of two splits.
+
+    Pairs are counted as products of counts, so that a key that many rows of both have isn't multiplied out. Null keys are
+    counted as rows and are equal to nothing.
+    """
+    counted = rows.groupBy("split", "key").agg(F.count("*").alias("c"))
+    sizes = counted.groupBy("split").agg(F.sum("c").alias("n"), F.count("key").alias("n_distinct"))
+    times = lambda name: F.coalesce(F.sum(F.when(F.col("split") == name, F.col("c"))), F.lit(0))
+    pairs = counted.filter("key is not null").groupBy("key").agg((times(one) * times(other)).alias("pairs"))
+    return sizes.crossJoin(pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_shared")))
+
+
 def attribution() -> Column:
     """The error of a case, OK where there is none, over retrieved, evidence_ok, right, status."""
     return (

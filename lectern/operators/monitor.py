@@ -57,3 +57,9 @@ def one_trace_each(traces: DataFrame) -> DataFrame:
     """The first row (by seq) of every trace_id."""
     w = Window.partitionBy("trace_id").orderBy("seq")
     return traces.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def first_tokens(events: DataFrame) -> DataFrame:
+    """trace_id, first_token, last_event over (trace_id, seq, token): when its first token came, if one came, and its last event."""
+    token = F.when(F.col("token"), F.col("seq"))
+    return events.groupBy("trace_id").agg(F.min(token).alias("first_token"), F.max("seq").alias("last_event"))

@@ -122,11 +122,11 @@ def incremental_judge(spark, d):
 @query(f"WITH {_J} SELECT qid, CASE WHEN judged THEN repeat('█', overall::INT) || repeat('░', 5 - overall::INT) ELSE '' END AS bar, regexp_replace(lower(source || ' ' || error_type), '[^a-z0-9]+', '_', 'g') AS slug, round(doc_id * 100.0 / 7, 2) AS share FROM rs")
 def report_fields(spark, d):
     from lectern.functions.text import slug
+    from lectern.sources.reports import score_bar
 
     o = F.col("judge.overall")
     kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("doc_id") % 8 + 1).cast("int"))
-    bar = F.coalesce(F.concat(F.repeat(F.lit("█"), o), F.repeat(F.lit("░"), 5 - o)), F.lit(""))
-    return results(spark, d).select("qid", bar.alias("bar"), slug(F.concat_ws(" ", "source", kind)).alias("slug"), F.round(F.col("doc_id") * 100.0 / 7, 2).alias("share"))
+    return results(spark, d).select("qid", score_bar(o).alias("bar"), slug(F.concat_ws(" ", "source", kind)).alias("slug"), F.round(F.col("doc_id") * 100.0 / 7, 2).alias("share"))
 
 
 # --- behaviour by rule from labels
@@ -165,7 +165,7 @@ def behavior_pr(spark, d):
 
 @query(f"WITH {BEHAVIOUR} SELECT class, predicted, count(*) AS n, {_rate('predicted = expected')} AS accuracy FROM bh GROUP BY 1, 2")
 def citation_rates(spark, d):
-    return behaviours(spark, d).groupBy("class", "predicted").agg(F.count("*").alias("n"), M.rate(F.col("predicted") == F.col("expected")).alias("accuracy"))
+    return M.by_action(behaviours(spark, d))
 
 
 @query(f"""WITH {BEHAVIOUR}, att AS (SELECT CASE WHEN predicted = expected AND status <> 'failed' THEN 'OK' WHEN n_chars % 5 = 0 THEN 'RETRIEVAL_MISS' WHEN n_chars % 7 = 0 THEN 'WRONG_EVIDENCE' WHEN predicted <> expected THEN 'ANSWERABILITY_MISCLASSIFICATION' WHEN status = 'failed' THEN 'CITATION_ERROR' ELSE 'GENERATION_ERROR' END AS error,
@@ -222,9 +222,8 @@ def judge_json(spark, d):
 @query("""WITH k AS (SELECT CASE WHEN item_id % 3 = 0 THEN 'dev' ELSE 'test' END AS split, lower(text) AS g FROM benchmark)
 SELECT split, count(*) AS n, count(DISTINCT g) AS n_distinct, (SELECT count(*) FROM k a JOIN k b ON a.g = b.g AND a.split = 'dev' AND b.split = 'test') AS n_shared FROM k GROUP BY split""")
 def split_set_checks(spark, d):
-    rows = A.read(spark, d, "benchmark").select(F.when(F.col("item_id") % 3 == 0, "dev").otherwise("test").alias("split"), F.lower("text").alias("g"))
-    shared = rows.filter("split = 'dev'").alias("a").join(rows.filter("split = 'test'").alias("b"), F.expr("a.g = b.g")).agg(F.count("*").alias("n_shared"))
-    return rows.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("g").alias("n_distinct")).crossJoin(shared)
+    split = F.when(F.col("item_id") % 3 == 0, "dev").otherwise("test")
+    return M.split_checks(A.read(spark, d, "benchmark").select(split.alias("split"), F.lower("text").alias("key")), "dev", "test")
 
 
 @query(f"""WITH {BEHAVIOUR} SELECT 'duplicate id' AS rule, count(*) AS n FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'label without document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)

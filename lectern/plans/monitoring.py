@@ -68,7 +68,9 @@ def trace_dedupe(spark, d):
 
 @query("SELECT user_id, min(event_id) FILTER (WHERE event_type = 'click') AS first_token, max(event_id) AS last_event FROM events GROUP BY 1")
 def first_token_time(spark, d):
-    return A.read(spark, d, "events").groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "click", F.col("event_id"))).alias("first_token"), F.max("event_id").alias("last_event"))
+    click = F.col("event_type") == "click"
+    rows = A.read(spark, d, "events").select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("seq"), click.alias("token"))
+    return W.first_tokens(rows).withColumnRenamed("trace_id", "user_id")
 
 
 @query("""SELECT 'c' || conv_id || '-' || turn AS trace_id, text || '。' AS shown FROM conversations WHERE role = 'assistant'""")

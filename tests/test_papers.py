@@ -1,4 +1,4 @@
-"""Types of papers, their authors and journals, and services' answers: single cases with answers from the rules."""
+"""Papers' types, authors and journals, services' answers, splits, bars, first tokens: single cases with answers from the rules."""
 
 import json
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import inventory as I
 from lectern.functions import payloads as Y
+from lectern.operators import metrics as M
+from lectern.operators import monitor as W
+from lectern.sources.reports import score_bar
 
 BODY = "word " * 2000
 
@@ -91,3 +94,27 @@ def test_json_signals(spark):
     assert got[1] == ("abstract", "T" * 80, True, "0", fields, None, None, None)
     assert got[2] == ("abstract", "", False, None, [], None, None, None)
     assert got[3] == got[4] == (None, "", False, None, [], None, None, None)
+
+
+def test_split_checks(spark):
+    rows = [("dev", "a"), ("dev", "a"), ("dev", "b"), ("dev", None), ("test", "a"), ("test", "a"), ("test", "a"), ("test", "c"), ("test", None)]
+    got = M.split_checks(spark.createDataFrame(rows, "split string, key string"), "dev", "test").orderBy("split").collect()
+    assert [tuple(r) for r in got] == [("dev", 4, 2, 6), ("test", 5, 2, 6)]
+    assert M.split_checks(spark.createDataFrame([], "split string, key string"), "dev", "test").count() == 0
+
+
+def test_by_action(spark):
+    rows = [("A", "answer", "answer"), ("A", "answer", "answer"), ("A", "refuse", "answer"), ("N", "refuse", "refuse")]
+    got = M.by_action(spark.createDataFrame(rows, "class string, expected string, predicted string")).orderBy("class").collect()
+    assert [tuple(r) for r in got] == [("A", "answer", 3, 0.6667), ("N", "refuse", 1, 1.0)]
+
+
+def test_score_bar(spark):
+    got = spark.createDataFrame([(0,), (2,), (5,), (7,), (-1,), (None,)], "s int").select(score_bar(F.col("s"))).collect()
+    assert [r[0] for r in got] == ["░░░░░", "██░░░", "█████", "█████", "░░░░░", ""]
+
+
+def test_first_tokens(spark):
+    rows = [("x", 1, False), ("x", 2, True), ("x", 3, True), ("y", 4, False), ("z", 5, None)]
+    got = W.first_tokens(spark.createDataFrame(rows, "trace_id string, seq int, token boolean")).orderBy("trace_id").collect()
+    assert [tuple(r) for r in got] == [("x", 2, 3), ("y", None, 4), ("z", None, 5)]
