@@ -122,11 +122,11 @@ def incremental_judge(spark, d):
 @query(f"WITH {_J} SELECT qid, CASE WHEN judged THEN repeat('█', overall::INT) || repeat('░', 5 - overall::INT) ELSE '' END AS bar, regexp_replace(lower(source || ' ' || error_type), '[^a-z0-9]+', '_', 'g') AS slug, round(doc_id * 100.0 / 7, 2) AS share FROM rs")
 def report_fields(spark, d):
     from lectern.functions.text import slug
-    from lectern.sources.reports import score_bar
+    from lectern.sources.reports import block_bar
 
     o = F.col("judge.overall")
     kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("doc_id") % 8 + 1).cast("int"))
-    return results(spark, d).select("qid", score_bar(o).alias("bar"), slug(F.concat_ws(" ", "source", kind)).alias("slug"), F.round(F.col("doc_id") * 100.0 / 7, 2).alias("share"))
+    return results(spark, d).select("qid", block_bar(o).alias("bar"), slug(F.concat_ws(" ", "source", kind)).alias("slug"), F.round(F.col("doc_id") * 100.0 / 7, 2).alias("share"))
 
 
 # --- behaviour by rule from labels

@@ -64,7 +64,7 @@ def result_sections(results: DataFrame, below: int = BAD_BELOW) -> DataFrame:
     return results.select("qid", body.alias("section"))
 
 
-def score_bar(score: Column, most: int = 5) -> Column:
+def block_bar(score: Column, most: int = 5) -> Column:
     """A score as full and empty blocks; '' where there is none. Scores beyond the ends are drawn as the ends."""
     full = F.greatest(F.lit(0), F.least(F.lit(most), score.cast("int")))
     return F.when(score.isNotNull(), F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(most) - full))).otherwise("")

@@ -9,7 +9,7 @@ from lectern.functions import inventory as I
 from lectern.functions import payloads as Y
 from lectern.operators import metrics as M
 from lectern.operators import monitor as W
-from lectern.sources.reports import score_bar
+from lectern.sources.reports import block_bar
 
 BODY = "word " * 2000
 
@@ -109,8 +109,8 @@ def test_by_action(spark):
     assert [tuple(r) for r in got] == [("A", "answer", 3, 0.6667), ("N", "refuse", 1, 1.0)]
 
 
-def test_score_bar(spark):
-    got = spark.createDataFrame([(0,), (2,), (5,), (7,), (-1,), (None,)], "s int").select(score_bar(F.col("s"))).collect()
+def test_block_bar(spark):
+    got = spark.createDataFrame([(0,), (2,), (5,), (7,), (-1,), (None,)], "s int").select(block_bar(F.col("s"))).collect()
     assert [r[0] for r in got] == ["░░░░░", "██░░░", "█████", "█████", "░░░░░", ""]
 
 
