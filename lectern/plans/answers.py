@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import routing as G
 from lectern.functions import text as T
 from lectern.operators import retrieval as R
+from lectern.sources.places import written
 
 from . import adapters as A
 from . import retrieval as P
@@ -90,19 +91,20 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
     """case_id, question, texts and best_distance: the users' turns of all conversations with their lexical hits.
 
     A value's question is put behind each turn, or in its place, and a sentence of evidence behind each hit's whole text.
+    Equal questions are asked once.
     """
     one_of = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
     turns = A.read(spark, d, "conversations").filter("role = 'user'")
     said = F.when(F.col("turn") % 4 < 2, "").otherwise(F.concat("text", F.lit(" ")))
     asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(said, one_of(ASKED, F.col("conv_id") + F.col("turn"))).alias("text"))
     docs = A.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    words = R.weights(asked, "query_id")
-    hits = R.sparse_search(words, R.sparse_index(docs, words), HITS)
+    each = written(asked.groupBy("text").agg(F.min("query_id").alias("query_id")), "questions")
+    hits = R.text_search(each, docs, HITS)
     found = hits.join(docs, "id").select("query_id", "rank", F.concat("text", F.lit(" "), one_of(FOUND, F.col("id"))).alias("x"), (F.col("id") % 13).alias("m"))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "x"))), lambda h: h["x"]).alias("texts")
-    found = found.groupBy("query_id").agg(texts, (F.min("m") / 10).alias("best_distance"))
+    found = found.groupBy("query_id").agg(texts, (F.min("m") / 10).alias("best_distance")).join(each, "query_id").drop("query_id")
     none = F.array().cast("array<string>")
-    rows = asked.join(found, "query_id", "left")
+    rows = asked.join(found, "text", "left")
     return rows.select(F.col("query_id").alias("case_id"), F.col("text").alias("question"), F.coalesce("texts", none).alias("texts"), F.coalesce("best_distance", F.lit(999.0)).alias("best_distance"))
 
 

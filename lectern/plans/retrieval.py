@@ -39,8 +39,7 @@ def dense(spark, d, k=R.DENSE_K):
 
 
 def sparse(spark, d):
-    asked = R.weights(text_queries(spark, d), "query_id")
-    return R.sparse_search(asked, R.sparse_index(chunks(spark, d), asked))
+    return R.text_search(text_queries(spark, d), chunks(spark, d))
 
 
 def hits(spark, d):
