@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import evidence_norm, let
+from lectern.sources.places import written
 
 #: Words of a key, and the spans (in words) that are long enough for it.
 KEY, LONG, SHORT = 3, 5, 3
@@ -36,7 +37,7 @@ def holding(cases: DataFrame, chunks: DataFrame) -> DataFrame:
     inner = lambda n: F.xxhash64(F.lit(n), *(F.element_at(words, 2 + j) for j in range(n)))
     key = F.when(F.size(words) >= LONG, inner(KEY)).when(F.size(words) >= SHORT, inner(1))
     wanted = cases.select("case_id", evidence_norm(F.col("gold")).alias("g")).filter("g <> ''").withColumn("key", key)
-    there = chunks.select("id", evidence_norm(F.col("text")).alias("t"))
+    there = written(chunks.select("id", evidence_norm(F.col("text")).alias("t")), "normal")  # made once, read three times
     keyed = wanted.filter("key is not null")
     met = there.select("id", F.explode(let(F.split("t", " "), _keys)).alias("key")).join(keyed.select("case_id", "key"), "key")
     candidates = met.select("case_id", "id").distinct().join(keyed.select("case_id", "g"), "case_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import metrics as M
 from lectern.operators import spans as S
+from lectern.sources.places import written
 
 from . import adapters as A
 from . import evaluation as E
@@ -68,12 +69,16 @@ def gold(spark, d) -> DataFrame:
 def gold_papers(spark, d) -> DataFrame:
     """case_id, paper_id, page, gold of the cases whose span stands somewhere."""
     rows = gold(spark, d).filter("id is not null").select("case_id", "id")
-    return rows.join(placed(spark, d).select("id", "paper_id", F.col("page_start").alias("page")), "id").join(cases(spark, d).select("case_id", "gold"), "case_id").drop("id")
+    rows = rows.join(placed(spark, d).select("id", "paper_id", F.col("page_start").alias("page")), "id").join(cases(spark, d).select("case_id", "gold"), "case_id").drop("id")
+    return written(rows, "gold")  # a row a case, read several times
 
 
 def hits(spark, d, found: DataFrame | None = None) -> DataFrame:
+    """The first ten hits of each case; other queries are left out before texts are fetched, which are read several times."""
     found = R.sparse(spark, d) if found is None else found
-    return S.ranked_hits(found.filter("rank < 10").select("query_id", "id", "rank")).join(placed(spark, d), "id")
+    asked = cases(spark, d).select(F.col("case_id").alias("query_id"))
+    found = found.filter("rank < 10").select("query_id", "id", "rank").join(asked, "query_id", "left_semi")
+    return written(S.ranked_hits(found).join(placed(spark, d), "id"), "hits")
 
 
 def ranks(spark, d) -> DataFrame:
@@ -206,7 +211,7 @@ three AS (SELECT case_id, paper, page, span, dense_span, span_rank IS NOT NULL A
 def three(spark, d) -> DataFrame:
     """Whether the fused hits reach a case's paper, page and span, and the dense and the lexical hits its span."""
     g = gold_papers(spark, d)
-    dense, sparse = R.dense(spark, d), R.sparse(spark, d)
+    dense, sparse = written(R.dense(spark, d), "dense"), written(R.sparse(spark, d), "sparse")
     fused = hits(spark, d, R.R.rrf(dense, sparse))
     there = lambda c: F.col(c).isNotNull()
     rows = S.page_hits(g, fused).join(S.span_hits(g, fused), "case_id").select("case_id", there("paper_rank").alias("paper"), there("page_rank").alias("page"), there("span_rank").alias("span"))
