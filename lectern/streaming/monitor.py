@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import re
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lectern.operators.monitor import BASELINE, STALL_SECONDS
 
 _OUT = "pid long, seq long, stage string, status string"
-#: JSON of what is kept of a process: the first latencies and the last two of each stage, last loads, recent progress.
+#: JSON of what is kept: of a group of traces each with its deadline; of a process the first latencies and the last two of each stage, last loads, recent progress.
 _STATE = "kept string"
 
 
@@ -51,8 +52,6 @@ def judge(kept: dict, s) -> str:
 
 def watchdog_stream(samples: DataFrame) -> DataFrame:
     """pid, seq, stage, status of a stream of samples, each judged against the earlier ones of its process."""
-    import json
-
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = json.loads(state.get[0]) if state.exists else {"first": {}, "last": {}, "load": [], "progress": []}
         rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
@@ -105,6 +104,8 @@ def marker_stream(tokens: DataFrame) -> DataFrame:
 
 #: Milliseconds after which a request without an end counts as given up; its trace is known, so that replays are dropped, as long again.
 PATIENCE = 600_000
+#: Groups that traces are dealt over: what a group's state holds is the open traces divided by them.
+TRACE_GROUPS = 2048
 
 
 def request_traces(marks: DataFrame, patience: int = PATIENCE) -> DataFrame:
@@ -115,48 +116,57 @@ def request_traces(marks: DataFrame, patience: int = PATIENCE) -> DataFrame:
     start never came is a trace without a start. The earliest start and the earliest end or error count (ties: end, then
     the smaller message); what is replayed while the trace is known is dropped, and after that it's too late for the
     watermark. Marks without a trace_id, a time or a known kind are
-    left out, but their times move the watermark, as those of a clock.
+    left out, but their times move the watermark, as those of a clock. Traces are dealt over groups, as a call of Python for
+    each would cost far more than its work; a group's state holds each of its open traces with its own deadline.
     """
 
+    def deadline(kept: list, now: int) -> int:
+        first = min(x for x in kept[:2] if x is not None) // 1000
+        return max(first + patience * (2 if kept[4] else 1) + 1, now + 1)
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if key[0] is None:  # a clock's marks have been read for their times
-            return
-        started, ended, outcome, message, told = state.get if state.exists else (None, None, None, None, False)
-        out = []
-        if state.hasTimedOut:
-            if told:
-                state.remove()
-                return
-            last = ended if started is None else started + patience * 1000
-            out.append((key[0], started, last, outcome or "disconnect", message))
-            told = True
-        else:
-            rows = pd.concat(list(batches))
-            for kind, at, said in sorted(zip(rows["kind"], rows["us"], rows["message"], strict=True), key=lambda r: (r[1], r[0] == "error", r[2] or "")):
-                if told:
-                    break
+        known = json.loads(state.get[0]) if state.exists else {}
+        now, out, heard = state.getCurrentWatermarkMs(), [], {}
+        for b in () if state.hasTimedOut else batches:
+            for trace, kind, at, said in zip(b["trace_id"], b["kind"], b["us"].tolist(), b["message"], strict=True):
+                if isinstance(trace, str):  # a clock's marks have been read for their times
+                    heard.setdefault(trace, []).append((at, kind == "error", said or "", kind, said))
+        for trace, marks_ in heard.items():
+            started, ended, outcome, message, told, _ = known.get(trace, (None, None, None, None, False, 0))
+            for at, _, _, kind, said in () if told else sorted(marks_, key=lambda r: r[:3]):
                 if kind == "start" and started is None:
-                    started = int(at)
+                    started = at
                 elif kind in ("end", "error") and ended is None:
-                    ended, outcome, message = int(at), "ok" if kind == "end" else "error", said
+                    ended, outcome, message = at, "ok" if kind == "end" else "error", said
             if not told and started is not None and ended is not None:
                 late = ended > started + patience * 1000
-                out.append((key[0], started, *((started + patience * 1000, "disconnect", None) if late else (ended, outcome, message))))
+                out.append((trace, started, *((started + patience * 1000, "disconnect", None) if late else (ended, outcome, message))))
                 told = True
-        if started is None and ended is None:
-            return
-        first = min(x for x in (started, ended) if x is not None) // 1000
-        state.update((started, ended, outcome, message, told))
-        state.setTimeoutTimestamp(max(first + patience * (2 if told else 1) + 1, state.getCurrentWatermarkMs() + 1))
+            if started is not None or ended is not None:
+                known[trace] = [started, ended, outcome, message, told, 0]
+                known[trace][5] = deadline(known[trace], now)
+        for trace in [t for t, x in known.items() if x[5] < now and t not in heard]:
+            started, ended, outcome, message, told, _ = kept = known[trace]
+            if told:
+                del known[trace]
+                continue
+            out.append((trace, started, ended if started is None else started + patience * 1000, outcome or "disconnect", message))
+            kept[4] = True
+            kept[5] = deadline(kept, now)
+        if known:
+            state.update((json.dumps(known),))
+            state.setTimeoutTimestamp(max(min(x[5] for x in known.values()), now + 1))
+        elif state.exists:
+            state.remove()
         if out:
             frame = pd.DataFrame(out, columns=["trace_id", "started", "ended", "outcome", "message"])
             yield frame.astype({"started": "Int64", "ended": "Int64"})
 
     # a filter of trace_id or kind here would be pushed below the watermark, which then wouldn't see the clock
     rows = marks.withWatermark("ts", "0 seconds").filter("ts is not null").select("trace_id", "ts", F.unix_micros("ts").alias("us"), "kind", "message")
-    kept = "started long, ended long, outcome string, message string, told boolean"
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("trace_id"), F.lit(TRACE_GROUPS)))
     result = "trace_id string, started long, ended long, outcome string, message string"
-    return rows.groupBy("trace_id").applyInPandasWithState(update, result, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("g").applyInPandasWithState(update, result, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def status_sink(samples: DataFrame, log: str, status: str, checkpoint: str) -> StreamingQuery:
