@@ -1,6 +1,8 @@
 """Papers' types, authors and journals, services' answers, splits, bars, first tokens: single cases with answers from the rules."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +120,47 @@ def test_first_tokens(spark):
     rows = [("x", 1, False), ("x", 2, True), ("x", 3, True), ("y", 4, False), ("z", 5, None)]
     got = W.first_tokens(spark.createDataFrame(rows, "trace_id string, seq int, token boolean")).orderBy("trace_id").collect()
     assert [tuple(r) for r in got] == [("x", 2, 3), ("y", None, 4), ("z", None, 5)]
+
+
+def made(column, rows):
+    """The plan of a column, as text without cuts."""
+    conf = rows.sparkSession.conf
+    conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        return rows.select(column.alias("x"))._jdf.queryExecution().analyzed().toString()
+    finally:
+        conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_lines_and_probes_are_made_once(spark):
+    """A line is judged in one place, and the text that phrases are looked for in is made in one: inlined ones are made again for every use."""
+    rows = spark.createDataFrame([("a", 1)], "f string, n int")
+    f = F.col("f")
+    assert made(I.text_title(f), rows).count("contents lists available") == 1
+    assert made(I.evidence(f, f, F.lit("t"), F.col("n")), rows).count("4000)") == 1
+
+
+
+def test_titles_by_hand(spark):
+    """The first run of usable lines, cut once it's long enough, over pages of all kinds of lines."""
+    r = random.Random(7)
+    kinds = ["Water Research", "www.x.com", "Abstract", "short", "", " \t ", "A line of a title that goes on", "and  another\tline of it", "of a long title that ends here with a stop.",
+             "Ann Lee, John Smith", "School of Rivers at the lake", "n" * 301, "Nature of rivers and of lakes", "journal homepage: x"]
+    pages = ["\n".join(r.choice(kinds) for _ in range(r.randint(0, 40))) for _ in range(300)] + [None, "\n" * 50 + kinds[6]]
+    bad = re.compile("|".join(f"(?:{x})" for x in ("Water Research", r"www\.", "^Abstract$", "Ann Lee", "School", "^n+$", "^Nature ", "journal homepage")))
+
+    def by_hand(page):
+        lines = [x for x in (re.sub(r"\s+", " ", y).strip() for y in (page or "")[:3000].split("\n")) if x][:30]
+        run = []
+        for x in lines:
+            if 12 <= len(x) <= 300 and not bad.search(x):
+                run.append(x)
+                if len(" ".join(run)) > 60 and (x.endswith(".") or len(run) >= 3):
+                    break
+            elif run:
+                break
+        t = " ".join(run).strip(" .,;:-–—")
+        return t if len(t) > 15 else ""
+
+    rows = spark.createDataFrame([(p,) for p in pages], "p string")
+    assert [x.t for x in rows.select(I.text_title(F.col("p")).alias("t")).collect()] == [by_hand(p) for p in pages]
