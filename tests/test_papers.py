@@ -140,6 +140,13 @@ def test_lines_and_probes_are_made_once(spark):
     assert made(I.evidence(f, f, F.lit("t"), F.col("n")), rows).count("4000)") == 1
 
 
+def test_authors_are_sought_as_far_as_they_can_be(spark):
+    rows = spark.createDataFrame([("a",)], "f string")
+    plan = made(I.authors_of(F.lit(""), F.col("f"), F.lit(TITLE)), rows)
+    assert plan.count("contents lists available") == plan.count("^\\s*(abstract") == 1
+    assert "54" in plan  # forty lines that can repeat the title, fourteen behind the last of them
+    assert made(I.journal_of([F.lit("")], F.col("f")), rows).count("lower(") == 1
+
 
 def test_titles_by_hand(spark):
     """The first run of usable lines, cut once it's long enough, over pages of all kinds of lines."""
@@ -164,3 +171,11 @@ def test_titles_by_hand(spark):
 
     rows = spark.createDataFrame([(p,) for p in pages], "p string")
     assert [x.t for x in rows.select(I.text_title(F.col("p")).alias("t")).collect()] == [by_hand(p) for p in pages]
+
+
+def test_authors_behind_repeated_titles(spark):
+    """A line counts as the title's only if all of it is inside, though it's first looked for by its start."""
+    whole = "Removal of dyes by iron minerals in the light of rivers and lakes"
+    page = "\n".join([whole[:40], "Ann Lee, John Smith", whole[:26] + " elsewhere", "Wei Zhang and Jo Doe", "the ＬＩＧＨＴ of rivers and ﬁlakes", "the ＬＩＧＨＴ of rivers", "Jo Roe and Al Poe"])
+    rows = spark.createDataFrame([(page,)], "p string")
+    assert rows.select(I.authors_of(F.lit(None).cast("string"), F.col("p"), F.lit(whole)).alias("a")).first().a.authors == "Jo Roe and Al Poe"
