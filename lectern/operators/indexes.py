@@ -10,16 +10,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators.retrieval import DENSE_K, QUERY_BLOCK, SPARSE_K, _nearest_of, _ranked
-from lectern.sources.places import written
+from lectern.operators.retrieval import ASKED_BLOCK, DENSE_K, QUERY_BLOCK, SPARSE_K, _best, _codes, _highest, _listed, _met, _nearest_of, _postings, _ranked, joined_terms
+from lectern.sources.places import tidied, written
 
 #: Rows a cell or a block of it should hold; pivots at most, which the driver and every task hold; rows that pivots are chosen from.
 CELL_ROWS, MOST_PIVOTS, SAMPLE = 20_000, 1024, 4096
-#: Documents of a layer of postings; layers at most; folders that tokens are dealt over.
-LAYER_DOCS, MOST_LAYERS, BUCKETS = 4096, 256, 64
+#: Documents of a layer of postings; layers at most; queries' tokens that are broadcast.
+LAYER_DOCS, MOST_LAYERS, BROADCAST_WORDS = 4096, 256, 400_000
 #: Shards of a query that are read first.
 FIRST_SHARDS = 2
 _FOUND = "query_id long, id long, distance double"
@@ -140,33 +142,56 @@ def saved_search(queries: DataFrame, path: str, k: int = DENSE_K) -> tuple[DataF
 # --- postings
 
 
-def _bucket(token: str = "token") -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+def posting_blocks(lists: DataFrame, layer_docs: int = LAYER_DOCS) -> DataFrame:
+    """token, shard, least, most, postings of (id, token, weight), arrays as of ``terms``.
 
-
-def posting_blocks(index: DataFrame, layer_docs: int = LAYER_DOCS) -> DataFrame:
-    """bucket, token, layer, part, least, most, postings of (token, id, weight).
-
-    Documents are in layers by their highest weight, so that low layers have low bounds; a layer is cut into parts by a hash
-    of the id once there are more than MOST_LAYERS of them. A block holds a token's postings of one part of a layer, and
-    the least and the highest of their weights.
+    Documents are in layers by their highest weight, so that low layers have low bounds; a layer of more than ``layer_docs``
+    documents, as of ties or once there are MOST_LAYERS, is cut into parts by a hash of the id. A part is a shard; one task
+    makes its blocks, so that postings are rows nowhere. A block holds a token's postings of a shard, and the least and the
+    highest of their weights. Shards are numbered from the highest weights down.
     """
-    tops = written(index.groupBy("id").agg(F.max("weight").alias("top")), "tops")
-    docs = tops.count()
+    lists = written(lists.withColumn("top", F.array_max("weight")), "lists")
+    docs = lists.count()
     layers = max(1, min(MOST_LAYERS, -(-docs // layer_docs)))
-    parts = max(1, -(-docs // (layers * layer_docs)))
-    cuts = sorted(set(tops.approxQuantile("top", [i / layers for i in range(1, layers)], 0.001))) if layers > 1 and docs else []
+    cuts = sorted(set(lists.approxQuantile("top", [i / layers for i in range(1, layers)], 0.001))) if layers > 1 and docs else []
     layer = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda x: x > F.col("top")))
-    placed = tops.select("id", layer.alias("layer"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
-    rows = index.join(placed, "id").groupBy("token", "layer", "part")
-    out = rows.agg(F.min("weight").alias("least"), F.max("weight").alias("most"), F.collect_list(F.struct("id", "weight")).alias("postings"))
-    return out.select(_bucket().alias("bucket"), "token", "layer", "part", "least", "most", "postings")
+    rows = lists.select("id", "token", "weight", layer.alias("layer"))
+    sizes = {r.layer: r.n for r in rows.groupBy("layer").agg(F.count("*").alias("n")).collect()}  # MOST_LAYERS at most
+    parts = [max(1, -(-sizes.get(i, 0) // layer_docs)) for i in range(len(cuts) + 1)]
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("layer") + 1)
+    shard = of([sum(parts[:i]) for i in range(len(parts))]) + F.pmod(F.xxhash64("id"), of(parts)).cast("int")
+    dealt = rows.select("id", "token", "weight", shard.cast("int").alias("shard")).repartitionById(sum(parts), "shard")
+
+    def made(table: pa.Table) -> pa.Table:
+        words, weight, ends = _postings(table)
+        coded = words.dictionary_encode()
+        by_word = np.empty(len(coded.dictionary), np.int64)
+        by_word[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(by_word))
+        code, row = by_word[coded.indices.to_numpy(zero_copy_only=False)], np.repeat(np.arange(len(table)), np.diff(ends))
+        order = np.argsort(code, kind="stable")
+        starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+        weight = weight[order]
+        pairs = pa.StructArray.from_arrays([table.column("id").combine_chunks().take(pa.array(row[order])), pa.array(weight)], names=["id", "weight"])
+        return pa.table({
+            "token": words.take(pa.array(order[starts])), "shard": pa.array(np.full(len(starts), table.column("shard")[0].as_py()), pa.int32()),
+            "least": np.minimum.reduceat(weight, starts), "most": np.maximum.reduceat(weight, starts),
+            "postings": pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), pairs),
+        })
+
+    kind = dict(lists.dtypes)["id"]
+    return dealt.groupBy("shard").applyInArrow(made, f"token string, shard int, least double, most double, postings array<struct<id: {kind}, weight: double>>")
 
 
 def save_blocks(index: DataFrame, path: str, layer_docs: int = LAYER_DOCS) -> None:
-    """The blocks in BUCKETS folders by token, sorted within."""
-    blocks = posting_blocks(index, layer_docs)
-    blocks.repartition("bucket").sortWithinPartitions("token", "layer", "part").write.mode("errorifexists").partitionBy("bucket").parquet(path)
+    """The blocks of (token, id, weight): a file for each shard, sorted by token."""
+    with tidied(index.sparkSession):
+        posting_blocks(_listed(index, "id"), layer_docs).write.mode("errorifexists").parquet(path)
+
+
+def save_texts(docs: DataFrame, path: str, layer_docs: int = LAYER_DOCS) -> None:
+    """The same of (id, text), without a row for each posting."""
+    with tidied(docs.sparkSession):
+        posting_blocks(joined_terms(docs, "id"), layer_docs).write.mode("errorifexists").parquet(path)
 
 
 def postings_of(blocks: DataFrame) -> DataFrame:
@@ -177,29 +202,47 @@ def postings_of(blocks: DataFrame) -> DataFrame:
 def block_search(query_weights: DataFrame, blocks: DataFrame, k: int = SPARSE_K) -> tuple[DataFrame, DataFrame]:
     """Hits (query_id, id, sparse_score, rank), as of ``sparse_search``, and reads (query_id, read, blocks) over saved blocks.
 
-    All postings of a document are in one shard, a part of a layer. What a document of a shard can score is bounded by the
-    highest weights of the query's tokens there; the bounds come from the blocks' heads, without their postings. The shards
-    with the highest bounds are read first; then those whose bound reaches the k-th score found. All others are left.
+    All postings of a document are in one shard. What a document of a shard can score is bounded by the highest weights of
+    the query's tokens there; the bounds come from the blocks' heads, without their postings. The shards with the highest
+    bounds are read first; then those whose bound reaches the k-th score found. All others are left. A shard's blocks of the
+    asked tokens meet its queries in one task, and only the k highest of each leave it.
     """
-    asked = query_weights.select("query_id", "token", F.col("weight").alias("qw"))
-    wanted = [r.b for r in asked.select(_bucket().alias("b")).distinct().collect()]  # BUCKETS at most
-    blocks = blocks.filter(F.col("bucket").isin(wanted))
-    heads = asked.join(blocks.select("token", "layer", "part", "least", "most"), "token")
+    asked = written(_listed(query_weights, "query_id"), "asked")
+    words = asked.select("query_id", F.explode(F.arrays_zip("token", "weight")).alias("x")).select("query_id", "x.token", F.col("x.weight").alias("qw"))
+    few = F.broadcast if words.count() <= BROADCAST_WORDS else lambda x: x
+    heads = blocks.select("token", "shard", "least", "most").join(few(words), "token")
     bound = F.sum(F.greatest(F.lit(0.0), F.col("qw") * F.col("least"), F.col("qw") * F.col("most")))
-    shards = written(heads.groupBy("query_id", "layer", "part").agg(bound.alias("bound"), F.count("*").alias("n")), "shards")
+    shards = written(heads.groupBy("query_id", "shard").agg(bound.alias("bound"), F.count("*").alias("n")), "shards")
+    last = shards.agg(F.max("shard")).first()[0]
+    kinds = dict(asked.dtypes)["query_id"], blocks.schema["postings"].dataType.elementType["id"].dataType.simpleString()
+
+    def cell(a: pa.Table, h: pa.Table) -> pa.Table:
+        lists = h.column("postings").combine_chunks()
+        ids = lists.flatten().field("id")
+        q, doc, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        if len(a) and len(ids):
+            _, first, docs = np.unique(ids.to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+            many = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            codes = lambda known: np.repeat(_codes(h.column("token").combine_chunks(), known), many)
+            q, doc, score = _best(a, codes, docs, lists.flatten().field("weight").to_numpy(zero_copy_only=False), len(first), k)
+            doc = first[doc]
+        return pa.table([a.column("query_id").take(pa.array(q)), ids.take(pa.array(doc)), pa.array(score)], names=["query_id", "id", "sparse_score"])
 
     def scores(targets: DataFrame) -> DataFrame:
-        rows = targets.select("query_id", "layer", "part").join(asked, "query_id").join(blocks, ["token", "layer", "part"])
-        each = rows.select("query_id", "qw", F.inline("postings"))
-        return each.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("sparse_score")).filter("sparse_score > 0")
-
-    order = [F.desc("sparse_score"), F.col("id")]
-    ahead = _ranked(shards, [F.desc("bound"), F.col("layer"), F.col("part")], FIRST_SHARDS)
-    first = written(_ranked(scores(ahead), order, k).drop("rank"), "first")
+        """Of (query_id, shard, least); queries of a shard in blocks, so that no cell grows with them."""
+        load = written(targets.groupBy("shard").agg(F.count("*").alias("m")), "load")
+        batches = max(1, -(-(load.agg(F.max("m")).first()[0] or 0) // ASKED_BLOCK))
+        left = targets.select("query_id", "least", F.col("shard").alias("p"), F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int").alias("b")).join(asked, "query_id")
+        held = blocks.join(few(words.select("token").distinct()), "token", "left_semi").join(F.broadcast(load.select("shard")), "shard", "left_semi")
+        held = held.select("token", "postings", F.col("shard").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("b"))
+        return _met(left, held, batches, (last or 0) + 1).applyInArrow(cell, f"query_id {kinds[0]}, id {kinds[1]}, sparse_score double")
+
+    ahead = _ranked(shards, [F.desc("bound"), F.col("shard")], FIRST_SHARDS).withColumn("least", F.lit(0.0))
+    first = written(_highest(scores(ahead), k).drop("rank"), "first")
     kth = first.groupBy("query_id").agg(F.min("sparse_score").alias("s"), F.count("*").alias("m")).filter(F.col("m") >= k).drop("m")
-    left = shards.join(ahead.select("query_id", "layer", "part"), ["query_id", "layer", "part"], "left_anti").join(kth, "query_id", "left")
+    left = shards.join(ahead.select("query_id", "shard"), ["query_id", "shard"], "left_anti").join(kth, "query_id", "left").withColumn("least", F.coalesce("s", F.lit(0.0)))
     left = written(left.filter((F.col("bound") > 0) & (F.col("s").isNull() | (F.col("bound") >= F.col("s") - 1e-8))), "left")
-    hits = _ranked(first.unionByName(scores(left)), order, k)
+    hits = _highest(first.unionByName(scores(left)), k)
     used = ahead.select("query_id", "n").unionByName(left.select("query_id", "n")).groupBy("query_id").agg(F.sum("n").alias("read"))
     every = shards.groupBy("query_id").agg(F.sum("n").alias("blocks"))
     return hits, every.join(used, "query_id", "left").select("query_id", F.coalesce("read", F.lit(0)).alias("read"), "blocks")

@@ -161,7 +161,7 @@ def dense_saved(spark: SparkSession, d: str) -> DataFrame:
 def sparse_saved(spark: SparkSession, d: str) -> DataFrame:
     """The same hits from saved posting blocks, of which a query reads those that can reach its k-th score."""
     path = fresh_place(spark, "postings")
-    I.save_blocks(R.sparse_index(chunks(spark, d)), path)
+    I.save_texts(chunks(spark, d), path)
     return I.block_search(R.weights(text_queries(spark, d), "query_id"), spark.read.parquet(path))[0]
 
 

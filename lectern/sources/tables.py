@@ -123,7 +123,7 @@ def collection_version(chunks: DataFrame) -> str:
 
 
 def save_index(index: DataFrame, path: str, version: str, chunk_count: int) -> None:
-    """Posting blocks by token, with the highest weight of each, and a manifest of the chunks they were built from."""
+    """Posting blocks by shard and token, with the highest weight of each, and a manifest of the chunks they were built from."""
     save_blocks(index, f"{path}/blocks")
     manifest = index.sparkSession.createDataFrame([(version, chunk_count, index.count())], "collection_version string, chunk_count long, posting_count long")
     manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")

@@ -91,3 +91,20 @@ def test_low_layers_are_left(spark, tmp_path):
     assert hits(found) == hits(R.sparse_search(asked, index, 25))
     r = read.first()
     assert r.read <= 0.4 * r.blocks
+
+
+def test_texts_are_indexed_without_posting_rows(spark, tmp_path, monkeypatch):
+    """Straight from texts the same blocks come, in shards of bounded size whatever ties their weights have, and no posting is shuffled as a row."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([*texts(150, rng), *((500 + i, "ozone flux") for i in range(100)), (700, ""), (701, None)], "id long, text string")
+    I.save_texts(docs, f"{tmp_path}/t", 20)
+    blocks = spark.read.parquet(f"{tmp_path}/t")
+    assert hits(I.postings_of(blocks)) == hits(R.sparse_index(docs))
+    per_shard = [r.n for r in blocks.select("shard", F.explode("postings.id").alias("id")).groupBy("shard").agg(F.countDistinct("id").alias("n")).collect()]
+    assert sum(per_shard) == 250 and max(per_shard) <= 40  # 100 equal texts are several shards
+    asked = R.weights(docs.filter("id % 10 = 0").select(F.col("id").alias("query_id"), "text"), "query_id")
+    monkeypatch.setattr(I, "ASKED_BLOCK", 5)
+    found = I.block_search(asked, blocks, 4)[0]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroupsInArrow" in plan and "inline" not in plan
+    assert hits(found) == hits(R.sparse_search(asked, R.sparse_index(docs), 4))
